@@ -70,7 +70,7 @@ def xml_escape(c: Column) -> Column:
 
 def event_text_escape(c: Column) -> Column:
     """Escaping for calendar-event text values."""
-    for raw, safe in (("\\", "\\\\"), (",", "\\,"), (";", "\;"), ("\n", "\\n")):
+    for raw, safe in (("\\", "\\\\"), (",", "\\,"), (";", "\\;"), ("\n", "\\n")):
         c = F.replace(c, F.lit(raw), F.lit(safe))
     return c
 

@@ -187,23 +187,24 @@ def flag_days(v):
 
 
 @query("text_timetable", "v_stops", sql=f"""
-WITH l AS (
-  SELECT l_orderkey, l_linenumber, poi_id, bare, 1 AS src, u.i, u.line, len(string_split(show_time, chr(10))) AS n FROM v_stops,
+WITH st AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM v_stops),
+l AS (
+  SELECT rid, poi_id, bare, 1 AS src, u.i, u.line, len(string_split(show_time, chr(10))) AS n FROM st,
     LATERAL (SELECT unnest(string_split(show_time, chr(10))) AS line, generate_subscripts(string_split(show_time, chr(10)), 1) AS i) u WHERE show_time <> ''
   UNION ALL
-  SELECT l_orderkey, l_linenumber, poi_id, bare, 2, u.i, u.line, 99 FROM v_stops,
+  SELECT rid, poi_id, bare, 2, u.i, u.line, 99 FROM st,
     LATERAL (SELECT unnest(string_split(memo_time, chr(10))) AS line, generate_subscripts(string_split(memo_time, chr(10)), 1) AS i) u WHERE memo_time <> ''),
 p AS (SELECT *, regexp_extract(line, '^班表時間：([0-9]{{1,2}}:[0-9]{{2}})$', 1) AS t0, regexp_extract(line, '^星期([一二三四五六日,]+)：([0-9]{{1,2}}:[0-9]{{2}})$', 2) AS t1,
    regexp_extract(line, '^星期([一二三四五六日,]+)：([0-9]{{1,2}}:[0-9]{{2}})$', 1) AS chars FROM l),
 e AS (SELECT *, CASE WHEN t0 <> '' THEN t0 WHEN t1 <> '' THEN t1 WHEN n = 1 THEN bare END AS arrive, (t0 = '' AND t1 = '') AS odd,
   CASE WHEN t1 <> '' THEN array_to_string(list_sort([list_position({WEEKDAY_SQL}, c) FOR c IN string_split(chars, ',')]), ',') ELSE '' END AS days FROM p),
-g AS (SELECT l_orderkey, l_linenumber, poi_id, string_agg(days || '@' || arrive || '-', '|' ORDER BY src, i) FILTER (WHERE arrive IS NOT NULL) AS entries,
+g AS (SELECT rid, string_agg(days || '@' || arrive || '-', '|' ORDER BY src, i) FILTER (WHERE arrive IS NOT NULL) AS entries,
   count(*) FILTER (WHERE odd) AS n_drops, count(*) FILTER (WHERE src = 2 AND arrive IS NOT NULL) AS memo_entries,
   count(*) FILTER (WHERE arrive IS NOT NULL) > 0 AND NOT bool_or(coalesce(arrive = bare, FALSE)) AS mismatch
-  FROM e GROUP BY 1, 2, 3)
+  FROM e GROUP BY 1)
 SELECT coalesce(entries, '') AS entries, coalesce(n_drops, 0) AS n_drops, coalesce(memo_entries, 0) AS memo_entries, coalesce(mismatch, FALSE) AS mismatch,
   count(*) AS stops, count(DISTINCT s.poi_id) AS pois
-FROM v_stops s LEFT JOIN g ON g.l_orderkey = s.l_orderkey AND g.l_linenumber = s.l_linenumber AND g.poi_id = s.poi_id GROUP BY 1, 2, 3, 4""")
+FROM st s LEFT JOIN g ON g.rid = s.rid GROUP BY 1, 2, 3, 4""")
 def text_timetable(v):
     out = N.text_timetable(v.stops(), "show_time", "memo_time", "bare")
     return (
@@ -224,7 +225,7 @@ def mask_days(v):
     return raw.select("o_orderkey", F.array_join(times.run_mask_days(F.col("m")).cast("array<string>"), ",").alias("days"))
 
 
-def grid_cell(i: int) -> str:
+def grid_cell(i: str) -> str:
     hh = f"lpad(CAST((c_custkey + {i} % 3) % 24 AS {{s}}), 2, '0')"
     return (
         f"CASE WHEN (c_custkey * 7 + {i}) % 61 = 0 THEN '18:00-19:00' WHEN (c_custkey + {i}) % 5 = 0 THEN concat({hh}, ':00~', {hh}, ':20', {{nl}}, '(', {hh}, ':05~', {hh}, ':25)')"
@@ -241,36 +242,27 @@ GRID_HEAD = {
 }
 
 
-def grid_sql(s: str, nl: str) -> str:
-    heads = ", ".join(f"{e.format(s=s)} AS {n}" for n, e in GRID_HEAD.items())
-    cells = ", ".join(f"{grid_cell(i).format(s=s, nl=nl)} AS c{i}" for i in range(1, 8))
+def grid_sql() -> str:
+    heads = ", ".join(f"{e.format(s='VARCHAR')} AS {n}" for n, e in GRID_HEAD.items())
+    cells = ", ".join(f"{grid_cell(str(i)).format(s='VARCHAR', nl='chr(10)')} AS c{i}" for i in range(1, 8))
     return f"c_custkey, c_nationkey, {heads}, {cells}"
 
 
 def grid_binding(v):
     """A table of extracted cells: 9 (wrong), 10 or 11 per row."""
-    raw = v.table("customer").selectExpr(*[x for x in _split_top(grid_sql("STRING", "'\n'"))])
+    raw = v.table("customer").selectExpr(
+        "c_custkey",
+        "c_nationkey AS district",
+        *[f"{e.format(s='STRING')} AS {n}" for n, e in GRID_HEAD.items()],
+        f"transform(sequence(1, 7), i -> {grid_cell('i').format(s='STRING', nl=chr(39) + chr(92) + 'n' + chr(39))}) AS days",
+    )
     head = F.array("village", "plate", "name")
-    days = F.array(*[f"c{i}" for i in range(1, 8)])
-    cells = F.when(F.col("width") == 11, F.concat(head, F.array("ctype"), days)).when(F.col("width") == 10, F.concat(head, days)).otherwise(F.slice(F.concat(head, days), 1, 9))
-    return raw.select("c_custkey", F.col("c_nationkey").alias("district"), cells.alias("cells"))
-
-
-def _split_top(sql: str) -> list[str]:
-    """Top-level comma split of a select list."""
-    out, depth, cur = [], 0, ""
-    for ch in sql:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append(cur.strip())
-            cur = ""
-        else:
-            cur += ch
-    return [*out, cur.strip()]
+    cells = F.when(F.col("width") == 11, F.concat(head, F.array("ctype"), "days")).when(F.col("width") == 10, F.concat(head, "days")).otherwise(F.slice(F.concat(head, "days"), 1, 9))
+    return raw.select("c_custkey", "district", cells.alias("cells"))
 
 
 GRID_CTE = f"""
-WITH raw AS (SELECT {grid_sql('VARCHAR', 'chr(10)')} FROM customer),
+WITH raw AS (SELECT {grid_sql()} FROM customer),
 days AS (SELECT c_custkey, u.i, u.c FROM raw, LATERAL (SELECT unnest([c1, c2, c3, c4, c5, c6, c7]) AS c, generate_subscripts([c1, c2, c3, c4, c5, c6, c7], 1) AS i) u),
 cls AS (SELECT c_custkey, i, c, CASE WHEN regexp_matches(c, '^[0-2]?[0-9]:[0-5][0-9]~[0-2]?[0-9]:[0-5][0-9]\\n\\([0-2]?[0-9]:[0-5][0-9]~[0-2]?[0-9]:[0-5][0-9]\\)$') THEN 'both'
   WHEN regexp_matches(c, '^[0-2]?[0-9]:[0-5][0-9]~[0-2]?[0-9]:[0-5][0-9]\\n\\(無清運\\)$') THEN 'garbage_only' WHEN c = '無清運' THEN 'none' ELSE 'invalid' END AS kind FROM days),
