@@ -169,15 +169,14 @@ def require_empty(violations: DataFrame, what: str) -> None:
 def date_gaps(days: DataFrame, d: str, partition: Column) -> DataFrame:
     """Missing stretches between successive dates, looked up by the date itself instead of a global ordering.
 
-    A date whose next day is absent starts a gap; its end is the next present date of the
-    partition (a year of at most 366 rows), or the first date of the next partition.
+    The next date is looked up inside the partition (a year of at most 366 rows); the last
+    date of a partition is followed by the first of the next, found over one row per partition.
     """
     per = days.select(F.col(d).alias("d"), partition.alias("part")).distinct()
-    bounds = per.groupBy("part").agg(F.min("d").alias("first"))
     inside = per.withColumn("next", F.lead("d").over(Window.partitionBy("part").orderBy("d")))
-    next_part = bounds.select((F.col("part") - 1).alias("part"), F.col("first").alias("next_first"))
+    firsts = per.groupBy("part").agg(F.min("d").alias("first")).withColumn("next_first", F.lead("first").over(Window.orderBy("part")))
     return (
-        inside.join(next_part, "part", "left")
+        inside.join(firsts.drop("first"), "part")
         .withColumn("next", F.coalesce("next", "next_first"))
         .withColumn("missing_days", F.datediff("next", "d") - 1)
         .filter("missing_days > 0")

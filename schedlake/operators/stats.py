@@ -140,10 +140,12 @@ def date_range(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def city_stats(points: DataFrame, total_cities: int) -> DataFrame:
     """Districts and points per city, and how many cities are still missing."""
-    cities = points.groupBy("city_slug").agg(F.count_distinct("district_slug").alias("districts"), F.count(F.lit(1)).alias("points"))
-    present = points.agg((F.lit(total_cities) - F.count_distinct("city_slug")).alias("remaining_cities"))
-    # one summary row repeated beside each city
-    return cities.join(F.broadcast(present), F.lit(True))
+    present = points.agg(F.count_distinct("city_slug")).scalar()
+    return (
+        points.groupBy("city_slug")
+        .agg(F.count_distinct("district_slug").alias("districts"), F.count(F.lit(1)).alias("points"))
+        .withColumn("remaining_cities", F.lit(total_cities) - present)
+    )
 
 
 def time_table(points: DataFrame, entries: DataFrame, keys: list[str] = DISTRICT, id_col: str = "ord") -> DataFrame:

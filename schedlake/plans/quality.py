@@ -215,6 +215,5 @@ def normalize_stats(v):
         F.col("g.memo_entries").alias("schedule_memo"), F.col("r.memo_entries").alias("recycling_memo"),
         (F.coalesce(F.col("g.mismatch").cast("int"), F.lit(0)) + F.coalesce(F.col("r.mismatch").cast("int"), F.lit(0))).alias("mismatches"),
     )
-    counters = Q.normalize_stats(both, [])
-    shared = Q.multi_parent(v.stops(), "poi_id", "route_id").agg(F.count(F.lit(1)).alias("multi_route_pois"))
-    return counters.join(F.broadcast(shared), F.lit(True))
+    shared = Q.multi_parent(v.stops(), "poi_id", "route_id").agg(F.count(F.lit(1))).scalar()
+    return Q.normalize_stats(both, []).withColumn("multi_route_pois", shared)
