@@ -160,9 +160,9 @@ def publish_replace(v):
 
 
 @query("sitemap_rows", "v_points", sql="""
-WITH p AS (SELECT *, split_part(point_id, '-', 3) AS rest, CASE WHEN length(fetched_at) = 10 THEN fetched_at || 'T00:00:00' ELSE strftime(CAST(fetched_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS at FROM v_points)
-SELECT 'city' AS level, 'https://example.org/trash/' || city_slug || '/' AS loc, arg_max(fetched_at, at || fetched_at) AS lastmod FROM p GROUP BY city_slug
-UNION ALL SELECT 'district', 'https://example.org/trash/' || city_slug || '/' || district_slug || '/', arg_max(fetched_at, at || fetched_at) FROM p GROUP BY city_slug, district_slug
+WITH p AS (SELECT *, split_part(point_id, '-', 3) AS rest, CASE WHEN length(fetched_at) = 10 THEN fetched_at || 'T00:00:00' ELSE strftime(CAST(fetched_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS seen FROM v_points)
+SELECT 'city' AS level, 'https://example.org/trash/' || city_slug || '/' AS loc, arg_max(fetched_at, seen || fetched_at) AS lastmod FROM p GROUP BY city_slug
+UNION ALL SELECT 'district', 'https://example.org/trash/' || city_slug || '/' || district_slug || '/', arg_max(fetched_at, seen || fetched_at) FROM p GROUP BY city_slug, district_slug
 UNION ALL SELECT 'point', 'https://example.org/trash/' || city_slug || '/' || district_slug || '/' || rest || '/', fetched_at FROM p""")
 def sitemap_rows(v):
     return P.sitemap_rows(v.points(), "https://example.org/trash")
