@@ -64,3 +64,27 @@ def snapshot_changes(old: DataFrame, new: DataFrame, id_col: str) -> DataFrame:
     a, b = old.select(id_col, F.lit(True).alias("old")), new.select(id_col, F.lit(True).alias("new"))
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("kept")
     return a.join(b, id_col, "full").select(id_col, status.alias("status"))
+
+
+def static_pages(base: str, weekends: DataFrame, plans: DataFrame, entities: DataFrame, registry: DataFrame) -> DataFrame:
+    """Page list outside the points: per year its overview, long weekends, leave plan (where one exists) and comparison; entities; live registry entries."""
+    root = base.rstrip("/")
+    page = lambda df, *parts: df.select(path_url(root, *parts).alias("loc"))
+    year = F.col("year").cast("string")
+    years = weekends.select("year").distinct()
+    return (
+        page(years, F.lit("calendar"), year)
+        .unionByName(page(weekends, F.lit("calendar"), year, F.date_format("start", "MMdd")))
+        .unionByName(page(plans.select("year").distinct(), F.lit("calendar"), year, F.lit("leave-plan")))
+        .unionByName(page(years, F.lit("calendar"), year, F.lit("foreign")))
+        .unionByName(page(entities.select("slug").distinct(), F.lit("lunar"), F.lit("entity"), F.col("slug")))
+        .unionByName(page(registry.filter("status = 'live'"), F.lit("apps"), F.col("slug")))
+    )
+
+
+def sitemap_line(loc: str = "loc", lastmod: str | None = "lastmod"):
+    """One sitemap element as text."""
+    from schedlake.functions.text import xml_escape
+
+    tag = F.coalesce(F.concat(F.lit("<lastmod>"), xml_escape(F.col(lastmod)), F.lit("</lastmod>")), F.lit("")) if lastmod else F.lit("")
+    return F.concat(F.lit("<url><loc>"), xml_escape(F.col(loc)), F.lit("</loc>"), tag, F.lit("</url>"))

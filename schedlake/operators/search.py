@@ -75,8 +75,9 @@ def _tokens(names: DataFrame, name: str, suffix: str) -> DataFrame:
 
 def parse_queries(queries: DataFrame, cities: DataFrame, districts: DataFrame) -> DataFrame:
     """Distinct normalised queries ``q`` with the city and district ids they name and what is left of the text."""
-    qs = queries.select(search_text(F.col("text")).alias("q")).filter("q <> ''").distinct()
-    city = _tokens(cities, "city", CITY_SUFFIX)
+    # each level below reads the one above twice, so every level is written once
+    qs = cut_lineage(queries.select(search_text(F.col("text")).alias("q")).filter("q <> ''").distinct())
+    city = cut_lineage(_tokens(cities, "city", CITY_SUFFIX))
     city_tokens = city.select("city_idx", F.col("full").alias("tok"), F.lit("full").alias("form")).unionByName(
         city.filter("core <> full").select("city_idx", F.col("core").alias("tok"), F.lit("core").alias("form"))
     )
@@ -89,13 +90,13 @@ def parse_queries(queries: DataFrame, cities: DataFrame, districts: DataFrame) -
     )
     none = F.array().cast("array<int>")
     whole = F.size("full_set") > 0
-    by_city = qs.join(named, "q", "left").select(
+    by_city = cut_lineage(qs.join(named, "q", "left").select(
         "q",
         F.coalesce(F.when(whole, F.col("full_set")).otherwise(F.col("core_set")), none).alias("cities"),
         _cut(F.col("q"), F.when(whole, F.col("full_tok")).otherwise(F.col("core_tok"))).alias("rest"),
-    )
+    ))
 
-    dist = _tokens(districts, "district", DISTRICT_SUFFIX)
+    dist = cut_lineage(_tokens(districts, "district", DISTRICT_SUFFIX))
     names = dist.select("city_idx", "district_idx", F.explode(F.array_distinct(F.array("full", "core"))).alias("tok"), "full")
     scope = (F.size("cities") == 0) | F.array_contains("cities", F.col("city_idx"))
     is_full = F.col("tok") == F.col("full")

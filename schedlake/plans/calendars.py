@@ -210,8 +210,8 @@ def holiday_names(v):
     return v.table("lineitem").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).select("name", X.display_name(F.col("name")).alias("display"), "n")
 
 
-@query("calendar_events", "v_calendar", sql="""
-SELECT strftime(d, '%Y%m%d') || '@example.org' AS uid, strftime(d, '%Y%m%d') AS dtstart, strftime(d + 1, '%Y%m%d') AS dtend, memo || '\\,x\;y\\\\z' AS summary, 'see calendar\\, year ' || year(d) AS description
+@query("calendar_events", "v_calendar", sql=r"""
+SELECT strftime(d, '%Y%m%d') || '@example.org' AS uid, strftime(d, '%Y%m%d') AS dtstart, strftime(d + 1, '%Y%m%d') AS dtend, memo || '\,x\;y\\z' AS summary, 'see calendar\, year ' || year(d) AS description
 FROM v_calendar WHERE is_holiday AND memo <> ''""")
 def calendar_events(v):
     days = v.calendar().withColumn("memo", F.when(F.col("memo") != "", F.concat("memo", F.lit(",x;y\\z"))))
