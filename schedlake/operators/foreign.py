@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schedlake.functions.dates import in_wrapping_window  # noqa: F401  (the row form of the window below)
 from schedlake.operators.calendar import interval_days
 
 # Display names of English holiday names.
@@ -81,6 +80,21 @@ def per_weekend(compared: DataFrame, countries: list[str]) -> DataFrame:
     )
 
 
+def weekend_sentence(counted: DataFrame, weekends: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Adds one sentence per long weekend: its dates, length and the foreign holidays in it."""
+
+    def part(c: str) -> Column:
+        n = F.col(f"{c}_days")
+        return F.when(n > 0, F.concat(F.lit(f"{labels[c]}有 "), n.cast("string"), F.lit(" 天是當地國定假日"))).otherwise(F.lit(f"{labels[c]}沒有當地國定假日"))
+
+    joined = counted.join(weekends.select("year", "start", "end", "days"), ["year", "start"])
+    text = F.concat(
+        F.col("start").cast("string"), F.lit(" 至 "), F.col("end").cast("string"), F.lit("("), F.col("days").cast("string"), F.lit(" 天):"),
+        F.array_join(F.array(*[part(c) for c in labels]), ";"), F.lit("。"),
+    )
+    return joined.withColumn("sentence", text)
+
+
 def workday_holidays(days: DataFrame, foreign: DataFrame) -> DataFrame:
     """Foreign holidays on home working days; ``makeup`` marks a worked weekend. Dates outside the calendar drop out."""
     return foreign.join(days, "d").filter(~F.col("is_holiday")).select("country", "d", "name", (F.col("weekday") >= 6).alias("makeup"))
@@ -103,7 +117,17 @@ def compare_year(weekends: DataFrame, days: DataFrame, foreign: DataFrame, closu
         out = out.join(part, "year", "left")
     out = out.na.fill(0)
     text = lambda c: F.col(c).cast("string")
-    shares = [x for c in countries for x in (F.lit(" "), text(f"{c}_weekends"), F.lit(f" 個連假期間{labels[c]}有當地國定假日"), F.lit("," if c != countries[-1] else "。"))]
-    return out.withColumn(
-        "summary", F.concat(text("year"), F.lit(" 年台灣有 "), text("long_weekends"), F.lit(" 個 3 天以上連假;其中"), *shares)
+    shares = F.array_join(F.array(*[F.concat(text(f"{c}_weekends"), F.lit(f" 個連假期間{labels[c]}有當地國定假日")) for c in countries]), ",")
+
+    def workday(c: str) -> Column:
+        base = F.concat(text("year"), F.lit(f" 年{labels[c]}當地國定假日共 "), text(f"{c}_national"), F.lit(" 天,其中 "), text(f"{c}_workday"), F.lit(" 天台灣當天要上班"))
+        makeup = F.concat(F.lit("(含 "), text(f"{c}_makeup"), F.lit(" 天為台灣週末補班日)"))
+        return F.concat(base, F.when(F.col(f"{c}_makeup") > 0, makeup).otherwise(""), F.lit("。"))
+
+    closed_text = F.concat(
+        text("year"), F.lit(" 年落在 12/29–12/31 與 1/1–1/3 區間、且不是日本國民の祝日的日期共 "), text("closure_dates"), F.lit(" 天,其中 "), text("closure_workdays"), F.lit(" 天台灣當天要上班。")
+    )
+    summary = F.concat(text("year"), F.lit(" 年台灣有 "), text("long_weekends"), F.lit(" 個 3 天以上連假;其中 "), shares, F.lit("。"))
+    return out.select(
+        "*", summary.alias("summary"), *[workday(c).alias(f"{c}_sentence") for c in countries], closed_text.alias("closure_sentence")
     )

@@ -125,11 +125,11 @@ def parse_timetable(text: Column, fallback: Column) -> Column:
     no_days = F.array().cast("array<int>")
     no_text = F.lit(None).cast("string")
 
-    def parse(line: Column) -> Column:
+    def parse(line: Column, single: bool) -> Column:
         def item(days, arrive, drop):
             return F.struct(days.alias("weekday"), arrive.alias("arrive"), drop.alias("drop"))
 
-        rescued = (F.size(lines) == 1) & F.coalesce(fallback.rlike(BARE_TIME), F.lit(False))
+        rescued = F.coalesce(fallback.rlike(BARE_TIME), F.lit(False)) if single else F.lit(False)
         return (
             F.when(line.rlike(TIME_ONLY_LINE), item(no_days, F.regexp_extract(line, TIME_ONLY_LINE, 1), no_text))
             .when(line.rlike(LISTED_LINE), item(char_days(F.regexp_extract(line, LISTED_LINE, 1)), F.regexp_extract(line, LISTED_LINE, 2), no_text))
@@ -137,7 +137,8 @@ def parse_timetable(text: Column, fallback: Column) -> Column:
             .otherwise(item(no_days, no_text, F.concat(F.lit("格式異常已捨棄:'"), line, F.lit("'"))))
         )
 
-    return F.transform(lines, parse)
+    # the number of lines is tested once per text, not once per line
+    return F.when(F.size(lines) == 1, F.transform(lines, lambda x: parse(x, True))).otherwise(F.transform(lines, lambda x: parse(x, False)))
 
 
 def text_timetable(df: DataFrame, primary: str, memo: str, bare: str) -> DataFrame:

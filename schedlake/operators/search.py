@@ -118,7 +118,7 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, scan: int = 300, ord_col: str = "ord") -> DataFrame:
-    """(q, rank, point, score, stage): the best ``limit`` of the first ``scan`` matches in index order, by match position.
+    """(q, rank, point, score, stage, city_named): the best ``limit`` of the first ``scan`` matches in index order, by match position.
 
     Stage 1 filters by the named places, stage 2 retries without stray edge characters, stage 3
     takes the whole text without a filter; the first stage with a match answers. Both limits
@@ -169,15 +169,17 @@ def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, scan:
     scanned = first_rows(hits.unionByName(plain), ["q", "stage"], ["id"], scan, "seen")
     first_stage = scanned.groupBy("q").agg(F.min("stage").alias("stage"))
     chosen = scanned.join(first_stage, ["q", "stage"])
-    return first_rows(chosen, ["q"], ["score", "id"], limit).select("q", "rank", F.col("id").alias(ord_col), "score", "stage")
+    best = first_rows(chosen, ["q"], ["score", "id"], limit).join(parsed.select("q", (F.size("cities") > 0).alias("city_named")), "q")
+    return best.select("q", "rank", F.col("id").alias(ord_col), "score", "stage", (F.col("city_named") & (F.col("stage") < 3)).alias("city_named"))
 
 
 def links(found: DataFrame, points: DataFrame, base: str, ord_col: str = "ord") -> DataFrame:
-    """Search results with the name, place line and link of the point."""
+    """Search results with the name, place line and link of the point; the city is shown unless the query named one."""
     slug, rest = parse_id(F.col("point_id"))
     where = F.concat("district", F.when(F.coalesce("village", F.lit("")) != "", F.concat(F.lit("・"), "village")).otherwise(""))
     named = points.select(
-        ord_col, F.coalesce("point_name", F.lit("")).alias("name"), F.concat("city", where).alias("sub"),
+        ord_col, F.coalesce("point_name", F.lit("")).alias("name"), "city", where.alias("where"),
         F.concat(F.lit(base), F.concat_ws("/", "city_slug", slug, rest), F.lit("/")).alias("href"),
     )
-    return found.join(named, ord_col)
+    sub = F.when(F.col("city_named"), F.col("where")).otherwise(F.concat("city", "where"))
+    return found.join(named, ord_col).withColumn("sub", sub).drop("city", "where")

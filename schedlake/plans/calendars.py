@@ -166,9 +166,13 @@ def compare_days(v):
 
 
 @query("compare_weekends", "v_calendar v_foreign", sql=COMPARE_CTE + """
-SELECT year, CAST(start AS VARCHAR) AS start, count(*) FILTER (WHERE jp_names <> '') AS jp_days, count(*) FILTER (WHERE sg_names <> '') AS sg_days, count(*) FILTER (WHERE closed) AS closure_days FROM cd GROUP BY 1, 2""")
+SELECT year, CAST(start AS VARCHAR) AS start, count(*) FILTER (WHERE jp_names <> '') AS jp_days, count(*) FILTER (WHERE sg_names <> '') AS sg_days, count(*) FILTER (WHERE closed) AS closure_days,
+  CAST(start AS VARCHAR) || ' 至 ' || CAST(max(d) AS VARCHAR) || '(' || count(*) || ' 天):' || CASE WHEN count(*) FILTER (WHERE jp_names <> '') > 0 THEN '日本有 ' || count(*) FILTER (WHERE jp_names <> '') || ' 天是當地國定假日' ELSE '日本沒有當地國定假日' END || ';'
+  || CASE WHEN count(*) FILTER (WHERE sg_names <> '') > 0 THEN '新加坡有 ' || count(*) FILTER (WHERE sg_names <> '') || ' 天是當地國定假日' ELSE '新加坡沒有當地國定假日' END || '。' AS sentence FROM cd GROUP BY year, start""")
 def compare_weekends(v):
-    return text_dates(X.per_weekend(X.compare_days(*compared(v), COUNTRIES), COUNTRIES), "start")
+    parts = compared(v)
+    counted = X.per_weekend(X.compare_days(*parts, COUNTRIES), COUNTRIES)
+    return text_dates(X.weekend_sentence(counted, parts[0], {"jp": "日本", "sg": "新加坡"}).drop("end", "days"), "start")
 
 
 @query("workday_holidays", "v_calendar v_foreign", sql="""
@@ -193,7 +197,10 @@ k AS (SELECT year(d) AS year, count(*) AS closure_dates, count(*) FILTER (WHERE
 z AS (SELECT y.year, coalesce(long_weekends, 0) AS long_weekends, coalesce(jp_weekends, 0) AS jp_weekends, coalesce(sg_weekends, 0) AS sg_weekends, coalesce(jp_national, 0) AS jp_national, coalesce(sg_national, 0) AS sg_national,
   coalesce(jp_workday, 0) AS jp_workday, coalesce(sg_workday, 0) AS sg_workday, coalesce(jp_makeup, 0) AS jp_makeup, coalesce(sg_makeup, 0) AS sg_makeup, coalesce(closure_dates, 0) AS closure_dates, coalesce(closure_workdays, 0) AS closure_workdays
   FROM y LEFT JOIN a ON a.year = y.year LEFT JOIN n ON n.year = y.year LEFT JOIN w ON w.year = y.year LEFT JOIN k ON k.year = y.year)
-SELECT *, year || ' 年台灣有 ' || long_weekends || ' 個 3 天以上連假;其中 ' || jp_weekends || ' 個連假期間日本有當地國定假日, ' || sg_weekends || ' 個連假期間新加坡有當地國定假日。' AS summary FROM z""")
+SELECT *, year || ' 年台灣有 ' || long_weekends || ' 個 3 天以上連假;其中 ' || jp_weekends || ' 個連假期間日本有當地國定假日,' || sg_weekends || ' 個連假期間新加坡有當地國定假日。' AS summary,
+  year || ' 年日本當地國定假日共 ' || jp_national || ' 天,其中 ' || jp_workday || ' 天台灣當天要上班' || CASE WHEN jp_makeup > 0 THEN '(含 ' || jp_makeup || ' 天為台灣週末補班日)' ELSE '' END || '。' AS jp_sentence,
+  year || ' 年新加坡當地國定假日共 ' || sg_national || ' 天,其中 ' || sg_workday || ' 天台灣當天要上班' || CASE WHEN sg_makeup > 0 THEN '(含 ' || sg_makeup || ' 天為台灣週末補班日)' ELSE '' END || '。' AS sg_sentence,
+  year || ' 年落在 12/29–12/31 與 1/1–1/3 區間、且不是日本國民の祝日的日期共 ' || closure_dates || ' 天,其中 ' || closure_workdays || ' 天台灣當天要上班。' AS closure_sentence FROM z""")
 def compare_year(v):
     return X.compare_year(*compared(v), COUNTRIES, {"jp": "日本", "sg": "新加坡"})
 
