@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from schedlake.functions.text import strip
 
 # Time formats.
-CLOCK = r"^([01]?[0-9]|2[0-3]):([0-5][0-9])$"
+CLOCK = r"^([01]?[0-9]|2[0-3])[:：]([0-5][0-9])$"
 CLOCK_STRICT = r"^([01][0-9]|2[0-3]):[0-5][0-9]$"
 CLOCK_SHAPE = r"^[0-9]{2}:[0-9]{2}$"
 
@@ -18,11 +18,9 @@ WEEKDAY_CHARS = ["一", "二", "三", "四", "五", "六", "日"]
 
 def clock(c: Column) -> Column:
     """Zero-padded HH:MM from loose input (blanks, full-width colon, one-digit hour); NULL when it is no time."""
-    t = F.translate(strip(c), "：", ":")
-    return F.when(
-        t.rlike(CLOCK),
-        F.concat(F.lpad(F.regexp_extract(t, CLOCK, 1), 2, "0"), F.lit(":"), F.regexp_extract(t, CLOCK, 2)),
-    )
+    t = strip(c)
+    hour = F.regexp_extract(t, CLOCK, 1)
+    return F.when(hour != "", F.concat(F.lpad(hour, 2, "0"), F.lit(":"), F.regexp_extract(t, CLOCK, 2)))
 
 
 def is_clock(c: Column) -> Column:
@@ -52,15 +50,14 @@ def mask_days(mask: Column) -> Column:
 def run_mask_days(mask: Column) -> Column:
     """ISO weekdays at which a 7-character, Sunday-first run mask holds '2'; other lengths give an empty array."""
     days = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: F.substr(mask, i + 1, F.lit(1)) == "2")
-    iso = F.array_sort(F.transform(days, lambda i: F.when(i == 0, 7).otherwise(i)))
+    iso = F.sort_array(F.transform(days, lambda i: F.when(i == 0, 7).otherwise(i)))
     return F.when(F.length(mask) == 7, iso).otherwise(F.array().cast("array<int>"))
 
 
 def char_days(chars: Column) -> Column:
     """Sorted ISO weekdays of comma-separated weekday characters; anything else is ignored."""
-    names = F.array(*[F.lit(c) for c in WEEKDAY_CHARS])
-    pos = F.transform(F.split(chars, ","), lambda c: F.array_position(names, c).cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(pos, lambda p: p > 0)))
+    listed = F.concat(F.lit(","), chars, F.lit(","))
+    return F.array_compact(F.array(*[F.when(listed.contains(f",{c},"), F.lit(i)) for i, c in enumerate(WEEKDAY_CHARS, 1)]))
 
 
 def weekday_name(weekday: Column, prefix: str = "週") -> Column:

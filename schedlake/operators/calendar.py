@@ -28,7 +28,7 @@ def _named(*conditions: Column) -> Column:
     keep = F.coalesce(F.col("memo"), F.lit("")) != ""
     for c in conditions:
         keep = keep & c
-    return F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("d", "memo")))), lambda x: x["memo"])
+    return F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("d", "memo")))), lambda x: x["memo"])
 
 
 def long_weekends(days: DataFrame, min_len: int = 3, partition: Column | None = None) -> DataFrame:

@@ -95,7 +95,7 @@ def district_text(stats: DataFrame, keys: list[str], name: str = "district", see
 
 
 def _known_days(entries: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(entries, lambda e: e["weekday"]))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(entries, lambda e: e["weekday"]))))
 
 
 def _varied(entries: str) -> Column:
@@ -222,5 +222,5 @@ def faq_docs(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.col("question").alias("name"),
         F.struct(F.lit("Answer").alias("@type"), F.col("answer").alias("text")).alias("acceptedAnswer"),
     )
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))), lambda x: x["item"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", item.alias("item")))), lambda x: x["item"])
     return rows.groupBy(*keys).agg(F.to_json(_typed("FAQPage", ordered.alias("mainEntity"))).alias("doc"))

@@ -42,7 +42,7 @@ def home_label() -> Column:
 
 def holidays_by_day(foreign: DataFrame, countries: list[str]) -> DataFrame:
     """One row per date with the sorted distinct names of each country."""
-    names = lambda c: F.array_sort(F.collect_set(F.when(F.col("country") == c, F.col("name"))))
+    names = lambda c: F.sort_array(F.collect_set(F.when(F.col("country") == c, F.col("name"))))
     return foreign.groupBy("d").agg(*[names(c).alias(f"{c}_names") for c in countries])
 
 

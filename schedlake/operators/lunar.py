@@ -165,7 +165,7 @@ def year_summary(lunar: DataFrame) -> DataFrame:
 def checks(lunar: DataFrame, leap_years: list[int], terms: list[str]) -> DataFrame:
     """One row per self-check of the daily dimension: name, passed and the observed figure."""
     row = lambda df, name, passed, seen: df.select(F.lit(name).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"), seen.cast("long").alias("observed"))
-    listed = lambda values: F.array_sort(F.array(*[F.lit(v) for v in values]))
+    listed = lambda values: F.sort_array(F.array(*[F.lit(v) for v in values]))
 
     span = lunar.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("solar_date").alias("u"), (F.datediff(F.max("solar_date"), F.min("solar_date")) + 1).alias("days"))
     months = segments(lunar).withColumn("end", F.date_add("start", F.col("days") - 1))
@@ -174,9 +174,9 @@ def checks(lunar: DataFrame, leap_years: list[int], terms: list[str]) -> DataFra
     bad_months = months.filter((F.col("start") != lo) & (F.col("end") != hi) & ~F.col("days").isin(29, 30)).agg(F.count(F.lit(1)).alias("n"))
     years = lunar.groupBy(F.year("solar_date").alias("y")).agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("solar_term") != "").alias("terms"))
     bad_terms = years.filter((F.col("days") >= 365) & (F.col("terms") != 24)).agg(F.count(F.lit(1)).alias("n"))
-    names = lunar.filter("solar_term <> ''").agg(F.array_sort(F.collect_set("solar_term")).alias("s"))
+    names = lunar.filter("solar_term <> ''").agg(F.sort_array(F.collect_set("solar_term")).alias("s"))
     zodiacs = lunar.agg(F.collect_set("zodiac").alias("s"))
-    leaps = lunar.filter("is_leap_month").agg(F.array_sort(F.collect_set("lunar_year")).alias("s"))
+    leaps = lunar.filter("is_leap_month").agg(F.sort_array(F.collect_set("lunar_year")).alias("s"))
     f = festivals(lunar)
     eves = f.filter("festival = '除夕'").select((F.col("lunar_year") + 1).alias("lunar_year"), F.date_add("solar_date", 1).alias("expected"))
     new_years = f.filter("festival = '正月初一'").select("lunar_year", "solar_date")
@@ -232,12 +232,12 @@ def documents(occasions: DataFrame, dates: DataFrame, ord_col: str = "ord") -> D
     first = occasions.groupBy(*key).agg(F.min_by(F.struct("common_name", "honorific_source"), ord_col).alias("r")).select(*key, "r.*")
     first = first.withColumn("honorific", F.nullif("honorific_source", "occasion_type"))
     per_day = dates.groupBy(*MD).agg(
-        F.array_sort(F.collect_set(F.struct("solar_date", "solar_year", "adjusted", "adjust_note"))).alias("dates"),
+        F.sort_array(F.collect_set(F.struct("solar_date", "solar_year", "adjusted", "adjust_note"))).alias("dates"),
         F.max_by("lunar_label", F.struct(~F.col("adjusted"), "solar_date")).alias("lunar_label"),
     )
     joined = first.join(per_day, MD, "left")
     element = F.struct(*MD, folk_month(F.col("lunar_label")).alias("lunar_label"), "occasion_type", "honorific", "dates")
-    return joined.groupBy("deity_name").agg(F.min("common_name").alias("common_name"), F.array_sort(F.collect_list(element)).alias("occasions"))
+    return joined.groupBy("deity_name").agg(F.min("common_name").alias("common_name"), F.sort_array(F.collect_list(element)).alias("occasions"))
 
 
 def flatten_documents(docs: DataFrame) -> DataFrame:

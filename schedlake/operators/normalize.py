@@ -15,8 +15,7 @@ ENTRIES = f"array<{ENTRY}>"
 NO_ENTRIES = f"cast(array() as {ENTRIES})"
 
 # Text timetable lines and grid cells.
-TIME_ONLY_LINE = r"^班表時間：([0-9]{1,2}:[0-9]{2})$"
-LISTED_LINE = r"^星期([一二三四五六日,]+)：([0-9]{1,2}:[0-9]{2})$"
+TIMETABLE_LINE = r"^(?:班表時間|星期([一二三四五六日,]+))：([0-9]{1,2}:[0-9]{2})$"
 BARE_TIME = r"^([01]?[0-9]|2[0-3]):([0-5][0-9])$"
 CELL_TIME = r"[0-2]?[0-9]:[0-5][0-9]"
 CELL_BOTH = rf"^({CELL_TIME})~({CELL_TIME})\n\(({CELL_TIME})~({CELL_TIME})\)$"
@@ -51,7 +50,7 @@ def nest_schedules(points: DataFrame, entries: DataFrame, kinds: tuple[str, ...]
     merged = merge_entries(entries, [id_col, "kind"])
     entry = F.struct("weekday", "arrive", "depart")
     arrays = merged.groupBy(id_col).agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, entry))).alias(n) for k, n in names.items()]
+        *[F.sort_array(F.collect_list(F.when(F.col("kind") == k, entry))).alias(n) for k, n in names.items()]
     )
     empty = F.expr(NO_ENTRIES)
     out = points.join(arrays, id_col, "left")
@@ -71,7 +70,7 @@ def group_days(days: Column) -> Column:
             t["depart"].alias("depart"),
         ),
     )
-    return F.array_sort(entries)
+    return F.sort_array(entries)
 
 
 def wide_days(df: DataFrame, prefix: str, out: str, notes: str) -> DataFrame:
@@ -122,6 +121,7 @@ def parse_timetable(text: Column, fallback: Column) -> Column:
     A single unreadable line falls back to the bare arrival time, where that is a time. Line order is kept.
     """
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: strip(x) != "")
+    # one pattern reads both forms: without weekday characters the day is unknown
     no_days = F.array().cast("array<int>")
     no_text = F.lit(None).cast("string")
 
@@ -130,9 +130,9 @@ def parse_timetable(text: Column, fallback: Column) -> Column:
             return F.struct(days.alias("weekday"), arrive.alias("arrive"), drop.alias("drop"))
 
         rescued = F.coalesce(fallback.rlike(BARE_TIME), F.lit(False)) if single else F.lit(False)
+        time = F.regexp_extract(line, TIMETABLE_LINE, 2)
         return (
-            F.when(line.rlike(TIME_ONLY_LINE), item(no_days, F.regexp_extract(line, TIME_ONLY_LINE, 1), no_text))
-            .when(line.rlike(LISTED_LINE), item(char_days(F.regexp_extract(line, LISTED_LINE, 1)), F.regexp_extract(line, LISTED_LINE, 2), no_text))
+            F.when(time != "", item(char_days(F.regexp_extract(line, TIMETABLE_LINE, 1)), time, no_text))
             .when(rescued, item(no_days, fallback, F.concat(F.lit("格式異常但以 arrive_time 交叉檢查復原:'"), line, F.lit("' -> "), fallback)))
             .otherwise(item(no_days, no_text, F.concat(F.lit("格式異常已捨棄:'"), line, F.lit("'"))))
         )
@@ -227,7 +227,7 @@ def grid_rows(df: DataFrame, cells: str = "cells", header: str = "里別") -> Da
 
 def first_arrive(entries: Column, sort: bool = True) -> Column:
     """Arrival of the first entry by weekday list (or in the given order); NULL when there is none."""
-    return F.get(F.array_sort(entries) if sort else entries, F.lit(0))["arrive"]
+    return F.get(F.sort_array(entries) if sort else entries, F.lit(0))["arrive"]
 
 
 # -- records ------------------------------------------------------------------

@@ -73,7 +73,7 @@ def nearest_sites(points: DataFrame, k: int, id_col: str = "ord") -> DataFrame:
     touched = reach.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(cols))
     found = touched.join(near, cell).withColumn("d", d).filter(F.col("sparse") | (F.col("d") <= F.col("r")))
     best = first_rows(found, site, ["d", "n_id"], k)
-    return best.groupBy(*site).agg(F.array_sort(F.collect_list(F.struct("d", F.col("n_id").alias("id")))).alias("near"))
+    return best.groupBy(*site).agg(F.sort_array(F.collect_list(F.struct("d", F.col("n_id").alias("id")))).alias("near"))
 
 
 def knn_geo(points: DataFrame, k: int = 5, id_col: str = "ord") -> DataFrame:
@@ -90,7 +90,7 @@ def knn_geo(points: DataFrame, k: int = 5, id_col: str = "ord") -> DataFrame:
 def _head(points: DataFrame, keys: list[str], id_col: str, n: int, fields: list[str], name: str) -> DataFrame:
     """First ``n`` rows per key in input order, as one bounded array per key."""
     top = first_rows(points.select(*dict.fromkeys([*keys, id_col, *fields])), keys, [id_col], n)
-    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), *fields))).alias(name))
+    return top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), *fields))).alias(name))
 
 
 def _mixed_head(points: DataFrame, id_col: str, k: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _mixed_head(points: DataFrame, id_col: str, k: int) -> DataFrame:
     per_village = first_rows(rows.filter("v <> ''"), [*BLOCK, "v"], [id_col], k).drop("rank")
     no_village = first_rows(rows.filter("v = ''"), BLOCK, [id_col], 2 * k + 1).drop("rank")
     top = first_rows(per_village.unionByName(no_village), BLOCK, [id_col], 2 * k + 1)
-    return top.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), "v"))).alias("block_head"))
+    return top.groupBy(*BLOCK).agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), "v"))).alias("block_head"))
 
 
 def knn_fallback(points: DataFrame, k: int = 5, id_col: str = "ord") -> DataFrame:
@@ -145,13 +145,13 @@ def knn_candidates(points: DataFrame, k: int = 5, village_cap: int = 200, block_
     )
     joined = joined.withColumn("cand", F.when(F.col("wide"), others("block_head", block_cap)).otherwise(F.col("near"))).drop("near", "village_head", "block_head")
     geo = valid_geo(F.col("lat"), F.col("lng"))
-    by_distance = F.array_sort(
+    by_distance = F.sort_array(
         F.transform(
             F.filter("cand", lambda x: valid_geo(x["lat"], x["lng"])),
             lambda x: F.struct(distance(F.col("lat"), F.col("lng"), x["lat"], x["lng"]).alias("key"), x["id"].alias("id")),
         )
     )
-    by_village = F.array_sort(
+    by_village = F.sort_array(
         F.transform("cand", lambda x: F.struct(F.when((F.col("v") != "") & (x["v"] == F.col("v")), 0.0).otherwise(1.0).alias("key"), x["id"].alias("id")))
     )
     picks = F.slice(F.when(geo, by_distance).otherwise(by_village), 1, k)

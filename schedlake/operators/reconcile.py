@@ -13,7 +13,7 @@ KEY = ["key_village", "key_name"]
 
 def schedule_signature(*arrays: str) -> Column:
     """Order-free signature of schedule arrays; NULL and [] are alike."""
-    parts = [F.to_json(F.array_sort(F.col(a))) for a in arrays]
+    parts = [F.to_json(F.sort_array(F.col(a))) for a in arrays]
     return F.sha2(F.concat_ws("/", *[F.coalesce(p, F.lit("[]")) for p in parts]), 256)
 
 

@@ -130,7 +130,7 @@ def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, scan:
     parsed = cut_lineage(parse_queries(queries, cities, districts))
     dist_text = districts.select("district_idx", "city_idx", search_text(F.col("district")).alias("d_text"))
     texts = indexed.select("district_idx", search_text(F.concat("name", F.coalesce("village", F.lit("")))).alias("hay"), F.col(ord_col).alias("id"))
-    texts = first_rows(texts, ["district_idx", "hay"], ["id"], scan).groupBy("district_idx", "hay").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    texts = first_rows(texts, ["district_idx", "hay"], ["id"], scan).groupBy("district_idx", "hay").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     # one row per distinct text: written once, read by the gram count and both matching branches
     texts = cut_lineage(texts.join(dist_text.select("district_idx", "d_text"), "district_idx").withColumn("full_hay", F.concat("hay", "d_text")).drop("d_text"))
     gram_rows = texts.withColumn("gram", F.explode(F.concat(_grams(F.col("full_hay"), 1), _grams(F.col("full_hay"), 2))))

@@ -13,13 +13,13 @@ from schedlake.operators.skew import salted_join
 def weekday_times(entries: DataFrame, id_col: str = "ord") -> DataFrame:
     """Sorted distinct garbage arrivals per point and weekday; unknown days and malformed times are left out."""
     rows = entries.filter((F.col("kind") == "garbage") & F.col("weekday").isNotNull() & F.col("arrive").rlike(CLOCK_SHAPE))
-    return rows.groupBy(id_col, "weekday").agg(F.array_sort(F.collect_set("arrive")).alias("times"))
+    return rows.groupBy(id_col, "weekday").agg(F.sort_array(F.collect_set("arrive")).alias("times"))
 
 
 def weekly_times(entries: DataFrame, id_col: str = "ord") -> DataFrame:
     """All (weekday, time) of a point in one sorted array: at most 7 x 1440 values whatever the number of entries."""
     rows = entries.filter((F.col("kind") == "garbage") & F.col("weekday").isNotNull() & F.col("arrive").rlike(CLOCK_SHAPE))
-    return rows.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("weekday", "arrive"))).alias("week"))
+    return rows.groupBy(id_col).agg(F.sort_array(F.collect_set(F.struct("weekday", "arrive"))).alias("week"))
 
 
 def next_run(asks: DataFrame, entries: DataFrame, ask_id: str, id_col: str = "ord") -> DataFrame:
@@ -52,7 +52,7 @@ def day_status(points: DataFrame) -> DataFrame:
     The first entry that serves the day decides; without one: other days, unknown days, or what else the point offers.
     """
     days = F.transform("schedule", lambda e: e["weekday"])
-    known = F.array_sort(F.array_distinct(F.flatten(days)))
+    known = F.sort_array(F.array_distinct(F.flatten(days)))
     unknown = F.array_distinct(F.transform(F.filter("schedule", lambda e: F.size(e["weekday"]) == 0), lambda e: e["arrive"]))
     base = (
         points.withColumn("known_days", known)

@@ -90,7 +90,7 @@ def hour_histogram(points: DataFrame, entries: DataFrame, keys: list[str] = DIST
 def peak_hours(histogram: DataFrame, keys: list[str] = DISTRICT, max_ties: int = 3) -> DataFrame:
     """Busiest hours with all ties; none when the maximum is 1 or more than ``max_ties`` hours share it. At most 24 rows per key."""
     bins = histogram.groupBy(*keys).agg(F.max("entries").alias("peak"), F.collect_list(F.struct("hour", "entries")).alias("bins"))
-    top = F.array_sort(F.transform(F.filter("bins", lambda b: b["entries"] == F.col("peak")), lambda b: b["hour"]))
+    top = F.sort_array(F.transform(F.filter("bins", lambda b: b["entries"] == F.col("peak")), lambda b: b["hour"]))
     clear = (F.col("peak") > 1) & (F.size("hours") <= max_ties)
     return bins.withColumn("hours", top).select(*keys, F.when(clear, F.col("hours")).alias("hours"), F.when(clear, F.col("peak")).alias("peak"))
 
@@ -161,7 +161,7 @@ def siblings(dims: DataFrame, parent: str, child: str, max_children: int = 10000
     A dimension-level operator: the children of one parent form one array, and a parent
     with more than ``max_children`` of them raises instead of building a huge one.
     """
-    lists = dims.select(parent, child).distinct().groupBy(parent).agg(F.array_sort(F.collect_list(child)).alias("all"))
+    lists = dims.select(parent, child).distinct().groupBy(parent).agg(F.sort_array(F.collect_list(child)).alias("all"))
     bounded = F.when(F.size("all") <= max_children, F.col("all")).otherwise(
         F.raise_error(F.concat(F.lit("too many children of "), F.col(parent).cast("string")))
     )

@@ -151,7 +151,7 @@ def nested_documents(v):
     ends = F.flatten(F.transform(o, lambda x: F.transform(F.coalesce(x["dates"], F.array()), lambda d: d["solar_date"])))
     shape = F.array_join(
         F.transform(
-            F.array_sort(F.transform(o, lambda x: F.struct(x["lunar_month"].alias("m"), x["lunar_day"].alias("d"), x["occasion_type"].alias("t"), F.coalesce(x["honorific"], F.lit("-")).alias("h")))),
+            F.sort_array(F.transform(o, lambda x: F.struct(x["lunar_month"].alias("m"), x["lunar_day"].alias("d"), x["occasion_type"].alias("t"), F.coalesce(x["honorific"], F.lit("-")).alias("h")))),
             lambda x: F.concat(x["m"].cast("string"), F.lit("/"), x["d"].cast("string"), F.lit(":"), x["t"], F.lit(":"), x["h"]),
         ),
         "|",
