@@ -56,8 +56,8 @@ def run_mask_days(mask: Column) -> Column:
 
 def char_days(chars: Column) -> Column:
     """Sorted ISO weekdays of comma-separated weekday characters; anything else is ignored."""
-    listed = F.concat(F.lit(","), chars, F.lit(","))
-    return F.array_compact(F.array(*[F.when(listed.contains(f",{c},"), F.lit(i)) for i, c in enumerate(WEEKDAY_CHARS, 1)]))
+    digits = F.split(F.translate(chars, "".join(WEEKDAY_CHARS), "1234567"), ",")
+    return F.sort_array(F.array_distinct(F.filter(digits, lambda d: F.length(d) == 1).cast("array<int>")))
 
 
 def weekday_name(weekday: Column, prefix: str = "週") -> Column:

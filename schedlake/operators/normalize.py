@@ -15,7 +15,8 @@ ENTRIES = f"array<{ENTRY}>"
 NO_ENTRIES = f"cast(array() as {ENTRIES})"
 
 # Text timetable lines and grid cells.
-TIMETABLE_LINE = r"^(?:班表時間|星期([一二三四五六日,]+))：([0-9]{1,2}:[0-9]{2})$"
+TIMETABLE_LINE = r"(?md)^(?:班表時間|星期([一二三四五六日,]+))：([0-9]{1,2}:[0-9]{2})$"
+OTHER_LINE = r"(?mdU)^(?!(?:班表時間|星期[一二三四五六日,]+)：[0-9]{1,2}:[0-9]{2}$).*\S.*$"
 BARE_TIME = r"^([01]?[0-9]|2[0-3]):([0-5][0-9])$"
 CELL_TIME = r"[0-2]?[0-9]:[0-5][0-9]"
 CELL_BOTH = rf"^({CELL_TIME})~({CELL_TIME})\n\(({CELL_TIME})~({CELL_TIME})\)$"
@@ -115,55 +116,43 @@ def flag_days(df: DataFrame, prefix: str, time: Column, out: str, notes: str) ->
     )
 
 
-def parse_timetable(text: Column, fallback: Column) -> Column:
-    """Text timetable to an array of (weekday, arrive, drop); ``drop`` says why a line was dropped or rescued.
+def parse_timetable(df: DataFrame, text: str, fallback: Column, name: str) -> DataFrame:
+    """Text timetable to ``{name}_entries`` (weekday, arrive, depart, weekday_source) and ``{name}_drops``.
 
-    A single unreadable line falls back to the bare arrival time, where that is a time. Line order is kept.
+    Lines are found by regular expressions over the whole text, in line order; a line without
+    weekday characters has an unknown day. A single unreadable line falls back to the bare
+    arrival time, where that is a time; every other unreadable line is dropped with its reason.
     """
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: strip(x) != "")
-    # one pattern reads both forms: without weekday characters the day is unknown
-    no_days = F.array().cast("array<int>")
-    no_text = F.lit(None).cast("string")
-
-    def parse(line: Column, single: bool) -> Column:
-        def item(days, arrive, drop):
-            return F.struct(days.alias("weekday"), arrive.alias("arrive"), drop.alias("drop"))
-
-        rescued = F.coalesce(fallback.rlike(BARE_TIME), F.lit(False)) if single else F.lit(False)
-        time = F.regexp_extract(line, TIMETABLE_LINE, 2)
-        return (
-            F.when(time != "", item(char_days(F.regexp_extract(line, TIMETABLE_LINE, 1)), time, no_text))
-            .when(rescued, item(no_days, fallback, F.concat(F.lit("格式異常但以 arrive_time 交叉檢查復原:'"), line, F.lit("' -> "), fallback)))
-            .otherwise(item(no_days, no_text, F.concat(F.lit("格式異常已捨棄:'"), line, F.lit("'"))))
-        )
-
-    # the number of lines is tested once per text, not once per line
-    return F.when(F.size(lines) == 1, F.transform(lines, lambda x: parse(x, True))).otherwise(F.transform(lines, lambda x: parse(x, False)))
+    raw = F.coalesce(F.col(text), F.lit(""))
+    all_of = lambda pattern, group: F.regexp_extract_all(raw, F.lit(pattern), F.lit(group))
+    df = df.withColumn("__times", all_of(TIMETABLE_LINE, 2)).withColumn("__chars", all_of(TIMETABLE_LINE, 1)).withColumn("__bad", all_of(OTHER_LINE, 0))
+
+    def entry(days: Column, arrive: Column) -> Column:
+        source = F.when(F.size(days) > 0, "listed").otherwise("absent")
+        return F.struct(days.alias("weekday"), arrive.alias("arrive"), F.lit(None).cast("string").alias("depart"), source.alias("weekday_source"))
+
+    rescued = (F.size("__times") == 0) & (F.size("__bad") == 1) & F.coalesce(fallback.rlike(BARE_TIME), F.lit(False))
+    parsed = F.transform("__times", lambda t, i: entry(char_days(F.get("__chars", i)), t))
+    why = F.concat(F.lit("格式異常但以 arrive_time 交叉檢查復原:'"), F.get("__bad", F.lit(0)), F.lit("' -> "), fallback)
+    dropped = F.transform("__bad", lambda x: F.concat(F.lit("格式異常已捨棄:'"), x, F.lit("'")))
+    return (
+        df.withColumn(f"{name}_entries", F.when(rescued, F.array(entry(F.array().cast("array<int>"), fallback))).otherwise(parsed))
+        .withColumn(f"{name}_drops", F.when(rescued, F.array(why)).otherwise(dropped))
+        .drop("__times", "__chars", "__bad")
+    )
 
 
 def text_timetable(df: DataFrame, primary: str, memo: str, bare: str) -> DataFrame:
     """Adds entries (primary lines, then memo lines), drops, memo_entries and the arrival mismatch flag."""
-    no_fallback = F.lit(None).cast("string")
-    parsed = df.withColumn("__p", parse_timetable(F.col(primary), F.col(bare))).withColumn("__m", parse_timetable(F.col(memo), no_fallback))
-    kept = lambda c: F.filter(F.col(c), lambda x: x["arrive"].isNotNull())
-    entries = F.transform(
-        F.concat(kept("__p"), kept("__m")),
-        lambda x: F.struct(
-            x["weekday"].alias("weekday"),
-            x["arrive"].alias("arrive"),
-            F.lit(None).cast("string").alias("depart"),
-            F.when(F.size(x["weekday"]) > 0, "listed").otherwise("absent").alias("weekday_source"),
-        ),
-    )
-    drops = F.transform(F.filter(F.concat("__p", "__m"), lambda x: x["drop"].isNotNull()), lambda x: x["drop"])
-    times = F.transform(F.col("entries"), lambda x: x["arrive"])
+    out = parse_timetable(parse_timetable(df, primary, F.col(bare), "__p"), memo, F.lit(None).cast("string"), "__m")
+    out = out.withColumn("entries", F.concat("__p_entries", "__m_entries"))
+    times = F.transform("entries", lambda x: x["arrive"])
     mismatch = F.coalesce(F.col(bare).rlike(BARE_TIME), F.lit(False)) & (F.size("entries") > 0) & ~F.array_contains(times, F.col(bare))
     return (
-        parsed.withColumn("entries", entries)
-        .withColumn("drops", drops)
-        .withColumn("memo_entries", F.size(kept("__m")))
+        out.withColumn("drops", F.concat("__p_drops", "__m_drops"))
+        .withColumn("memo_entries", F.size("__m_entries"))
         .withColumn("mismatch", F.coalesce(mismatch, F.lit(False)))
-        .drop("__p", "__m")
+        .drop("__p_entries", "__m_entries", "__p_drops", "__m_drops")
     )
 
 
