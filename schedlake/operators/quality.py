@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from schedlake.functions.geo import valid_geo
 from schedlake.functions.times import is_clock
+from schedlake.operators.skew import range_bucket, range_splits
 
 # Thresholds of the three layers.
 L1_MIN_COMPLETE = 0.95
@@ -184,6 +185,20 @@ def date_gaps(days: DataFrame, d: str, partition: Column) -> DataFrame:
     )
 
 
+def unsorted(rows: DataFrame, order: str, d: str) -> DataFrame:
+    """Rows whose value is below an earlier one (by the unique numeric ``order``).
+
+    The running maximum is taken inside ranges of ``order`` and over one maximum per range.
+    """
+    splits = range_splits(rows, order)
+    ranged = rows.withColumn("__range", range_bucket(F.col(order), splits))
+    tops = ranged.groupBy("__range").agg(F.max(d).alias("__top"))
+    earlier = F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max(d).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    out = ranged.withColumn("__inside", inside).join(tops.withColumn("__earlier", earlier).drop("__top"), "__range")
+    return out.filter(F.col(d) < F.greatest("__inside", "__earlier")).drop("__range", "__inside", "__earlier")
+
+
 def spot_checks(expected: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Expected rows against the table: (keys, expected, positive flag) with ``ok``.
 

@@ -217,3 +217,10 @@ def normalize_stats(v):
     )
     shared = Q.multi_parent(v.stops(), "poi_id", "route_id").agg(F.count(F.lit(1))).scalar()
     return Q.normalize_stats(both, []).withColumn("multi_route_pois", shared)
+
+
+@query("sort_check", sql="""
+WITH r AS (SELECT o_orderkey, o_orderdate, max(o_orderdate) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM orders)
+SELECT o_orderkey FROM r WHERE o_orderdate < top""")
+def sort_check(v):
+    return Q.unsorted(v.table("orders").select("o_orderkey", "o_orderdate"), "o_orderkey", "o_orderdate").select("o_orderkey")

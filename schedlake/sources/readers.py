@@ -42,8 +42,8 @@ def envelope(spark: SparkSession, path: str, record: str) -> DataFrame:
     A document is read by one task; many documents are read in parallel.
     """
     docs = spark.read.schema(f"city string, source string, fetched_at string, records array<{record}>").json(path, multiLine=True)
-    rows = docs.select(F.col("city").alias("env_city"), F.col("source").alias("env_source"), F.col("fetched_at").alias("env_fetched_at"), F.inline("records"))
-    return rows
+    head = [F.col("city").alias("env_city"), F.col("source").alias("env_source"), F.col("fetched_at").alias("env_fetched_at")]
+    return docs.select(*head, F.posexplode("records").alias("ord", "r")).select("env_city", "env_source", "env_fetched_at", F.col("ord").cast("long").alias("ord"), "r.*")
 
 
 def stop_files(spark: SparkSession, directory: str, zone: str = "Asia/Taipei") -> DataFrame:
@@ -61,8 +61,8 @@ def stop_files(spark: SparkSession, directory: str, zone: str = "Asia/Taipei") -
         F.regexp_extract("file", STOP_FILE, 2).alias("route_id"),
         F.regexp_extract("file", STOP_FILE, 3).alias("car_type"),
         F.concat(day, F.lit("T00:00:00+08:00")).alias("fetched_at"),
-        F.inline("result"),
-    )
+        F.posexplode("result").alias("pos", "r"),
+    ).select("file", "file_gid", "route_id", "car_type", "fetched_at", "pos", "r.*")
 
 
 def route_lists(spark: SparkSession, directory: str) -> DataFrame:
