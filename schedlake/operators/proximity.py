@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from schedlake.functions.geo import EARTH_KM, LAT_RANGE, LNG_RANGE, haversine_km, valid_geo
 from schedlake.operators.skew import first_rows, salted_join
+from schedlake.session import cut_lineage
 
 BLOCK = ["city_slug", "district_slug"]
 #: Side of the coarsest cell in degrees (the whole accepted range) and number of levels; each level divides the side by 4.
@@ -42,7 +43,8 @@ def nearest_sites(points: DataFrame, k: int, id_col: str = "ord") -> DataFrame:
     """Per site (block, lat, lng) with valid coordinates: its nearest ``k`` points, those of the site itself included, as an array."""
     site = [*BLOCK, "lat", "lng"]
     geo = points.filter(valid_geo(F.col("lat"), F.col("lng"))).select(*site, id_col)
-    candidates = first_rows(geo, site, [id_col], k).drop("rank")
+    # candidates and placed sites are read by several joins below, so each is written once
+    candidates = cut_lineage(first_rows(geo, site, [id_col], k).drop("rank"))
     sites = candidates.select(*site).distinct()
     cell = [*BLOCK, "level", "cy", "cx"]
 
@@ -52,6 +54,7 @@ def nearest_sites(points: DataFrame, k: int, id_col: str = "ord") -> DataFrame:
     finest = _at_levels(sites).join(dense, cell).groupBy(*site).agg(F.max("level").alias("level"))
     placed = sites.join(finest, site, "left").withColumn("sparse", F.col("level").isNull()).withColumn("level", F.coalesce("level", F.lit(0)))
     placed = placed.withColumn("cy", _cell(F.col("lat"), LAT_RANGE[0], F.col("level"))).withColumn("cx", _cell(F.col("lng"), LNG_RANGE[0], F.col("level")))
+    placed = cut_lineage(placed)
 
     near = leveled.select(*cell, F.col(id_col).alias("n_id"), F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"))
     d = distance(F.col("lat"), F.col("lng"), F.col("n_lat"), F.col("n_lng"))

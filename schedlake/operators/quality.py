@@ -24,11 +24,15 @@ def rate(part: Column, total: Column, empty: float = 0.0) -> Column:
     return F.when(total == 0, F.lit(empty)).otherwise(part / total)
 
 
-def layer1(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Completeness: rows with non-blank city, district and name and a non-empty schedule (an empty array counts as missing)."""
+def _layer1_counts() -> list[Column]:
     text = [F.coalesce(F.col(c) != "", F.lit(False)) for c in ("city", "district", "point_name")]
     whole = reduce(lambda a, b: a & b, text) & F.coalesce(F.size("schedule") > 0, F.lit(False))
-    out = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(whole).alias("complete"))
+    return [F.count(F.lit(1)).alias("total"), F.count_if(whole).alias("complete")]
+
+
+def layer1(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Completeness: rows with non-blank city, district and name and a non-empty schedule (an empty array counts as missing)."""
+    out = points.groupBy(*keys).agg(*_layer1_counts())
     return out.withColumn("rate", rate(F.col("complete"), F.col("total"))).withColumn("passed", F.col("rate") >= L1_MIN_COMPLETE)
 
 
@@ -55,12 +59,14 @@ def entry_violations(entries: Column) -> Column:
     )
 
 
-def layer2(points: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
-    """Reasonableness over all schedules together. Passing depends only on the share of bad coordinates."""
+def _with_violations(points: DataFrame, arrays: list[str]) -> DataFrame:
     every = F.concat(*[F.coalesce(F.col(a), F.array().cast(TAGGED)) for a in arrays])
+    return points.withColumn("v", entry_violations(every))
+
+
+def _layer2_counts() -> list[Column]:
     checked = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    per_point = points.withColumn("v", entry_violations(every))
-    out = per_point.groupBy(*keys).agg(
+    return [
         F.sum("v.time").alias("time_violations"),
         F.sum("v.weekday").alias("weekday_violations"),
         F.sum("v.listed").alias("listed"),
@@ -68,7 +74,12 @@ def layer2(points: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
         F.sum("v.unspecified").alias("unspecified"),
         F.count_if(checked).alias("coord_checked"),
         F.count_if(checked & ~valid_geo(F.col("lat"), F.col("lng"))).alias("coord_violations"),
-    )
+    ]
+
+
+def layer2(points: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
+    """Reasonableness over all schedules together. Passing depends only on the share of bad coordinates."""
+    out = _with_violations(points, arrays).groupBy(*keys).agg(*_layer2_counts())
     return out.withColumn("rate", rate(F.col("coord_violations"), F.col("coord_checked"))).withColumn("passed", F.col("rate") <= L2_MAX_COORD_RATE)
 
 
@@ -85,10 +96,13 @@ def layer3(counts: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
 
 def report(points: DataFrame, baseline: DataFrame, key: str, arrays: list[str]) -> DataFrame:
     """One row per partition with the three layers and the overall verdict, in one pass over the points."""
-    one = layer1(points, [key]).select(key, "total", F.col("rate").alias("l1_rate"), F.col("passed").alias("l1_passed"))
-    two = layer2(points, [key], arrays).select(key, F.col("rate").alias("l2_rate"), F.col("passed").alias("l2_passed"))
-    three = layer3(one.select(key, "total"), baseline, key).select(key, F.col("rate").alias("l3_rate"), F.col("passed").alias("l3_passed"))
-    return one.join(two, key).join(three, key).withColumn("passed", F.col("l1_passed") & F.col("l2_passed") & F.col("l3_passed"))
+    counts = _with_violations(points, arrays).groupBy(key).agg(*_layer1_counts(), *_layer2_counts())
+    l1, l2 = rate(F.col("complete"), F.col("total")), rate(F.col("coord_violations"), F.col("coord_checked"))
+    counts = counts.select(key, "total", l1.alias("l1_rate"), l2.alias("l2_rate"))
+    drift = layer3(counts, baseline, key).withColumnRenamed("rate", "l3_rate").withColumnRenamed("passed", "l3_passed").drop("previous", "note")
+    out = drift.withColumn("l1_passed", F.col("l1_rate") >= L1_MIN_COMPLETE).withColumn("l2_passed", F.col("l2_rate") <= L2_MAX_COORD_RATE)
+    passed = F.col("l1_passed") & F.col("l2_passed") & F.col("l3_passed")
+    return out.select(key, "total", "l1_rate", "l1_passed", "l2_rate", "l2_passed", "l3_rate", "l3_passed", passed.alias("passed"))
 
 
 def gate(report_df: DataFrame, key: str, max_partitions: int = 100000) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from schedlake.operators.normalize import parse_id
 from schedlake.operators.skew import first_rows, salted_join
+from schedlake.session import cut_lineage
 
 KEY = ["key_village", "key_name"]
 
@@ -30,7 +31,8 @@ def reconcile(old: DataFrame, new: DataFrame, ord_col: str = "ord") -> DataFrame
     a, b = keyed(old), keyed(new)
     new_groups = b.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_new"), F.min("point_id").alias("only_id"))
     new_sigs = b.groupBy(*KEY, "sig").agg(F.count(F.lit(1)).alias("n_sig"), F.min("point_id").alias("sig_id"))
-    with_sig = salted_join(a, new_sigs, [*KEY, "sig"], ord_col)
+    # read twice below: for the verdict of the group and for its rows
+    with_sig = cut_lineage(salted_join(a, new_sigs, [*KEY, "sig"], ord_col).select(ord_col, *KEY, "point_id", "n_sig", "sig_id"))
     old_groups = with_sig.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_old"), F.bool_and(F.coalesce(F.col("n_sig") == 1, F.lit(False))).alias("all_once"))
     verdicts = old_groups.join(new_groups, KEY, "left")
     rows = salted_join(with_sig, verdicts, KEY, ord_col)
