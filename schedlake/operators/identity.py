@@ -8,8 +8,9 @@ Rows of one address (city, district, base key) are matched to its stored slots:
 4. new slots for the rest, numbered after the existing ones.
 
 1, 3 and 4 are rank-to-rank joins on native Spark with ranks that spread one hot address
-over many tasks. 2 depends on every earlier choice of its group, so it streams sorted
-batches through a small matcher that keeps only the free slots of the current group.
+over many tasks. So is 2 as long as every row finds a slot of its own minute; from the first
+row that does not, the choices of a group depend on each other, and the rest streams in
+sorted batches through a small matcher that keeps only the free slots of the current group.
 """
 
 from __future__ import annotations
@@ -87,6 +88,36 @@ def _ranked_pairs(rows: DataFrame, slots: DataFrame, keys: list[str], ord_col: s
     return a.join(b, [*keys, "__k"]).select(*[k for k in keys if k in GROUP], ord_col, "slot")
 
 
+def _nearest_pairs(rows: DataFrame, slots: DataFrame, ord_col: str) -> DataFrame:
+    """Greedy nearest matching by minute inside (address, scope).
+
+    Until the first row of a group whose own minute has no free slot left, every row takes the
+    next slot of its minute, so that part is a rank-to-rank join. Only the rows from there on
+    depend on each other and go through the sequential matcher, with the slots still free.
+    """
+    scoped = [*GROUP, "scope"]
+    timed = [*scoped, "minute"]
+    a = cut_lineage(spread_row_number(rows.select(*timed, ord_col), timed, ord_col, "__k"))
+    b = cut_lineage(spread_row_number(slots.select(*timed, "slot"), timed, "slot", "__k"))
+    supply = b.groupBy(*timed).agg(F.count(F.lit(1)).alias("__free"))
+    short = salted_join(a, supply, timed, ord_col).filter(F.col("__k") > F.coalesce("__free", F.lit(0)))
+    turn = short.groupBy(*scoped).agg(F.min(ord_col).alias("__turn"))
+    early = salted_join(a, turn, scoped, ord_col).filter(F.col("__turn").isNull() | (F.col(ord_col) < F.col("__turn")))
+    exact = cut_lineage(early.join(b, [*timed, "__k"]).select(*GROUP, ord_col, "slot"))
+
+    gkey = F.to_json(F.struct(*scoped)).alias("gkey")
+    late_rows = a.join(exact.select(ord_col), ord_col, "left_anti").select(gkey, F.lit(True).alias("is_row"), F.col(ord_col).cast("long").alias("ordinal"), "minute")
+    late_slots = b.join(exact.select(*GROUP, "slot"), [*GROUP, "slot"], "left_anti").select(gkey, F.lit(False).alias("is_row"), F.col("slot").cast("long").alias("ordinal"), "minute")
+    both = late_rows.select("gkey").distinct().join(late_slots.select("gkey").distinct(), "gkey")
+    stream = late_rows.unionByName(late_slots).join(both, "gkey", "left_semi").repartition("gkey").sortWithinPartitions("gkey", "is_row", "ordinal")
+    matched = stream.mapInPandas(match_nearest, "gkey string, row_ord long, slot long")
+    group_of = F.from_json("gkey", "city_slug string, district_slug string, base_key string")
+    greedy = matched.withColumn("g", group_of).select(
+        "g.*", F.col("row_ord").cast(rows.schema[ord_col].dataType).alias(ord_col), F.col("slot").cast("int").alias("slot")
+    )
+    return cut_lineage(exact.unionByName(greedy))
+
+
 def assign_ids(rows: DataFrame, slots: DataFrame, ord_col: str = "ord", prefix: str = "prefix") -> tuple[DataFrame, DataFrame]:
     """(rows with point_id, slot and ``how``; the id map to store).
 
@@ -105,18 +136,7 @@ def assign_ids(rows: DataFrame, slots: DataFrame, ord_col: str = "ord", prefix:
     rows1 = known.join(by_plate.select(ord_col), ord_col, "left_anti")
     slots1 = stored.join(by_plate.select(*GROUP, "slot"), [*GROUP, "slot"], "left_anti")
 
-    gkey = F.to_json(F.struct(*GROUP, "scope"))
-    timed_rows = rows1.filter("minute is not null").select(gkey.alias("gkey"), F.lit(True).alias("is_row"), F.col(ord_col).cast("long").alias("ordinal"), "minute")
-    timed_slots = slots1.filter("minute is not null").select(gkey.alias("gkey"), F.lit(False).alias("is_row"), F.col("slot").cast("long").alias("ordinal"), "minute")
-    both = timed_rows.select("gkey").distinct().join(timed_slots.select("gkey").distinct(), "gkey")
-    stream = (
-        timed_rows.unionByName(timed_slots).join(both, "gkey", "left_semi").repartition("gkey").sortWithinPartitions("gkey", "is_row", "ordinal")
-    )
-    matched = stream.mapInPandas(match_nearest, "gkey string, row_ord long, slot long")
-    group_of = F.from_json("gkey", "city_slug string, district_slug string, base_key string")
-    by_time = cut_lineage(
-        matched.withColumn("g", group_of).select("g.*", F.col("row_ord").cast(rows.schema[ord_col].dataType).alias(ord_col), F.col("slot").cast("int").alias("slot"))
-    )
+    by_time = _nearest_pairs(rows1.filter("minute is not null"), slots1.filter("minute is not null"), ord_col)
     rows2 = rows1.join(by_time.select(ord_col), ord_col, "left_anti")
     slots2 = slots1.join(by_time.select(*GROUP, "slot"), [*GROUP, "slot"], "left_anti")
 

@@ -113,6 +113,23 @@ def test_one_hot_address(spark):
     assert {r["ord"]: r.point_id for r in assigned.filter("district_slug = 'hot'").collect()} == want
 
 
+def test_hot_address_with_enough_slots_never_reaches_the_matcher(spark, monkeypatch):
+    """Unchanged data: every row finds a slot of its minute, so no row needs the sequential part."""
+
+    def refuse(batches):
+        for pdf in batches:
+            if len(pdf):
+                raise AssertionError("sequential matcher used")
+            yield pdf
+
+    monkeypatch.setattr(I, "match_nearest", refuse)
+    rows = [(i, "c", "hot", "k", None, None, f"{6 + i % 12:02d}:{i % 60:02d}", "P") for i in range(1, 301)]
+    df = spark.createDataFrame(rows, ROW)
+    fresh = I.fresh_ids(df)
+    assigned, _ = I.assign_ids(df, fresh.select(*I.SLOT_COLUMNS))
+    assert {(r["ord"], r.point_id, r.how) for r in assigned.collect()} == {(r["ord"], r.point_id, "time") for r in fresh.collect()}
+
+
 def test_none_in_key_and_collision(spark):
     df = spark.createDataFrame([(None, None), ("v", "n")], "v string, n string")
     assert [r[0] for r in df.select(I.base_key(df.v, df.n)).collect()] == ["|None", "v|n"]
