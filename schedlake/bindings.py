@@ -23,6 +23,15 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for work that is heavy per row. One that arrives in fewer splits than there are cores is spread by key first.
+
+        Columns and filters are still pushed below that exchange; a table of many splits is left as it is.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores // 2 else df
+
     # -- points and schedules -------------------------------------------------
 
     def points(self) -> DataFrame:
@@ -162,7 +171,7 @@ class Views:
 
     def stops(self) -> DataFrame:
         """Text timetables of route stops: one stop per (order, part) line, both car types."""
-        return self.table("lineitem").selectExpr(
+        return self.spread("lineitem", "l_suppkey").selectExpr(
             "l_orderkey",
             "l_linenumber",
             "l_suppkey AS route_id",
