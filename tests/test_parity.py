@@ -6,7 +6,7 @@ from conftest import SF
 import __spark_entry__ as entry
 from tools.parity import duck, rows_of
 
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = entry.QUERIES, entry.CHECKS
 
 
 @pytest.fixture(scope="module")
