@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from schedlake.session import shared_dir
@@ -31,6 +31,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, led by as many underscores as it takes to differ from the columns of ``df``."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def kept_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids``; a null id equals a null id."""
+    other = free_name(docs, "other_id")
+    return docs.join(ids.select(F.col("doc_id").alias(other)), F.col("doc_id").eqNullSafe(F.col(other)), "left_semi")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one slice stay below ``limit`` bytes (a longer text comes alone)."""
     for batch in batches:
@@ -50,6 +64,26 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def whole_groups(parts: Iterator[pa.RecordBatch], key: str, full: int, size) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by ``key``, cut where ``size`` of the rows held reaches ``full``."""
+    held: list[pa.RecordBatch] = []
+    amount = 0
+    for part in parts:
+        held.append(part)
+        amount += size(part)
+        if amount < full:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        last = int(np.flatnonzero(keys == keys[-1])[0])
+        if last:
+            yield table.slice(0, last)
+            held = table.slice(last).combine_chunks().to_batches()
+            amount = sum(map(size, held))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each id of ``links`` (a, b: undirected links).
 
@@ -78,3 +112,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def spread_rank(df: DataFrame, keys: list[str], unique: str, name: str, bucket_rows: int = 1000) -> DataFrame:
+    """Add a gapless 0-based rank per ``keys`` in an order that a hash of ``unique`` gives. Rows of a key are ranked in
+    hash buckets of about ``bucket_rows``; running sums over the buckets give each bucket's first rank."""
+    total = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("__buckets"))
+    placed = df.join(total, keys).withColumn("__bucket", F.pmod(F.xxhash64(unique, F.lit(77)), F.col("__buckets"))).drop("__buckets")
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(unique)) - 1
+    return placed.withColumn("__inside", inside).join(first, [*keys, "__bucket"]).withColumn(name, F.col("__first") + F.col("__inside")).drop("__first", "__inside", "__bucket")

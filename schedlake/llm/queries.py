@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 from schedlake.llm.bpe import op10_byte_bpe
+from schedlake.llm.embedding_dedup import op6_embedding_dedup
 from schedlake.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from schedlake.llm.language_id import op9_language_id
+from schedlake.llm.line_dedup import OP7_SQL, op7_line_dedup
+from schedlake.llm.mixing import OP1_SQL, op1_mixing
+from schedlake.llm.quality import op5_quality_classifier
+from schedlake.llm.sharding import op4_sharding
 from schedlake.llm.simhash_dedup import op8_simhash_dedup
+from schedlake.llm.substring_dedup import op2_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_simhash_dedup, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_substring_dedup, op3_exact_dedup, op4_sharding, op5_quality_classifier, op6_embedding_dedup,
+        op7_line_dedup, op8_simhash_dedup, op9_language_id, op10_byte_bpe,
+    )
+}
 
 #: DuckDB SQL by query, where SQL can express it.
-CHECKS: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+CHECKS: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op7_line_dedup": OP7_SQL}
