@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from schedlake.functions.text import content_id
 from schedlake.functions.times import minutes
-from schedlake.operators.skew import salted_join, spread_row_number
+from schedlake.operators.quality import duplicates, require_empty
+from schedlake.operators.skew import spread_row_number
 from schedlake.session import cut_lineage
 
 GROUP = ["city_slug", "district_slug", "base_key"]
@@ -46,7 +47,7 @@ def fresh_ids(rows: DataFrame, ord_col: str = "ord", prefix: str = "prefix") ->
     """Ids for addresses without stored slots: the bare hash for a single row, else numbered hashes in row order. Adds slot."""
     ranked = spread_row_number(rows, GROUP, ord_col, "__k")
     sizes = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__n"))
-    sized = salted_join(ranked, sizes, GROUP, ord_col, how="inner")
+    sized = ranked.join(sizes, GROUP, "inner")
     numbered = F.concat(F.col("base_key"), F.lit("#"), (F.col("__k") - 1).cast("string"))
     key = F.when(F.col("__n") == 1, F.col("base_key")).otherwise(numbered)
     return sized.withColumn("point_id", _point_id(F.col(prefix), key)).withColumn("slot", (F.col("__k") - 1).cast("int")).drop("__k", "__n")
@@ -100,9 +101,9 @@ def _nearest_pairs(rows: DataFrame, slots: DataFrame, ord_col: str) -> DataFrame
     a = cut_lineage(spread_row_number(rows.select(*timed, ord_col), timed, ord_col, "__k"))
     b = cut_lineage(spread_row_number(slots.select(*timed, "slot"), timed, "slot", "__k"))
     supply = b.groupBy(*timed).agg(F.count(F.lit(1)).alias("__free"))
-    short = salted_join(a, supply, timed, ord_col).filter(F.col("__k") > F.coalesce("__free", F.lit(0)))
+    short = a.join(supply, timed, "left").filter(F.col("__k") > F.coalesce("__free", F.lit(0)))
     turn = short.groupBy(*scoped).agg(F.min(ord_col).alias("__turn"))
-    early = salted_join(a, turn, scoped, ord_col).filter(F.col("__turn").isNull() | (F.col(ord_col) < F.col("__turn")))
+    early = a.join(turn, scoped, "left").filter(F.col("__turn").isNull() | (F.col(ord_col) < F.col("__turn")))
     exact = cut_lineage(early.join(b, [*timed, "__k"]).select(*GROUP, ord_col, "slot"))
 
     gkey = F.to_json(F.struct(*scoped)).alias("gkey")
@@ -123,11 +124,12 @@ def assign_ids(rows: DataFrame, slots: DataFrame, ord_col: str = "ord", prefix:
 
     ``rows``: city_slug, district_slug, base_key, plate, route_scope, first_arrive, a unique
     numeric ``ord_col`` and the id prefix. ``slots``: the stored map. Old slots that match
-    nothing stay in the map and are never reused.
+    nothing stay in the map and are never reused. Stops when an order number occurs twice, a row is left without an
+    id, or an id would stand for several addresses.
     """
     scope = F.coalesce("route_scope", F.lit(NO_SCOPE))
     counts = slots.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_slots"))
-    all_rows = cut_lineage(salted_join(rows, counts, GROUP, ord_col).withColumn("scope", scope).withColumn("minute", minutes(F.col("first_arrive"))))
+    all_rows = cut_lineage(rows.join(counts, GROUP, "left").withColumn("scope", scope).withColumn("minute", minutes(F.col("first_arrive"))))
     known, new = all_rows.filter("n_slots is not null"), all_rows.filter("n_slots is null")
     stored = cut_lineage(slots.withColumn("scope", scope).withColumn("minute", minutes(F.col("first_arrive"))))
 
@@ -153,7 +155,11 @@ def assign_ids(rows: DataFrame, slots: DataFrame, ord_col: str = "ord", prefix:
     keep = [ord_col, *SLOT_COLUMNS, "how"]
     assigned = cut_lineage(reused.select(*keep).unionByName(minted.select(*keep)).unionByName(fresh.select(*keep)))
     untouched = slots.join(assigned.select(*GROUP, "slot"), [*GROUP, "slot"], "left_anti")
-    return assigned, untouched.select(*SLOT_COLUMNS).unionByName(assigned.select(*SLOT_COLUMNS))
+    id_map = untouched.select(*SLOT_COLUMNS).unionByName(assigned.select(*SLOT_COLUMNS))
+    require_empty(duplicates(all_rows, [ord_col]), "order numbers occur twice")
+    require_empty(all_rows.select(ord_col).join(assigned.select(ord_col), ord_col, "left_anti"), "rows without an id")
+    require_empty(collisions(id_map), "ids made from several addresses")
+    return assigned, id_map
 
 
 def collisions(ids: DataFrame, key: str = "base_key") -> DataFrame:

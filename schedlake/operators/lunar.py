@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schedlake.functions.dates import folk_month, lunar_day_label, weekday_label
-from schedlake.operators.skew import first_rows, salted_join
+from schedlake.operators.skew import first_rows
+from schedlake.session import cut_lineage
 
 # Months whose dates may fall twice or never into a solar year, and the festivals by lunar date.
 BOUNDARY_MONTHS = [10, 11, 12]
@@ -55,7 +56,7 @@ def occasion_dates(occasions: DataFrame, lunar: DataFrame, first_year: Column, l
     month = F.col("lunar_month").cast("string")
     note = F.concat(F.col("solar_year").cast("string"), F.lit(" 年農曆"), month, F.lit("月僅 29 日,以"), month, F.lit("月廿九為準"))
     dates = dates.withColumn("adjust_note", F.when(F.col("adjusted"), note).otherwise("")).withColumn("weekday", weekday_label(F.col("solar_date"), "星期"))
-    return salted_join(occasions, dates, MD, ord_col, how="inner")
+    return occasions.join(dates, MD, "inner")
 
 
 def exceptions(occasions: DataFrame, lunar: DataFrame, first_year: Column, last_year: Column) -> DataFrame:
@@ -114,7 +115,7 @@ def to_solar(requests: DataFrame, lunar: DataFrame, first_year: Column, last_yea
     keys = [*MD, "is_leap_month"]
     years = requests.select(*keys).distinct().withColumn("lunar_year", F.explode(F.sequence(first_year, last_year)))
     dates = years.join(lunar.select(*keys, "lunar_year", "solar_date"), [*keys, "lunar_year"], "left").withColumn("not_exist", F.col("solar_date").isNull())
-    return salted_join(requests, dates, keys, ord_col, how="inner")
+    return requests.join(dates, keys, "inner")
 
 
 def signed_month(month: Column) -> tuple[Column, Column]:
@@ -212,7 +213,8 @@ def upcoming(asof: DataFrame, as_of: str, events: DataFrame, d: str, order: str,
     the calendar. Positions come from running counts per date, and the answer is an equality
     join on the position.
     """
-    kept = first_rows(events, [d], [order], limit, "__r")
+    # read by the counts per date and by the placement
+    kept = cut_lineage(first_rows(events, [d], [order], limit, "__r"))
     per_day = kept.groupBy(d).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(d, as_of)
     asked = asof.groupBy(as_of).agg(F.count(F.lit(1)).alias("n_rows"))
     line = asked.select(as_of).unionByName(per_day.select(as_of)).distinct().join(per_day, as_of, "left").withColumn("__n", F.coalesce("__n", F.lit(0)))

@@ -1,10 +1,9 @@
 """Nearest points inside a district.
 
 No step pairs all points of a district. Equal coordinates are collapsed first. A multi-level
-grid then gives every site the finest cell that already holds k+1 candidates; the k-th
-distance inside it bounds the search circle, and only cells that the circle touches are
-joined. Each cell meets a bounded number of sites of its level, so the pairs grow with the
-points however dense a spot is, and the result is exact.
+grid, as deep as the densest spot needs, then gives every site the finest cell that already
+holds k+1 candidates; the k-th distance inside it bounds the search circle, and only cells
+that the circle touches are joined. The result is exact.
 """
 
 from __future__ import annotations
@@ -13,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schedlake.functions.geo import EARTH_KM, LAT_RANGE, LNG_RANGE, haversine_km, valid_geo
-from schedlake.operators.skew import first_rows, salted_join
+from schedlake.operators.skew import first_rows
 from schedlake.session import cut_lineage
 
 BLOCK = ["city_slug", "district_slug"]
-#: Side of the coarsest cell in degrees (the whole accepted range) and number of levels; each level divides the side by 4.
-ROOT_SIDE, LEVELS = 8.0, 11
+#: Side of the coarsest cell in degrees (the whole accepted range); each level divides the side by 4. At the last level a
+#: cell is smaller than the step between double-precision coordinates.
+ROOT_SIDE, FINEST = 8.0, 25
+#: Sites a cell may hold per neighbour asked for before it is divided.
+CELL_SITES = 8
 
 
 def distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -34,24 +36,37 @@ def _cell(coord: Column, origin: float, level: Column) -> Column:
     return F.floor((coord - origin) / _side(level)).cast("long")
 
 
-def _at_levels(df: DataFrame) -> DataFrame:
-    out = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+def _at_levels(df: DataFrame, levels: int) -> DataFrame:
+    out = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     return out.withColumn("cy", _cell(F.col("lat"), LAT_RANGE[0], F.col("level"))).withColumn("cx", _cell(F.col("lng"), LNG_RANGE[0], F.col("level")))
 
 
-def nearest_sites(points: DataFrame, k: int, id_col: str = "ord") -> DataFrame:
-    """Per site (block, lat, lng) with valid coordinates: its nearest ``k`` points, those of the site itself included, as an array."""
-    site = [*BLOCK, "lat", "lng"]
+def _needed_levels(sites: DataFrame, scope: list[str], full: int) -> int:
+    """Levels down to the first on which no cell holds more than ``full`` sites: dense spots get as deep a grid as they need.
+
+    One number per level reaches the driver. FINEST is where a cell is smaller than the distance between neighbouring
+    double-precision coordinates, so distinct sites always part before it.
+    """
+    per_cell = _at_levels(sites, FINEST).groupBy(*scope, "level", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+    fullest = per_cell.groupBy("level").agg(F.max("n").alias("n")).collect()
+    open_levels = [r["level"] for r in fullest if r["n"] > full]
+    return min(FINEST, max(open_levels, default=-1) + 2)
+
+
+def nearest_sites(points: DataFrame, k: int, id_col: str = "ord", scope: list[str] = BLOCK) -> DataFrame:
+    """Per site (scope, lat, lng) with valid coordinates: its nearest ``k`` points, those of the site itself included, as an array."""
+    site = [*scope, "lat", "lng"]
     geo = points.filter(valid_geo(F.col("lat"), F.col("lng"))).select(*site, id_col)
     # candidates and placed sites are read by several joins below, so each is written once
     candidates = cut_lineage(first_rows(geo, site, [id_col], k).drop("rank"))
     sites = candidates.select(*site).distinct()
-    cell = [*BLOCK, "level", "cy", "cx"]
+    levels = _needed_levels(sites, scope, CELL_SITES * k)
+    cell = [*scope, "level", "cy", "cx"]
 
     # finest level whose cell around the site holds k candidates; level 0 covers everything
-    leveled = _at_levels(candidates)
+    leveled = _at_levels(candidates, levels)
     dense = leveled.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).drop("n")
-    finest = _at_levels(sites).join(dense, cell).groupBy(*site).agg(F.max("level").alias("level"))
+    finest = _at_levels(sites, levels).join(dense, cell).groupBy(*site).agg(F.max("level").alias("level"))
     placed = sites.join(finest, site, "left").withColumn("sparse", F.col("level").isNull()).withColumn("level", F.coalesce("level", F.lit(0)))
     placed = placed.withColumn("cy", _cell(F.col("lat"), LAT_RANGE[0], F.col("level"))).withColumn("cx", _cell(F.col("lng"), LNG_RANGE[0], F.col("level")))
     placed = cut_lineage(placed)
@@ -80,10 +95,14 @@ def nearest_sites(points: DataFrame, k: int, id_col: str = "ord") -> DataFrame:
 
 
 def knn_geo(points: DataFrame, k: int = 5, id_col: str = "ord") -> DataFrame:
-    """(id, rank, neighbour, km) for points with valid coordinates; ties by id."""
-    lists = nearest_sites(points, k + 1, id_col)
-    geo = points.filter(valid_geo(F.col("lat"), F.col("lng"))).select(*BLOCK, "lat", "lng", id_col)
-    joined = salted_join(geo, lists, [*BLOCK, "lat", "lng"], id_col, how="inner")
+    """(id, rank, neighbour, km) for points with valid coordinates among those of the same block; ties by id."""
+    return _ranked(points, k, id_col, BLOCK)
+
+
+def _ranked(points: DataFrame, k: int, id_col: str, scope: list[str]) -> DataFrame:
+    lists = nearest_sites(points, k + 1, id_col, scope)
+    geo = points.filter(valid_geo(F.col("lat"), F.col("lng"))).select(*scope, "lat", "lng", id_col)
+    joined = geo.join(lists, [*scope, "lat", "lng"], "inner")
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col(id_col)), 1, k)
     return joined.select(id_col, F.posexplode(others).alias("pos", "x")).select(
         id_col, (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.col("x.d").alias("km")
@@ -115,7 +134,7 @@ def knn_fallback(points: DataFrame, k: int = 5, id_col: str = "ord") -> DataFram
     named = points.withColumn("v", village)
     villages = _head(named.filter("v <> ''"), [*BLOCK, "v"], id_col, k + 1, [], "village_head")
     targets = named.filter(~valid_geo(F.col("lat"), F.col("lng"))).select(*BLOCK, "v", id_col)
-    joined = salted_join(salted_join(targets, villages, [*BLOCK, "v"], id_col), _mixed_head(points, id_col, k), BLOCK, id_col)
+    joined = targets.join(villages, [*BLOCK, "v"], "left").join(_mixed_head(points, id_col, k), BLOCK, "left")
     me = F.col(id_col)
     empty = F.array().cast("array<struct<id:bigint,same:boolean>>")
     same = F.transform(F.filter("village_head", lambda x: x["id"] != me), lambda x: F.struct(x["id"].cast("long").alias("id"), F.lit(True).alias("same")))
@@ -129,38 +148,22 @@ def knn_fallback(points: DataFrame, k: int = 5, id_col: str = "ord") -> DataFram
     )
 
 
-def knn_candidates(points: DataFrame, k: int = 5, village_cap: int = 200, block_cap: int = 300, enough: int = 15, id_col: str = "ord") -> DataFrame:
-    """Neighbours from capped candidate lists: the village when it offers ``enough`` others, else the block.
+def knn_candidates(points: DataFrame, k: int = 5, enough: int = 15, id_col: str = "ord") -> DataFrame:
+    """Neighbours from the village when it offers ``enough`` others, else from the block (``wide``).
 
-    The caps are the operator's definition: at most ``village_cap`` and ``block_cap`` candidates in
-    input order. Points with coordinates rank the valid candidates by distance, the others take
-    their village first.
+    Points with coordinates get the nearest valid points of that scope, from the exact lists of the village or of the
+    block; the others take their village first, then the block, in input order.
     """
     named = points.withColumn("v", F.coalesce(F.nullif("village", F.lit("")), F.lit("")))
-    fields = ["lat", "lng", "v"]
-    villages = _head(named.filter("v <> ''"), [*BLOCK, "v"], id_col, village_cap + 1, fields, "village_head")
-    blocks = _head(named, BLOCK, id_col, block_cap + 1, fields, "block_head")
-    targets = named.select(*BLOCK, id_col, *fields)
-    joined = salted_join(salted_join(targets, villages, [*BLOCK, "v"], id_col), blocks, BLOCK, id_col)
-    others = lambda head, cap: F.slice(F.filter(head, lambda x: x["id"] != F.col(id_col)), 1, cap)
-    joined = joined.withColumn("near", others("village_head", village_cap)).withColumn(
-        "wide", F.when(F.col("near").isNull() | (F.size("near") < enough), True).otherwise(False)
-    )
-    joined = joined.withColumn("cand", F.when(F.col("wide"), others("block_head", block_cap)).otherwise(F.col("near"))).drop("near", "village_head", "block_head")
-    geo = valid_geo(F.col("lat"), F.col("lng"))
-    by_distance = F.sort_array(
-        F.transform(
-            F.filter("cand", lambda x: valid_geo(x["lat"], x["lng"])),
-            lambda x: F.struct(distance(F.col("lat"), F.col("lng"), x["lat"], x["lng"]).alias("key"), x["id"].alias("id")),
-        )
-    )
-    by_village = F.sort_array(
-        F.transform("cand", lambda x: F.struct(F.when((F.col("v") != "") & (x["v"] == F.col("v")), 0.0).otherwise(1.0).alias("key"), x["id"].alias("id")))
-    )
-    picks = F.slice(F.when(geo, by_distance).otherwise(by_village), 1, k)
-    return joined.select(id_col, "wide", F.posexplode(picks).alias("pos", "x")).select(
-        id_col, (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("neighbour"), "wide"
-    )
+    members = named.filter("v <> ''").groupBy(*BLOCK, "v").agg(F.count(F.lit(1)).alias("members"))
+    # read by both scopes and by the points without coordinates
+    scoped = cut_lineage(named.join(members, [*BLOCK, "v"], "left").withColumn("wide", F.coalesce(F.col("members") <= enough, F.lit(True))).drop("members"))
+    near_village = _ranked(scoped.filter("NOT wide"), k, id_col, [*BLOCK, "v"])
+    blocks = scoped.filter("wide").select(*BLOCK).distinct()
+    near_block = _ranked(scoped.join(blocks, BLOCK, "left_semi"), k, id_col, BLOCK).join(scoped.filter("wide").select(id_col), id_col, "left_semi")
+    others = knn_fallback(points, k, id_col).select(id_col, "rank", "neighbour")
+    found = near_village.unionByName(near_block).select(id_col, "rank", "neighbour").unionByName(others)
+    return found.join(scoped.select(id_col, "wide"), id_col).select(id_col, "rank", "neighbour", "wide")
 
 
 def neighbour_heading(points: DataFrame, k: int = 5, id_col: str = "ord") -> DataFrame:

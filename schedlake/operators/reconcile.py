@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schedlake.operators.normalize import parse_id
-from schedlake.operators.skew import first_rows, salted_join
+from schedlake.operators.skew import first_rows
 from schedlake.session import cut_lineage
 
 KEY = ["key_village", "key_name"]
@@ -32,10 +32,10 @@ def reconcile(old: DataFrame, new: DataFrame, ord_col: str = "ord") -> DataFrame
     new_groups = b.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_new"), F.min("point_id").alias("only_id"))
     new_sigs = b.groupBy(*KEY, "sig").agg(F.count(F.lit(1)).alias("n_sig"), F.min("point_id").alias("sig_id"))
     # read twice below: for the verdict of the group and for its rows
-    with_sig = cut_lineage(salted_join(a, new_sigs, [*KEY, "sig"], ord_col).select(ord_col, *KEY, "point_id", "n_sig", "sig_id"))
+    with_sig = cut_lineage(a.join(new_sigs, [*KEY, "sig"], "left").select(ord_col, *KEY, "point_id", "n_sig", "sig_id"))
     old_groups = with_sig.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_old"), F.bool_and(F.coalesce(F.col("n_sig") == 1, F.lit(False))).alias("all_once"))
     verdicts = old_groups.join(new_groups, KEY, "left")
-    rows = salted_join(with_sig, verdicts, KEY, ord_col)
+    rows = with_sig.join(verdicts, KEY, "left")
     single = (F.col("n_old") == 1) & (F.col("n_new") == 1)
     by_sig = (F.col("n_old") == F.col("n_new")) & F.col("all_once")
     district, slug = legacy_parts(F.col("point_id"))
@@ -80,21 +80,25 @@ def redirects(result: DataFrame, city_slug: Column) -> DataFrame:
     return result.filter("status = 'matched'").select(city_slug.alias("city_slug"), "district_slug", "old_slug", "new_point_id")
 
 
-def lookup_redirects(requests: DataFrame, table: DataFrame, spread_by: str) -> DataFrame:
+def lookup_redirects(requests: DataFrame, table: DataFrame) -> DataFrame:
     """Requested (city_slug, district_slug, old_slug) with the parts of the new id; unknown ones stay NULL."""
-    found = salted_join(requests, table, ["city_slug", "district_slug", "old_slug"], spread_by)
+    found = requests.join(table, ["city_slug", "district_slug", "old_slug"], "left")
     district, slug = parse_id(F.col("new_point_id"))
     return found.withColumn("new_district", district).withColumn("new_slug", slug)
 
 
-def lookup_points(requests: DataFrame, points: DataFrame, spread_by: str) -> DataFrame:
-    """Requested ids with their point; stale ids still learn whether their district exists."""
+def lookup_points(requests: DataFrame, points: DataFrame) -> DataFrame:
+    """Requested ids with their point; stale ids still learn whether their district exists in their city.
+
+    The city of an id is its first part; districts of two cities may share a slug.
+    """
     district, _ = parse_id(F.col("point_id"))
-    asked = requests.withColumn("asked_district", district)
+    city = F.split(F.col("point_id"), "-")[0]
+    asked = requests.withColumn("asked_city", city).withColumn("asked_district", district)
     wanted = points.select("point_id", "point_name", F.lit(True).alias("found"))
-    names = points.groupBy(F.col("district_slug").alias("asked_district")).agg(F.min("district").alias("district_name"))
-    out = salted_join(asked, wanted, ["point_id"], spread_by)
-    return salted_join(out, names, ["asked_district"], spread_by).withColumn("found", F.coalesce("found", F.lit(False)))
+    names = points.groupBy(city.alias("asked_city"), F.col("district_slug").alias("asked_district")).agg(F.min("district").alias("district_name"))
+    out = asked.join(wanted, ["point_id"], "left")
+    return out.join(names, ["asked_city", "asked_district"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def capped_list(items: DataFrame, owner: str, item: str, order: str, cap: int = 8) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from schedlake.functions.dates import iso_weekday
 from schedlake.functions.times import CLOCK_SHAPE, minutes, weekday_name
-from schedlake.operators.skew import salted_join
-
 
 def weekday_times(entries: DataFrame, id_col: str = "ord") -> DataFrame:
     """Sorted distinct garbage arrivals per point and weekday; unknown days and malformed times are left out."""
@@ -27,7 +25,7 @@ def next_run(asks: DataFrame, entries: DataFrame, ask_id: str, id_col: str = "or
 
     The weekly array is small and joined once per ask; the search itself is row-local. Sorted by key, unknown last.
     """
-    joined = salted_join(asks, weekly_times(entries, id_col), [id_col], ask_id)
+    joined = asks.join(weekly_times(entries, id_col), [id_col], "left")
 
     def ahead(x: Column) -> Column:
         days = F.pmod(x["weekday"] - F.col("weekday"), F.lit(7))
@@ -75,7 +73,7 @@ def holiday_service(visits: DataFrame, masks: DataFrame, holidays: DataFrame, vi
 
     ``masks`` has one row per point, ``holidays`` one per date.
     """
-    joined = salted_join(visits, masks, [id_col], visit_id).join(holidays.select("d", F.lit(True).alias("holiday")).distinct(), "d", "left")
+    joined = visits.join(masks, [id_col], "left").join(holidays.select("d", F.lit(True).alias("holiday")).distinct(), "d", "left")
     served = F.call_function("shiftright", F.coalesce("mask", F.lit(0)), iso_weekday(F.col("d")) - 1) % 2 == 1
     notice = F.when(served & F.col("holiday").isNotNull(), "holiday_notice").when(served, "service").otherwise("no_service")
     return joined.select(*visits.columns, served.alias("served"), notice.alias("line"))

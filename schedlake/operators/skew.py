@@ -1,49 +1,30 @@
-"""Joins and rankings that stay balanced when one key holds a large share of the rows."""
+"""Rankings that stay balanced when one key holds a large share of the rows.
+
+Joins are plain joins: where one key is hot, AQE splits the partitions of that key (``session.SETTINGS``) and nothing is copied.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALT = "__salt"
-
-
-def salted_join(facts: DataFrame, keyed: DataFrame, on: list[str], spread_by: str, how: str = "left", salts: int = 16) -> DataFrame:
-    """Join many rows to a table with one row per key.
-
-    The rows of a hot key are spread over ``salts`` reducers by ``spread_by``; only the
-    one-row-per-key side is repeated.
-    """
-    left = facts.withColumn(SALT, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = keyed.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, SALT], how).drop(SALT)
-
-
-def range_splits(df: DataFrame, order: str, buckets: int | None = None) -> list:
-    """Boundaries that cut ``df`` into about equal ranges of ``order``; a bounded list of numbers on the driver."""
-    buckets = buckets or max(8, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(order, shares, 10000).alias("s")).first()
-    return sorted(set(row["s"] or []))
+#: Width of the ranges of a unique whole-number order: no range holds more rows than this.
+RANGE_WIDTH = 20_000
 
 
-def range_bucket(order: Column, splits: list) -> Column:
-    """Index of the range that ``order`` falls into."""
-    if not splits:
-        return F.lit(0)
-    bounds = F.array(*[F.lit(s) for s in splits])
-    return F.size(F.filter(bounds, lambda s: s < order))
+def order_range(order: str, width: int = RANGE_WIDTH) -> Column:
+    """Range that a value falls into, from the value alone. Unique whole numbers put at most ``width`` rows into a range."""
+    return F.floor(F.col(order) / width)
 
 
-def spread_row_number(df: DataFrame, keys: list[str], order: str, name: str, buckets: int | None = None) -> DataFrame:
+def spread_row_number(df: DataFrame, keys: list[str], order: str, name: str, width: int = RANGE_WIDTH) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without putting one key into one task.
 
     Rows are ranked inside (key, range of ``order``); the counts of the earlier ranges of
-    the key, at most one number per range, are added. ``order`` must be unique and numeric,
+    the key, one number per used range, are added. ``order`` must be a unique whole number,
     ``keys`` non-null.
     """
-    splits = range_splits(df, order, buckets)
-    ranged = df.withColumn("__range", range_bucket(F.col(order), splits))
+    ranged = df.withColumn("__range", order_range(order, width))
     group = [*keys, "__range"]
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).withColumn(

@@ -349,9 +349,7 @@ SELECT seq, CASE WHEN collection_type = 'PASS' THEN CASE WHEN depart IS NULL OR
   WHEN depart IS NULL THEN '約 ' || arrive || ' 抵達' ELSE arrive || '〜' || depart END AS txt
 FROM v_entries JOIN v_points USING (ord)""")
 def time_text(v):
-    from schedlake.operators.skew import salted_join
-
-    joined = salted_join(v.entries(), v.points().select("ord", "collection_type"), ["ord"], "seq", how="inner")
+    joined = v.entries().join(v.points().select("ord", "collection_type"), ["ord"], "inner")
     return joined.select("seq", times.time_text(F.col("arrive"), F.col("depart"), F.col("collection_type") == "PASS").alias("txt"))
 
 

@@ -48,9 +48,8 @@ def neighbour_heading(v):
 
 @query("knn_candidates", "v_points", sql=f"""
 WITH pr AS (SELECT a.ord, a.lat, a.lng, a.village, b.ord AS neighbour, b.lat AS blat, b.lng AS blng, coalesce(a.village = b.village, FALSE) AS same FROM v_points a JOIN v_points b ON a.city_slug = b.city_slug AND a.district_slug = b.district_slug AND a.ord <> b.ord),
-rk AS (SELECT *, row_number() OVER (PARTITION BY ord, same ORDER BY neighbour) AS rs, row_number() OVER (PARTITION BY ord ORDER BY neighbour) AS rb FROM pr),
-w AS (SELECT ord, least(count(*) FILTER (WHERE same), 200) < 15 AS wide FROM pr GROUP BY 1),
-c AS (SELECT rk.*, wide FROM rk JOIN w USING (ord) WHERE CASE WHEN wide THEN rb <= 300 ELSE same AND rs <= 200 END),
+w AS (SELECT ord, count(*) FILTER (WHERE same) < 15 AS wide FROM pr GROUP BY 1),
+c AS (SELECT pr.*, wide FROM pr JOIN w USING (ord) WHERE wide OR same),
 g AS (SELECT a.ord, neighbour, wide, same, {GEO.format(a='a')} AS geo, coalesce(blat BETWEEN 21.5 AND 25.5 AND blng BETWEEN 119.5 AND 122.5, FALSE) AS bgeo,
   pow(sin(radians(blat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(blat)) * pow(sin(radians(blng - a.lng) / 2), 2) AS hav FROM c a),
 k AS (SELECT *, CASE WHEN geo THEN {KM} WHEN same THEN 0 ELSE 1 END AS sort FROM g WHERE NOT geo OR bgeo),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from schedlake.operators import identity as I
-from schedlake.operators.skew import salted_join, spread_row_number
+from schedlake.operators.skew import spread_row_number
 
 ROW = "ord bigint, city_slug string, district_slug string, base_key string, plate string, route_scope string, first_arrive string, prefix string"
 SLOT = "city_slug string, district_slug string, base_key string, slot int, point_id string, plate string, route_scope string, first_arrive string"
@@ -139,19 +139,39 @@ def test_none_in_key_and_collision(spark):
 
 def test_spread_ranks_equal_plain_ranks(spark):
     df = spark.range(2000).select((F.col("id") * 7919 % 100003).alias("o"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"))
-    got = {(r.k, r.o): r.rn for r in spread_row_number(df, ["k"], "o", "rn", buckets=7).collect()}
+    got = {(r.k, r.o): r.rn for r in spread_row_number(df, ["k"], "o", "rn", width=5000).collect()}
     want, seen = {}, {}
     for r in sorted(df.collect(), key=lambda r: (r.k, r.o)):
         seen[r.k] = seen.get(r.k, 0) + 1
         want[r.k, r.o] = seen[r.k]
     assert got == want
-    assert sorted(r.rn for r in spread_row_number(df, [], "o", "rn", buckets=5).collect()) == list(range(1, 2001))
+    assert sorted(r.rn for r in spread_row_number(df, [], "o", "rn", width=9000).collect()) == list(range(1, 2001))
 
 
-def test_salted_join_equals_join(spark):
-    facts = spark.range(500).select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"))
-    keyed = spark.range(0, 300, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("left", "inner"):
-        a = sorted(tuple(r) for r in salted_join(facts, keyed, ["k"], "id", how, salts=4).select("id", "k", F.coalesce("v", F.lit(-1))).collect())
-        b = sorted(tuple(r) for r in facts.join(keyed, "k", how).select("id", "k", F.coalesce("v", F.lit(-1))).collect())
-        assert a == b
+def test_hot_key_is_split_by_a_plain_join(spark):
+    """A third of all rows on one key: AQE splits that key's partition, nothing is copied."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        facts = spark.range(0, 60000, numPartitions=6).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).alias("k"))
+        keyed = spark.range(-1, 5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        joined = facts.join(keyed, ["k"], "left")
+        assert sum(r.v == 2 * r.k for r in joined.collect()) == 60000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_assignment_refuses_double_orders_and_collisions(spark):
+    row = (1, "c", "d", "k", None, None, "08:00", "P")
+    none = spark.createDataFrame([], SLOT)
+    with pytest.raises(ValueError, match="order"):
+        I.assign_ids(spark.createDataFrame([row, row], ROW), none)
+    taken = f"P-D-{hashed('k')}"
+    other = spark.createDataFrame([("c", "d", "another", 0, taken, None, None, None)], SLOT)
+    with pytest.raises(ValueError, match="several addresses"):
+        I.assign_ids(spark.createDataFrame([row], ROW), other)

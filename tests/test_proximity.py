@@ -62,6 +62,16 @@ def test_knn_geo_is_exact(spark, seed):
     assert collected(X.knn_geo(spark.createDataFrame(points, SCHEMA))) == want
 
 
+def test_spots_denser_than_a_metre(spark):
+    """Distinct points within half a metre and within a micrometre: the grid goes as deep as they need."""
+    rnd = random.Random(9)
+    points = [(i, "c", "d", None, 24.0 + rnd.random() * 5e-6, 121.0 + rnd.random() * 5e-6) for i in range(300)]
+    points += [(1000 + i, "c", "d", None, 23.0 + rnd.random() * 1e-11, 120.0 + rnd.random() * 1e-11) for i in range(120)]
+    points += [(2000 + i, "c", "d", None, rnd.uniform(22, 25), rnd.uniform(120, 122)) for i in range(50)]
+    got = collected(X.knn_geo(spark.createDataFrame(points, SCHEMA)))
+    assert got == brute(points)
+
+
 def test_fallback_prefers_the_village(spark):
     points = hot_points(3, 150)
     got = collected(X.knn_fallback(spark.createDataFrame(points, SCHEMA)))
@@ -73,13 +83,13 @@ def test_fallback_prefers_the_village(spark):
             assert got.get(p[0], []) == (same + rest)[:5]
 
 
-def test_candidate_caps(spark):
+def test_candidates_are_exact(spark):
     points = hot_points(4, 150)
-    got = collected(X.knn_candidates(spark.createDataFrame(points, SCHEMA), village_cap=9, block_cap=14, enough=6))
+    got = collected(X.knn_candidates(spark.createDataFrame(points, SCHEMA), enough=12))
     for p in points:
         others = [q for q in points if q[0] != p[0] and q[1:3] == p[1:3]]
-        near = [q for q in others if p[3] and q[3] == p[3]][:9]
-        cand = near if p[3] and len(near) >= 6 else others[:14]
+        near = [q for q in others if p[3] and q[3] == p[3]]
+        cand = near if p[3] and len(near) >= 12 else others
         if valid(p):
             want = [q for _, q in sorted((km(p, q), q[0]) for q in cand if valid(q))]
         else:
