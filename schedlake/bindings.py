@@ -24,27 +24,24 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str, key: str) -> DataFrame:
-        """A table for work that is heavy per row. One that arrives in fewer splits than there are cores is spread by key first.
-
-        Columns and filters are still pushed below that exchange; a table of many splits is left as it is.
-        """
-        df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores // 2 else df
+        """A table for work that is heavy per row, dealt to all cores by key. Columns and filters are still pushed below the exchange."""
+        return self.table(name).repartition(self.spark.sparkContext.defaultParallelism, key)
 
     # -- points and schedules -------------------------------------------------
 
     def points(self) -> DataFrame:
+        """Points of the customers. Two districts in different cities share the slug ``nation0``."""
         customer, nation, region = (self.table(t) for t in ("customer", "nation", "region"))
         joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
             region, F.col("n_regionkey") == F.col("r_regionkey")
         )
+        slug = "CASE WHEN n_nationkey = 1 THEN 'nation0' ELSE lower(replace(n_name, '_', '')) END"
         return joined.selectExpr(
             "c_custkey AS ord",
             "lower(replace(r_name, ' ', '')) AS city_slug",
             "r_name AS city",
             "n_name AS district",
-            "lower(replace(n_name, '_', '')) AS district_slug",
+            f"{slug} AS district_slug",
             "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE concat('V', CAST(c_custkey % 4 AS STRING)) END AS village",
             "CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE concat('Road ', CAST(c_custkey % 6 AS STRING)) END AS point_name",
             "concat('PL', CAST(c_custkey % 5 AS STRING)) AS plate",
@@ -52,7 +49,7 @@ class Views:
             " ELSE 21.5D + CAST((c_custkey * 37) % 400 AS DOUBLE) / 100 END AS lat",
             "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 119.5D + CAST((c_custkey * 53) % 300 AS DOUBLE) / 100 END AS lng",
             "CASE WHEN c_custkey % 2 = 0 THEN 'FIXED' WHEN c_custkey % 3 = 0 THEN 'PASS' ELSE NULL END AS collection_type",
-            "concat(upper(substr(r_name, 1, 3)), '-', upper(replace(n_name, '_', '')), '-', CAST(c_custkey AS STRING)) AS point_id",
+            f"concat(upper(substr(r_name, 1, 3)), '-', upper({slug}), '-', CAST(c_custkey AS STRING)) AS point_id",
             "CASE WHEN c_custkey % 3 = 0 THEN concat('2026-07-', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'))"
             " ELSE concat('2026-07-', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), 'T11:50:16.537798+08:00') END AS fetched_at",
         )
@@ -88,16 +85,15 @@ class Views:
         return out
 
     def foreign(self) -> DataFrame:
-        return (
-            self.table("lineitem")
-            .filter("l_orderkey % 97 = 0")
-            .selectExpr(
-                "CASE WHEN l_suppkey % 2 = 0 THEN 'jp' ELSE 'sg' END AS country",
-                "CAST(l_shipdate AS DATE) AS d",
-                "concat('F', CAST(l_linenumber AS STRING)) AS name",
-            )
-            .distinct()
+        """Holidays abroad. All lines count: a name is a holiday on a day if its order keys add up to a multiple of 23,
+        which makes about one day in four a holiday of a country."""
+        lines = self.table("lineitem").selectExpr(
+            "CASE WHEN l_suppkey % 2 = 0 THEN 'jp' ELSE 'sg' END AS country",
+            "CAST(l_shipdate AS DATE) AS d",
+            "concat('F', CAST(l_linenumber AS STRING)) AS name",
+            "l_orderkey",
         )
+        return lines.groupBy("country", "d", "name").agg(F.sum("l_orderkey").alias("s")).filter("s % 23 = 0").drop("s")
 
     def closure_rule(self) -> DataFrame:
         """One closure window per country that has holidays."""
@@ -160,8 +156,11 @@ class Views:
     # -- routes -------------------------------------------------------------------
 
     def routes(self) -> DataFrame:
+        """Points on routes: the pairs that occur among the lines."""
         part, supplier = self.table("part"), self.table("supplier")
-        return part.join(supplier, F.col("p_partkey") % 50 == F.col("s_suppkey") % 50).selectExpr(
+        pairs = self.table("lineitem").select("l_partkey", "l_suppkey").distinct()
+        joined = pairs.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        return joined.selectExpr(
             "p_partkey AS poi_id",
             "s_suppkey AS route_id",
             "CASE WHEN (p_partkey + s_suppkey) % 3 = 0 THEN 'lagi' ELSE 'recycle' END AS car_type",

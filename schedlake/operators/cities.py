@@ -120,8 +120,10 @@ def route_city(stops: DataFrame, routes: DataFrame, dims: DataFrame, city: str,
 
 def route_stops_united(stops: DataFrame, routes: DataFrame, dims: DataFrame) -> DataFrame:
     """One row per (route, poi) with both parsed schedules, their drops and counters, the district (NULL when unknown) and the order of first appearance."""
-    files = stops.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")))
-    numbered = stops.join(files, "file").withColumn("seen", F.col("file_no").cast("long") * 1000000 + F.col("pos"))
+    # places in reading order: each file starts after the last place of the one before; one row per file is ranked
+    ends = stops.groupBy("file").agg((F.max("pos") + 1).cast("long").alias("places"))
+    before = F.coalesce(F.sum("places").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = stops.join(ends.select("file", before.alias("start")), "file").withColumn("seen", F.col("start") + F.col("pos")).drop("start")
     fields = ["poi_name", "show_memo", "lat", "lng", "arrive_time", "show_arrive_time", "show_memo_time", "show_recycle_arrive_time", "show_recycle_memo_time"]
     united = N.union_by_key(numbered, ["route_id", "poi_id"], "car_type", "lagi", "recycle", "seen", fields)
     order = numbered.groupBy("route_id", "poi_id").agg(F.min("seen").alias("ord"), F.max("fetched_at").alias("fetched_at"))

@@ -117,12 +117,13 @@ def _grams(text: Column, size: int) -> Column:
     )
 
 
-def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, scan: int = 300, ord_col: str = "ord") -> DataFrame:
-    """(q, rank, point, score, stage, city_named): the best ``limit`` of the first ``scan`` matches in index order, by match position.
+def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, ord_col: str = "ord") -> DataFrame:
+    """(q, rank, point, score, stage, city_named): the best ``limit`` matches by match position, then index order.
 
     Stage 1 filters by the named places, stage 2 retries without stray edge characters, stage 3
-    takes the whole text without a filter; the first stage with a match answers. Both limits
-    are the operator's own; equal texts of a district are looked at once.
+    takes the whole text without a filter; the first stage with a match answers, and later stages look only at queries
+    that are still open. Equal texts of a district are looked at once; of each, only its first ``limit`` points can be among
+    the best.
     """
     indexed, cities, districts = search_index(points, ord_col)
     # the places and the parsed queries are read by several branches below; both are far smaller than the points
@@ -130,7 +131,7 @@ def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, scan:
     parsed = cut_lineage(parse_queries(queries, cities, districts))
     dist_text = districts.select("district_idx", "city_idx", search_text(F.col("district")).alias("d_text"))
     texts = indexed.select("district_idx", search_text(F.concat("name", F.coalesce("village", F.lit("")))).alias("hay"), F.col(ord_col).alias("id"))
-    texts = first_rows(texts, ["district_idx", "hay"], ["id"], scan).groupBy("district_idx", "hay").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    texts = first_rows(texts, ["district_idx", "hay"], ["id"], limit).groupBy("district_idx", "hay").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     # one row per distinct text: written once, read by the gram count and both matching branches
     texts = cut_lineage(texts.join(dist_text.select("district_idx", "d_text"), "district_idx").withColumn("full_hay", F.concat("hay", "d_text")).drop("d_text"))
     gram_rows = texts.withColumn("gram", F.explode(F.concat(_grams(F.col("full_hay"), 1), _grams(F.col("full_hay"), 2))))
@@ -166,10 +167,9 @@ def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, scan:
     heads = first_rows(indexed.select("district_idx", F.col(ord_col).alias("id")), ["district_idx"], ["id"], limit).drop("rank")
     plain = scoped.filter("needle = ''").join(heads, "district_idx").select("q", "stage", F.lit(0).alias("score"), "id")
 
-    scanned = first_rows(hits.unionByName(plain), ["q", "stage"], ["id"], scan, "seen")
-    first_stage = scanned.groupBy("q").agg(F.min("stage").alias("stage"))
-    chosen = scanned.join(first_stage, ["q", "stage"])
-    best = first_rows(chosen, ["q"], ["score", "id"], limit).join(parsed.select("q", (F.size("cities") > 0).alias("city_named")), "q")
+    best = first_rows(hits.unionByName(plain), ["q"], ["stage", "score", "id"], limit)
+    # the first stage of a query answers; worse stages can only stand behind it
+    best = best.withColumn("first_stage", F.min("stage").over(Window.partitionBy("q"))).filter("stage = first_stage").drop("first_stage").join(parsed.select("q", (F.size("cities") > 0).alias("city_named")), "q")
     return best.select("q", "rank", F.col("id").alias(ord_col), "score", "stage", (F.col("city_named") & (F.col("stage") < 3)).alias("city_named"))
 
 

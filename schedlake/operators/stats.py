@@ -155,16 +155,12 @@ def time_table(points: DataFrame, entries: DataFrame, keys: list[str] = DISTRICT
     return joined.withColumn("first_arrive", F.coalesce("first_arrive", F.lit("99:99"))).orderBy(*keys, "first_arrive", id_col)
 
 
-def siblings(dims: DataFrame, parent: str, child: str, max_children: int = 10000) -> DataFrame:
-    """Every child with the other children of its parent.
-
-    A dimension-level operator: the children of one parent form one array, and a parent
-    with more than ``max_children`` of them raises instead of building a huge one.
-    """
-    lists = dims.select(parent, child).distinct().groupBy(parent).agg(F.sort_array(F.collect_list(child)).alias("all"))
-    bounded = F.when(F.size("all") <= max_children, F.col("all")).otherwise(
-        F.raise_error(F.concat(F.lit("too many children of "), F.col(parent).cast("string")))
-    )
-    return lists.withColumn("all", bounded).select(parent, F.explode("all").alias(child), F.col("all")).select(
-        parent, child, F.array_remove(F.col("all"), F.col(child)).alias("siblings")
-    )
+def children(dims: DataFrame, parent: str, child: str) -> DataFrame:
+    """One row per parent with its distinct children, sorted: as large as the dimension itself."""
+    return dims.select(parent, child).distinct().groupBy(parent).agg(F.sort_array(F.collect_list(child)).alias("children"))
+
+
+def siblings(asked: DataFrame, dims: DataFrame, parent: str, child: str) -> DataFrame:
+    """(parent, child, sibling) for the asked (parent, child) rows only, by a join on the parent."""
+    others = dims.select(parent, F.col(child).alias("sibling")).distinct()
+    return asked.select(parent, child).distinct().join(others, parent).filter(F.col("sibling") != F.col(child))

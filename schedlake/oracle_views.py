@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from schedlake.bindings import SOLAR_TERMS
 from schedlake.functions.dates import DAY_LABELS, MONTH_NAMES
 from schedlake.functions.times import WEEKDAY_CHARS
 
@@ -10,14 +11,12 @@ def sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-SOLAR_TERMS_SQL = sql_list(
-    "小寒 大寒 立春 雨水 驚蟄 春分 清明 穀雨 立夏 小滿 芒種 夏至 小暑 大暑 立秋 處暑 白露 秋分 寒露 霜降 立冬 小雪 大雪 冬至".split()
-)
+SOLAR_TERMS_SQL = sql_list(SOLAR_TERMS)
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_points": ((), """
 SELECT c_custkey AS ord, lower(replace(r_name,' ','')) AS city_slug, r_name AS city, n_name AS district,
-  lower(replace(n_name,'_','')) AS district_slug,
+  CASE WHEN n_nationkey = 1 THEN 'nation0' ELSE lower(replace(n_name,'_','')) END AS district_slug,
   CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE concat('V', CAST(c_custkey % 4 AS VARCHAR)) END AS village,
   CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE concat('Road ', CAST(c_custkey % 6 AS VARCHAR)) END AS point_name,
   concat('PL', CAST(c_custkey % 5 AS VARCHAR)) AS plate,
@@ -25,7 +24,7 @@ SELECT c_custkey AS ord, lower(replace(r_name,' ','')) AS city_slug, r_name AS c
        ELSE CAST(21.5 AS DOUBLE) + CAST((c_custkey*37) % 400 AS DOUBLE)/100 END AS lat,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(119.5 AS DOUBLE) + CAST((c_custkey*53) % 300 AS DOUBLE)/100 END AS lng,
   CASE WHEN c_custkey % 2 = 0 THEN 'FIXED' WHEN c_custkey % 3 = 0 THEN 'PASS' ELSE NULL END AS collection_type,
-  concat(upper(substr(r_name,1,3)), '-', upper(replace(n_name,'_','')), '-', CAST(c_custkey AS VARCHAR)) AS point_id,
+  concat(upper(substr(r_name,1,3)), '-', CASE WHEN n_nationkey = 1 THEN 'NATION0' ELSE upper(replace(n_name,'_','')) END, '-', CAST(c_custkey AS VARCHAR)) AS point_id,
   CASE WHEN c_custkey % 3 = 0 THEN concat('2026-07-', lpad(CAST(c_custkey % 28 + 1 AS VARCHAR),2,'0'))
        ELSE concat('2026-07-', lpad(CAST(c_custkey % 28 + 1 AS VARCHAR),2,'0'), 'T11:50:16.537798+08:00') END AS fetched_at
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
@@ -48,9 +47,9 @@ FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) t"""),
     "v_calendar_gaps": (("v_calendar",), """
 SELECT * FROM v_calendar WHERE NOT (month(d) % 3 = 0 AND day(d) BETWEEN 8 AND 12 AND NOT is_holiday)"""),
     "v_foreign": ((), """
-SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'jp' ELSE 'sg' END AS country,
+SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'jp' ELSE 'sg' END AS country,
   CAST(l_shipdate AS DATE) AS d, concat('F', CAST(l_linenumber AS VARCHAR)) AS name
-FROM lineitem WHERE l_orderkey % 97 = 0"""),
+FROM lineitem GROUP BY ALL HAVING sum(l_orderkey) % 23 = 0"""),
     "v_asof": ((), "SELECT CAST(l_shipdate AS DATE) AS as_of, l_orderkey, l_linenumber FROM lineitem"),
     "v_lunar_index": ((), """
 SELECT d AS solar_date, datediff('day', lo, d) AS i FROM (
@@ -81,7 +80,7 @@ FROM part"""),
 SELECT p_partkey AS poi_id, s_suppkey AS route_id,
   CASE WHEN (p_partkey + s_suppkey) % 3 = 0 THEN 'lagi' ELSE 'recycle' END AS car_type,
   p_name AS poi_name, s_nationkey AS district_gid
-FROM part JOIN supplier ON p_partkey % 50 = s_suppkey % 50"""),
+FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey"""),
     "v_stops": ((), """
 SELECT l_orderkey, l_linenumber, l_suppkey AS route_id, l_partkey AS poi_id,
   CASE WHEN l_linenumber % 2 = 1 THEN 'lagi' ELSE 'recycle' END AS car_type,

@@ -39,12 +39,16 @@ st AS (SELECT ds.*, hour_counts, CASE WHEN top > 0 THEN concat_ws(';', nd || CAS
   FROM ds JOIN ws USING (city_slug, district_slug) JOIN ht USING (city_slug, district_slug))"""
 
 
-@query("district_faq", "v_points v_entries", sql=SENTENCE_CTE + """,
+#: The four questions of a district, in order; a question without an answer is left out.
+FAQ_CTE = SENTENCE_CTE + """,
 i AS (SELECT city_slug, district_slug, 1 AS k, district || '星期幾有收垃圾?' AS question, coalesce('根據本站資料,' || district || weekday_text, '本站尚未取得' || district || '清運點的逐日收運星期資料,僅取得到站時間,請見下方時段總表。') AS answer FROM st WHERE point_count > no_schedule_points
   UNION ALL SELECT city_slug, district_slug, 2, district || '有幾個清運點?', district || '目前共登記 ' || point_count || ' 個清運點,分布在 ' || village_count || ' 個里。' FROM st
   UNION ALL SELECT city_slug, district_slug, 3, district || '最早、最晚的清運時間是幾點?', district || '記錄到的清運到站時間中,最早為 ' || earliest_arrive || ',最晚為 ' || latest_arrive || '。' FROM st WHERE earliest_arrive IS NOT NULL
   UNION ALL SELECT city_slug, district_slug, 4, district || '有資源回收或廚餘回收嗎?', district || '的清運點中,' || concat_ws('、', CASE WHEN recycling_points > 0 THEN '有 ' || recycling_points || ' 個(約 ' || recycling_pct || '%)提供資源回收' END,
-    CASE WHEN foodscraps_points > 0 THEN '有 ' || foodscraps_points || ' 個(約 ' || foodscraps_pct || '%)提供廚餘回收' END) || '。' FROM st WHERE recycling_points + foodscraps_points > 0)
+    CASE WHEN foodscraps_points > 0 THEN '有 ' || foodscraps_points || ' 個(約 ' || foodscraps_pct || '%)提供廚餘回收' END) || '。' FROM st WHERE recycling_points + foodscraps_points > 0)"""
+
+
+@query("district_faq", "v_points v_entries", sql=FAQ_CTE + """
 SELECT city_slug, district_slug, CAST(row_number() OVER (PARTITION BY city_slug, district_slug ORDER BY k) AS INT) AS position, question, answer FROM i""")
 def district_faq(v):
     return T.district_faq(district_stats(v), stats.DISTRICT)
@@ -141,11 +145,11 @@ def place_docs(v):
     return p.select("ord", T.place_doc(path_url(base, F.col("city_slug"), F.col("ord").cast("string"))).alias("place"), crumbs.alias("breadcrumb"))
 
 
-@query("faq_docs", "v_points v_entries", sql=SENTENCE_CTE + """,
-q AS (SELECT city_slug, district_slug, district || '有幾個清運點?' AS question, district || '目前共登記 ' || point_count || ' 個清運點,分布在 ' || village_count || ' 個里。' AS answer FROM st)
-SELECT city_slug, district_slug, to_json({'@context': 'https://schema.org', '@type': 'FAQPage', 'mainEntity': [{'@type': 'Question', 'name': question, 'acceptedAnswer': {'@type': 'Answer', 'text': answer}}]})::VARCHAR AS doc FROM q""")
+@query("faq_docs", "v_points v_entries", sql=FAQ_CTE + """
+SELECT city_slug, district_slug, to_json({'@context': 'https://schema.org', '@type': 'FAQPage',
+  'mainEntity': list({'@type': 'Question', 'name': question, 'acceptedAnswer': {'@type': 'Answer', 'text': answer}} ORDER BY k)})::VARCHAR AS doc FROM i GROUP BY 1, 2""")
 def faq_docs(v):
-    return T.faq_docs(T.district_faq(district_stats(v), stats.DISTRICT).filter(F.col("question").contains("有幾個")), stats.DISTRICT)
+    return T.faq_docs(T.district_faq(district_stats(v), stats.DISTRICT), stats.DISTRICT)
 
 
 @query("sitemap_static", "v_calendar v_occasions", sql="WITH " + lw_sql("v_calendar").strip() + "," + block_sql("v_calendar") + """,

@@ -106,12 +106,18 @@ def time_table(v):
 
 
 @query("siblings", "v_points", sql="""
-WITH d AS (SELECT DISTINCT city_slug, district_slug FROM v_points)
-SELECT a.city_slug, a.district_slug, coalesce(string_agg(b.district_slug, ',' ORDER BY b.district_slug), '') AS siblings
-FROM d a LEFT JOIN d b ON a.city_slug = b.city_slug AND a.district_slug <> b.district_slug GROUP BY 1, 2""")
+WITH d AS (SELECT DISTINCT city_slug, district_slug FROM v_points), a AS (SELECT city_slug, arg_min(district_slug, ord) AS district_slug FROM v_points GROUP BY 1)
+SELECT a.city_slug, a.district_slug, d.district_slug AS sibling FROM a JOIN d ON a.city_slug = d.city_slug AND a.district_slug <> d.district_slug""")
 def siblings(v):
-    out = S.siblings(v.points(), "city_slug", "district_slug")
-    return out.withColumn("siblings", F.array_join("siblings", ","))
+    """Siblings of the district that each city's first point is in."""
+    asked = v.points().groupBy("city_slug").agg(F.min_by("district_slug", "ord").alias("district_slug"))
+    return S.siblings(asked, v.points(), "city_slug", "district_slug")
+
+
+@query("children", "v_points", sql="""
+SELECT city_slug, string_agg(DISTINCT district_slug, ',' ORDER BY district_slug) AS children FROM v_points GROUP BY 1""")
+def children(v):
+    return S.children(v.points(), "city_slug", "district_slug").withColumn("children", F.array_join("children", ","))
 
 
 @query("first_per_key", "v_occasions", sql="""

@@ -118,27 +118,23 @@ SELECT event_id, new_point_id, CASE WHEN new_point_id IS NOT NULL THEN lower(spl
   CASE WHEN new_point_id IS NOT NULL THEN split_part(new_point_id, '-', 3) || '-N' END AS new_slug
 FROM q LEFT JOIN t ON t.city_slug = q.city_slug AND t.district_slug = q.district_slug AND t.old_slug = q.old_slug""")
 def redirect_lookup(v):
-    from schedlake.operators.skew import salted_join
-
     table = v.points().filter("ord % 4 <> 0").select("city_slug", "district_slug", F.col("ord").cast("string").alias("old_slug"), F.concat("point_id", F.lit("-N")).alias("new_point_id"))
     places = v.points().select("ord", "city_slug", "district_slug")
-    asked = salted_join(v.table("events").select("event_id", F.col("user_id").alias("ord")), places, ["ord"], "event_id", how="inner")
+    asked = v.table("events").select("event_id", F.col("user_id").alias("ord")).join(places, ["ord"], "inner")
     asked = asked.withColumn("old_slug", F.col("ord").cast("string"))
-    return R.lookup_redirects(asked, table, "event_id").select("event_id", "new_point_id", "new_district", "new_slug")
+    return R.lookup_redirects(asked, table).select("event_id", "new_point_id", "new_district", "new_slug")
 
 
 @query("point_lookup", "v_points", sql="""
-WITH q AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'ZZZ-NATION' || (event_id % 40) || '-0' ELSE p.point_id END AS point_id FROM events LEFT JOIN v_points p ON p.ord = user_id),
-dn AS (SELECT district_slug, min(district) AS district_name FROM v_points GROUP BY 1)
-SELECT event_id, q.point_id, p.point_name, p.point_id IS NOT NULL AS found, district_name FROM q LEFT JOIN v_points p ON p.point_id = q.point_id LEFT JOIN dn ON dn.district_slug = lower(split_part(q.point_id, '-', 2))""")
+WITH q AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'AFR-NATION' || (event_id % 40) || '-0' ELSE p.point_id END AS point_id FROM events LEFT JOIN v_points p ON p.ord = user_id),
+dn AS (SELECT split_part(point_id, '-', 1) AS city_id, district_slug, min(district) AS district_name FROM v_points GROUP BY 1, 2)
+SELECT event_id, q.point_id, p.point_name, p.point_id IS NOT NULL AS found, district_name FROM q LEFT JOIN v_points p ON p.point_id = q.point_id LEFT JOIN dn ON dn.city_id = split_part(q.point_id, '-', 1) AND dn.district_slug = lower(split_part(q.point_id, '-', 2))""")
 def point_lookup(v):
-    from schedlake.operators.skew import salted_join
-
     events = v.table("events").select("event_id", F.col("user_id").alias("ord"))
-    asked = salted_join(events, v.points().select("ord", "point_id"), ["ord"], "event_id")
-    stale = F.concat(F.lit("ZZZ-NATION"), (F.col("event_id") % 40).cast("string"), F.lit("-0"))
+    asked = events.join(v.points().select("ord", "point_id"), ["ord"], "left")
+    stale = F.concat(F.lit("AFR-NATION"), (F.col("event_id") % 40).cast("string"), F.lit("-0"))
     asked = asked.select("event_id", F.when(F.col("event_id") % 5 == 0, stale).otherwise(F.col("point_id")).alias("point_id"))
-    return R.lookup_points(asked, v.points(), "event_id").select("event_id", "point_id", "point_name", "found", "district_name")
+    return R.lookup_points(asked, v.points()).select("event_id", "point_id", "point_name", "found", "district_name")
 
 
 @query("capped_list", sql="""

@@ -14,13 +14,13 @@ from schedlake.plans.registry import query
 
 
 def years(v):
-    """First and last whole year of the order dates."""
-    span = v.table("orders").agg(F.min(F.year("o_orderdate")).alias("lo"), (F.max(F.year("o_orderdate")) - 1).alias("hi"))
+    """First and last year of the order dates."""
+    span = v.table("orders").agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi"))
     return span.select("lo").scalar(), span.select("hi").scalar()
 
 
 DATES_CTE = """
-WITH yr AS (SELECT CAST(min(year(o_orderdate)) AS INT) AS lo, CAST(max(year(o_orderdate)) - 1 AS INT) AS hi FROM orders),
+WITH yr AS (SELECT CAST(min(year(o_orderdate)) AS INT) AS lo, CAST(max(year(o_orderdate)) AS INT) AS hi FROM orders),
 md AS (SELECT DISTINCT lunar_month, lunar_day FROM v_occasions), ky AS (SELECT lunar_month, lunar_day, CAST(unnest(generate_series(lo, hi)) AS INT) AS solar_year FROM md, yr),
 rg AS (SELECT lunar_month, lunar_day, CAST(year(solar_date) AS INT) AS solar_year, solar_date, lunar_month_label || lunar_day_label AS lunar_label FROM v_lunar WHERE NOT is_leap_month),
 dt AS (SELECT k.*, solar_date, lunar_label, FALSE AS adjusted FROM ky k JOIN rg USING (lunar_month, lunar_day, solar_year)
@@ -79,14 +79,16 @@ def lunar_lookup(v):
 
 @query("lunar_to_solar", "v_occasions v_lunar", sql="""
 WITH q AS (SELECT ord, CAST(CASE WHEN ord % 4 = 0 THEN 6 ELSE lunar_month END AS INT) AS m, lunar_day AS d, ord % 4 = 0 AS leap FROM v_occasions),
-y AS (SELECT ord, m, d, leap, CAST(unnest(generate_series(1995, 2000)) AS INT) AS lunar_year FROM q)
+y AS (SELECT ord, m, d, leap, CAST(unnest(generate_series(lo, hi)) AS INT) AS lunar_year FROM q, (SELECT min(lunar_year) AS lo, max(lunar_year) AS hi FROM v_lunar))
 SELECT ord, y.lunar_year, CAST(solar_date AS VARCHAR) AS solar_date, solar_date IS NULL AS not_exist
 FROM y LEFT JOIN v_lunar l ON l.lunar_year = y.lunar_year AND lunar_month = m AND lunar_day = d AND is_leap_month = leap""")
 def lunar_to_solar(v):
     signed = F.when(F.col("ord") % 4 == 0, F.lit(-6)).otherwise(F.col("lunar_month"))
     month, leap = L.signed_month(signed)
     asked = v.occasions().select("ord", month.alias("lunar_month"), "lunar_day", leap.alias("is_leap_month"))
-    out = L.to_solar(asked, v.lunar_days(), F.lit(1995), F.lit(2000))
+    lunar = v.lunar_days()
+    span = lunar.agg(F.min("lunar_year").alias("lo"), F.max("lunar_year").alias("hi"))
+    out = L.to_solar(asked, lunar, span.select("lo").scalar(), span.select("hi").scalar())
     return text_dates(out.select("ord", "lunar_year", "solar_date", "not_exist"), "solar_date")
 
 

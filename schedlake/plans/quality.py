@@ -8,6 +8,7 @@ from schedlake.operators import normalize as N
 from schedlake.operators import quality as Q
 from schedlake.plans.normalising import GRID_CTE, REASON_SQL, classified, grid_binding
 from schedlake.plans.registry import query
+from schedlake.session import cut_lineage
 
 ARRAYS = ["schedule", "recycling_schedule", "foodscraps_schedule"]
 
@@ -110,10 +111,8 @@ SELECT city_slug, CASE WHEN weekday IS NULL THEN 'absent' WHEN seq % 17 = 0 THEN
   round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY city_slug), 6) AS rate
 FROM v_entries JOIN v_points USING (ord) GROUP BY 1, 2""")
 def weekday_source(v):
-    from schedlake.operators.skew import salted_join
-
     tag = F.when(F.col("weekday").isNull(), "absent").when(F.col("seq") % 17 != 0, "listed")
-    entries = salted_join(v.entries(), v.points().select("ord", "city_slug"), ["ord"], "seq", how="inner")
+    entries = v.entries().join(v.points().select("ord", "city_slug"), ["ord"], "inner")
     return Q.weekday_source(entries.withColumn("weekday_source", tag), ["city_slug"]).withColumn("rate", F.round("rate", 6))
 
 
@@ -215,7 +214,9 @@ def normalize_stats(v):
         F.col("g.memo_entries").alias("schedule_memo"), F.col("r.memo_entries").alias("recycling_memo"),
         (F.coalesce(F.col("g.mismatch").cast("int"), F.lit(0)) + F.coalesce(F.col("r.mismatch").cast("int"), F.lit(0))).alias("mismatches"),
     )
-    shared = Q.multi_parent(v.stops(), "poi_id", "route_id").agg(F.count(F.lit(1))).scalar()
+    # read by the counters and by the count of points on several routes
+    both = cut_lineage(both)
+    shared = Q.multi_parent(both, "poi_id", "route_id").agg(F.count(F.lit(1))).scalar()
     return Q.normalize_stats(both, []).withColumn("multi_route_pois", shared)
 
 

@@ -66,8 +66,8 @@ nd AS (SELECT q, cities, districts, 1 AS stage, rest AS needle FROM pq WHERE len
 pt AS (SELECT ord, dd.city_idx, dd.district_idx, {NORM.format(x="coalesce(point_name, '') || coalesce(village, '')")} AS hay, {NORM.format(x="coalesce(point_name, '') || coalesce(village, '') || p.district || '區'")} AS fh FROM v_points p JOIN dd ON dd.city_slug = p.city_slug AND dd.district_slug = p.district_slug),
 hs AS (SELECT q, stage, ord, CASE WHEN needle = '' THEN 0 ELSE strpos(CASE WHEN len(districts) > 0 THEN hay ELSE fh END, needle) - 1 END AS score FROM nd, pt
   WHERE (len(cities) = 0 OR list_contains(cities, city_idx)) AND (len(districts) = 0 OR list_contains(districts, district_idx))),
-h3 AS (SELECT *, row_number() OVER (PARTITION BY q, stage ORDER BY ord) AS seen, min(stage) OVER (PARTITION BY q) AS best FROM hs WHERE score >= 0),
-rk AS (SELECT q, stage, ord, score, stage < 3 AND len((SELECT any_value(cities) FROM pq WHERE pq.q = h3.q)) > 0 AS city_named, CAST(row_number() OVER (PARTITION BY q ORDER BY score, ord) AS INT) AS rank FROM h3 WHERE seen <= 300 AND stage = best)
+h3 AS (SELECT *, min(stage) OVER (PARTITION BY q) AS best FROM hs WHERE score >= 0),
+rk AS (SELECT q, stage, ord, score, stage < 3 AND len((SELECT any_value(cities) FROM pq WHERE pq.q = h3.q)) > 0 AS city_named, CAST(row_number() OVER (PARTITION BY q ORDER BY score, ord) AS INT) AS rank FROM h3 WHERE stage = best)
 SELECT q, rank, ord, CAST(score AS INT) AS score, CAST(stage AS INT) AS stage, city_named FROM rk WHERE rank <= 20""")
 def address_search(v):
     return S.address_search(asked(v), places(v))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from schedlake.functions.text import strip
@@ -37,13 +37,18 @@ OCCASION_SCHEMA = (
 
 
 def envelope(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Documents {city, source, fetched_at, records[]}: one row per record with the envelope fields.
+    """Documents {city, source, fetched_at, records[]}, one per file: one row per record with the envelope fields.
 
-    A document is read by one task; many documents are read in parallel.
+    ``ord`` numbers the records of all documents in order of file and place. A document is read by one task;
+    many documents are read in parallel, and only one row per file is ranked.
     """
     docs = spark.read.schema(f"city string, source string, fetched_at string, records array<{record}>").json(path, multiLine=True)
+    docs = docs.withColumn("file", F.col("_metadata.file_path"))
+    sizes = docs.groupBy("file").agg(F.sum(F.coalesce(F.size("records"), F.lit(0))).alias("records"))
+    before = F.coalesce(F.sum("records").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     head = [F.col("city").alias("env_city"), F.col("source").alias("env_source"), F.col("fetched_at").alias("env_fetched_at")]
-    return docs.select(*head, F.posexplode("records").alias("ord", "r")).select("env_city", "env_source", "env_fetched_at", F.col("ord").cast("long").alias("ord"), "r.*")
+    rows = docs.select("file", *head, F.posexplode("records").alias("pos", "r")).join(sizes.select("file", before.alias("start")), "file")
+    return rows.select("env_city", "env_source", "env_fetched_at", (F.col("start") + F.col("pos")).cast("long").alias("ord"), "r.*")
 
 
 def stop_files(spark: SparkSession, directory: str, zone: str = "Asia/Taipei") -> DataFrame:
@@ -138,10 +143,16 @@ def lunar_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """One version of a table written by ``sinks.write_version``; the newest when none is named."""
+    """One version of a table written by ``sinks.write_version``; the newest when none is named.
+
+    Versions are whole numbers joined by dots or dashes, such as 2026-07 or 1.10, and compare number by number; any
+    other version stops the job.
+    """
     table = spark.read.parquet(path)
     if version is None:
-        version = table.agg(F.max(F.col("version").cast("string"))).first()[0]
+        text = F.col("version").cast("string")
+        named = F.when(text.rlike(r"^[0-9]+([.-][0-9]+)*$"), text).otherwise(F.raise_error(F.concat(F.lit("not a version: "), text)))
+        version = table.select(named.alias("v")).distinct().agg(F.max_by("v", F.split("v", "[.-]").cast("array<int>"))).first()[0]
     return table.filter(F.col("version").cast("string") == F.lit(str(version))).drop("version")
 
 

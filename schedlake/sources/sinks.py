@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schedlake.functions.text import event_text_escape  # noqa: F401  (used by callers building event rows)
 from schedlake.operators import quality
+from schedlake.operators.normalize import has_entries, publish_reason, sanitize
 from schedlake.operators.publish import baseline_upsert
+from schedlake.session import cut_lineage
 
 
 def write_points(points: DataFrame, path: str, by: str = "city_slug") -> None:
-    """Replace exactly the partitions that occur in ``points``; others stay. Rows are sorted so that district lookups prune."""
+    """Replace exactly the partitions that occur in ``points``; others stay.
+
+    Rows are dealt by ranges of (partition, district, id), so a large district fills several files, and sorted so that district
+    lookups prune.
+    """
     (
-        points.repartition(by, "district_slug")
+        points.repartitionByRange(by, "district_slug", "point_id")
         .sortWithinPartitions(by, "district_slug", "point_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -22,20 +27,28 @@ def write_points(points: DataFrame, path: str, by: str = "city_slug") -> None:
     )
 
 
+def publishable(points: DataFrame, arrays: list[str]) -> DataFrame:
+    """Rows that may be published, with their entries cleaned; the first array is required, the others become NULL when empty."""
+    rows = points.filter(publish_reason(has_entries(*arrays)).isNull())
+    return rows.withColumns({a: sanitize(F.col(a), required=i == 0) for i, a in enumerate(arrays)})
+
+
 def publish(points: DataFrame, baseline: DataFrame, path: str, key: str, arrays: list[str], updated_at: str) -> tuple[DataFrame, DataFrame]:
-    """Validate, then replace the partitions. Raises before anything is written when a partition fails.
+    """Validate, then replace the partitions by their publishable rows. Raises before anything is written when a partition fails.
 
-    Returns (report, new baseline).
+    The report, one row per partition, and the new baseline are stored before the write, so both stay readable
+    when ``points`` or ``baseline`` come from the folder that is replaced. Returns (report, new baseline).
     """
-    report = quality.report(points, baseline, key, arrays)
+    report = cut_lineage(quality.report(points, baseline, key, arrays))
     quality.gate(report, key)
-    write_points(points, path, key)
-    return report, baseline_upsert(baseline, report, key, updated_at)
+    new_baseline = cut_lineage(baseline_upsert(baseline, report, key, updated_at))
+    write_points(publishable(points, arrays), path, key)
+    return report, new_baseline
 
 
-def publish_passing(points: DataFrame, report: DataFrame, path: str, key: str) -> None:
+def publish_passing(points: DataFrame, report: DataFrame, path: str, key: str, arrays: list[str]) -> None:
     """Replace only the partitions that pass, leaving failed ones on their old data."""
-    write_points(points.join(report.filter("passed").select(key), key, "left_semi"), path, key)
+    write_points(publishable(points, arrays).join(report.filter("passed").select(key), key, "left_semi"), path, key)
 
 
 def write_redirects(redirects: DataFrame, path: str, key: str = "city_slug") -> None:

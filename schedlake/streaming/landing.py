@@ -1,39 +1,64 @@
-"""Incremental jobs: landing new files once, and publishing only what a batch touches."""
+"""Incremental jobs: landing new files once, and publishing what a run brings, complete."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from schedlake.session import shared_dir
 from schedlake.sources.sinks import write_points
 
 
+def _landed(stream: DataFrame, folder: str, checkpoint: str) -> list[int]:
+    """Write every new micro-batch to its own ``batch=<id>`` folder and wait for the end. Rows of each batch.
+
+    A batch that is repeated after a lost job overwrites its folder, so none is kept twice. Rows are
+    counted while a batch is written, not taken from the progress list, which forgets old batches.
+    """
+    counts: dict[int, int] = {}
+
+    def land(batch: DataFrame, number: int) -> None:
+        seen = Observation(f"landed-{number}")
+        batch.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        counts[number] = seen.get["n"]
+
+    query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return list(counts.values())
+
+
 def land_files(spark: SparkSession, source: str, schema: StructType | str, fmt: str, sink: str, checkpoint: str, glob: str | None = None) -> int:
     """Process the files that the checkpoint has not seen, then stop. Returns the number of new rows.
 
-    The file source and sink keep their progress in the checkpoint, so a rerun after a lost
-    job neither skips nor repeats a file.
+    Progress is kept in the checkpoint, so a rerun after a lost job neither skips nor repeats a file.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    stream = (
-        reader.load(source).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    stream.awaitTermination()
-    return sum(int(p["numInputRows"]) for p in stream.recentProgress)
+    return sum(_landed(reader.load(source), sink, checkpoint))
 
 
-def publish_stream(points: DataFrame, path: str, checkpoint: str, by: str = "city_slug"):
-    """Replace the partitions that occur in each micro-batch; replays give the same result."""
+def publish_stream(points: DataFrame, path: str, checkpoint: str, by: str = "city_slug") -> int:
+    """Replace the partitions that occur in the rows a run brings. Returns the number of rows published.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        write_points(batch, path, by)
-
-    return points.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    All micro-batches are landed first and the replacement is made from the landed rows, so a partition that is spread
+    over several batches is replaced as a whole. Batches that were landed by a job that stopped before publishing are
+    published by the next run.
+    """
+    spark = points.sparkSession
+    folder, done = f"{checkpoint}/landed", f"{checkpoint}/published"
+    _landed(points, folder, f"{checkpoint}/progress")
+    spark.createDataFrame([(-1,)], "batch int").write.mode("overwrite").parquet(f"{done}/start")
+    published = spark.read.option("recursiveFileLookup", "true").schema("batch int").parquet(done).agg(F.max("batch")).first()[0]
+    landed = spark.read.schema(StructType([*points.schema.fields, StructField("batch", IntegerType())])).parquet(folder).filter(F.col("batch") > published)
+    last = landed.agg(F.max("batch").alias("batch"), F.count(F.lit(1)).alias("n")).first()
+    if last["n"]:
+        write_points(landed.drop("batch"), path, by)
+        spark.createDataFrame([(last["batch"],)], "batch int").write.mode("overwrite").parquet(f"{done}/upto={last['batch']}")
+    return last["n"]
 
 
 def landing_dirs(spark: SparkSession) -> tuple[str, str]:

@@ -172,7 +172,7 @@ def test_gate_raises(spark):
     r = spark.createDataFrame([("a", True), ("b", False)], "k string, passed boolean")
     with pytest.raises(ValueError, match="b"):
         Q.gate(r, "k")
-    assert Q.gate(r.filter("passed"), "k") == ["a"]
+    Q.gate(r.filter("passed"), "k")
     with pytest.raises(ValueError):
         Q.require_empty(r, "rows")
 

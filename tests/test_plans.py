@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from schedlake.operators import stats as S
 from schedlake.operators.skew import first_rows
 
-QUERIES = entry.queries()
+QUERIES = entry.QUERIES
 #: Queries that run Python: NFKC and the order-dependent matcher.
 PYTHON = {"text_normalize", "address_search", "stable_ids"}
 

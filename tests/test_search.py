@@ -58,7 +58,7 @@ def test_search_matrix(spark, points):
 
 def test_limits(spark, points):
     queries = spark.createDataFrame([("大連街",)], "text string")
-    got = S.address_search(queries, points, limit=2, scan=3).orderBy("rank").collect()
+    got = S.address_search(queries, points, limit=2).orderBy("rank").collect()
     assert [(r["rank"], r["ord"]) for r in got] == [(1, 1), (2, 2)]
 
 

@@ -145,8 +145,76 @@ def test_publish_stream_touches_only_its_partitions(spark, tmp_path):
     sinks.write_points(frame([("a", "d", "1", 1), ("b", "d", "2", 1)]), path)
     put(src / "x.json", '{"city_slug": "b", "district_slug": "d", "point_id": "3", "v": 2}\n')
     stream = spark.readStream.schema("city_slug string, district_slug string, point_id string, v int").json(str(src))
-    publish_stream(stream, path, str(tmp_path / "check")).awaitTermination()
+    assert publish_stream(stream, path, str(tmp_path / "check")) == 1
     assert sorted((r.city_slug, r.point_id) for r in spark.read.parquet(path).collect()) == [("a", "1"), ("b", "3")]
+    assert publish_stream(stream, path, str(tmp_path / "check")) == 0
+
+
+def test_publish_stream_keeps_a_city_that_spans_batches(spark, tmp_path):
+    path, src = str(tmp_path / "points"), tmp_path / "in"
+    row = '{"city_slug": "b", "district_slug": "d", "point_id": "%s", "v": 2}\n'
+    put(src / "x.json", row % "1")
+    put(src / "y.json", row % "2")
+    put(src / "z.json", row % "3")
+    schema = "city_slug string, district_slug string, point_id string, v int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
+    assert publish_stream(stream, path, str(tmp_path / "check")) == 3
+    assert sorted(r.point_id for r in spark.read.parquet(path).collect()) == ["1", "2", "3"]
+
+
+def test_landing_counts_more_batches_than_the_progress_list_keeps(spark, tmp_path):
+    src = tmp_path / "in"
+    for i in range(6):
+        put(src / f"{i}.json", '{"k": 1}\n{"k": 2}\n')
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        stream = spark.readStream.schema("k int").option("maxFilesPerTrigger", 1).json(str(src))
+        from schedlake.streaming.landing import _landed
+
+        assert sum(_landed(stream, str(tmp_path / "out"), str(tmp_path / "check"))) == 12
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_envelope_of_several_documents(spark, tmp_path):
+    for i, areas in enumerate((["a", "b"], [], ["c", "d", "e"])):
+        put(tmp_path / f"{i}.json", {"city": "市", "source": "s", "fetched_at": "t", "records": [{"area": a} for a in areas]})
+    rows = readers.envelope(spark, str(tmp_path), readers.WIDE_DAYS).collect()
+    assert sorted((r["ord"], r.area) for r in rows) == list(enumerate("abcde"))
+
+
+def test_lookup_of_a_slug_that_two_cities_share(spark):
+    points = spark.createDataFrame(
+        [("TYN-LUZHU-1", "甲", "蘆竹區", "luzhu"), ("KHH-LUZHU-2", "乙", "路竹區", "luzhu")], "point_id string, point_name string, district string, district_slug string")
+    asked = spark.createDataFrame([(1, "KHH-LUZHU-ZZ"), (2, "TYN-LUZHU-1"), (3, "TXG-LUZHU-9")], "n int, point_id string")
+    got = {r.n: (r.found, r.district_name) for r in R.lookup_points(asked, points).collect()}
+    assert got == {1: (False, "路竹區"), 2: (True, "蘆竹區"), 3: (False, None)}
+
+
+def test_publish_holds_back_rows_and_survives_reading_its_target(spark, tmp_path):
+    path = str(tmp_path / "points")
+    arrays = ["schedule", "recycling_schedule", "foodscraps_schedule"]
+    base = spark.createDataFrame([], "city_slug string, count bigint, updated_at string")
+    rows = tagged(points(spark, [("a", i, 1) for i in range(40)]))
+    nameless = rows.limit(1).withColumn("point_name", F.lit(None).cast("string")).withColumn("point_id", F.lit("X-D-none"))
+    sinks.publish(rows.unionByName(nameless), base, path, "city_slug", arrays, "t1")
+    written = spark.read.parquet(path)
+    assert written.count() == 40 and written.filter("point_name is null").count() == 0
+    assert "weekday_source" not in written.schema["schedule"].simpleString()
+    _, new_base = sinks.publish(tagged(written.withColumn("recycling_schedule", F.coalesce("recycling_schedule", F.expr("array()").cast(ENTRIES))).withColumn(
+        "foodscraps_schedule", F.coalesce("foodscraps_schedule", F.expr("array()").cast(ENTRIES)))), base, path, "city_slug", arrays, "t2")
+    assert [(r.city_slug, r["count"], r.updated_at) for r in new_base.collect()] == [("a", 40, "t2")]
+    assert spark.read.parquet(path).count() == 40
+
+
+def test_newest_version_compares_numbers(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    for version, n in (("9", 1), ("10", 2)):
+        sinks.write_version(spark.range(n), path, version)
+    assert readers.snapshot(spark, path).count() == 2
+    sinks.write_version(spark.range(3), path, "latest")
+    with pytest.raises(Exception, match="not a version"):
+        readers.snapshot(spark, path)
 
 
 def test_reconcile_rules(spark):
