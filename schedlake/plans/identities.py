@@ -41,9 +41,43 @@ def stable_ids_fast(v):
     return I.fresh_ids(identity_rows(v)).select("ord", "point_id", "slot")
 
 
-@query("stable_ids")
+MINUTE_SQL = "CAST(split_part({x}, ':', 1) AS INT) * 60 + CAST(split_part({x}, ':', 2) AS INT)"
+#: Follows the greedy choices of round 2 row by row with a recursive query; the other rounds are ranks.
+STABLE_SQL = f"""
+WITH RECURSIVE k AS (
+  SELECT ord, city_slug || '/' || district_slug || '/' || coalesce(village, '') || '|' || coalesce(point_name, 'None') AS g, coalesce(village, '') || '|' || coalesce(point_name, 'None') AS base_key,
+    upper(substr(city_slug, 1, 3)) || '-' || upper(district_slug) || '-' AS prefix, CASE WHEN ord % 7 < 4 THEN 'PL' || ord % 5 END AS plate, CASE WHEN ord % 3 = 0 THEN 'R' || ord % 2 ELSE '' END AS scope,
+    CASE WHEN ord % 8 <> 0 THEN lpad(CAST(6 + ord * 7 % 17 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ord * 11 % 60 AS VARCHAR), 2, '0') END AS arrive FROM v_points),
+rw AS (SELECT *, {MINUTE_SQL.format(x='arrive')} AS minute FROM k),
+od AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, CAST(row_number() OVER (PARTITION BY g ORDER BY ord) - 1 AS INT) AS slot FROM rw WHERE ord % 6 <> 1),
+sl AS (SELECT g, slot, prefix || upper(substr(sha256(CASE WHEN n = 1 THEN base_key ELSE base_key || '#' || slot END), 1, 10)) AS point_id, CASE WHEN ord % 5 < 2 THEN plate || 'x' ELSE plate END AS plate, scope,
+  CASE WHEN ord % 9 <> 0 THEN minute END AS minute FROM od),
+ns AS (SELECT g, CAST(count(*) AS INT) AS slots FROM sl GROUP BY 1),
+kn AS (SELECT rw.* FROM rw JOIN ns USING (g)),
+p1 AS (SELECT ord, a.g, slot FROM (SELECT *, row_number() OVER (PARTITION BY g, plate ORDER BY ord) AS i FROM kn WHERE plate IS NOT NULL) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY g, plate ORDER BY slot) AS i FROM sl WHERE plate IS NOT NULL) b ON a.g = b.g AND a.plate = b.plate AND a.i = b.i),
+r1 AS (SELECT * FROM kn WHERE ord NOT IN (SELECT ord FROM p1)),
+s1 AS (SELECT * FROM sl WHERE (g, slot) NOT IN (SELECT (g, slot) FROM p1)),
+ra AS (SELECT g, scope, list({{'o': ord, 'm': minute}} ORDER BY ord) AS rs FROM r1 WHERE minute IS NOT NULL GROUP BY 1, 2),
+sa AS (SELECT g, scope, list({{'s': slot, 'm': minute}} ORDER BY slot) AS ss FROM s1 WHERE minute IS NOT NULL GROUP BY 1, 2),
+gr(g, scope, i, rs, ss, ord, slot) AS (
+  SELECT ra.g, ra.scope, 0, rs, ss, CAST(NULL AS BIGINT), CAST(NULL AS INT) FROM ra JOIN sa ON ra.g = sa.g AND ra.scope = sa.scope
+  UNION ALL
+  SELECT g, scope, i + 1, rs, list_filter(ss, lambda x: x.s <> pick.s), rs[i + 1].o, pick.s
+  FROM (SELECT *, list_sort(list_transform(ss, lambda x: {{'d': abs(x.m - rs[i + 1].m), 's': x.s}}))[1] AS pick FROM gr WHERE i < len(rs) AND len(ss) > 0)),
+p2 AS (SELECT ord, g, slot FROM gr WHERE ord IS NOT NULL),
+p3 AS (SELECT a.ord, a.g, b.slot FROM (SELECT *, row_number() OVER (PARTITION BY g, scope ORDER BY ord) AS i FROM r1 WHERE ord NOT IN (SELECT ord FROM p2)) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY g, scope ORDER BY slot) AS i FROM s1 WHERE (g, slot) NOT IN (SELECT (g, slot) FROM p2)) b ON a.g = b.g AND a.scope = b.scope AND a.i = b.i),
+pr AS (SELECT *, 'plate' AS how FROM p1 UNION ALL SELECT *, 'time' FROM p2 UNION ALL SELECT *, 'order' FROM p3),
+mt AS (SELECT kn.*, CAST(slots + row_number() OVER (PARTITION BY kn.g ORDER BY ord) - 1 AS INT) AS slot FROM kn JOIN ns USING (g) WHERE ord NOT IN (SELECT ord FROM pr)),
+fr AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, CAST(row_number() OVER (PARTITION BY g ORDER BY ord) - 1 AS INT) AS slot FROM rw WHERE g NOT IN (SELECT g FROM ns))
+SELECT ord, point_id, pr.slot, how FROM pr JOIN sl ON sl.g = pr.g AND sl.slot = pr.slot
+UNION ALL SELECT ord, prefix || upper(substr(sha256(base_key || '#' || slot), 1, 10)), slot, 'minted' FROM mt
+UNION ALL SELECT ord, prefix || upper(substr(sha256(CASE WHEN n = 1 THEN base_key ELSE base_key || '#' || slot END), 1, 10)), slot, 'fresh' FROM fr"""
+
+
+@query("stable_ids", "v_points", sql=STABLE_SQL)
 def stable_ids(v):
-    """Depends on the order of choices, so it has no SQL check; tests compare it with the sequential rules."""
     return I.assign_ids(identity_rows(v), previous_slots(v))[0].select("ord", "point_id", "slot", "how")
 
 
