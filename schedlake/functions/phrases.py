@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Notice for unknown weekdays, and the query system of cities without their own.
+UNKNOWN_NOTICE = "本站僅取得此清運點的到點時間,未取得{label}星期。完整班表請以{system}為準。"
+GENERAL_SYSTEM = "官方查詢系統"
+
 # Introduction of a point, by shape.
 INTRO = {
     "no_times": ["{where} 位於{area},目前尚無公開時刻資料。"],

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,12 @@ def note(when: Column, text: Column) -> Column:
     return F.when(when, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
+def map_terms(df: DataFrame, column: str, terms: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: the term's other form from the dictionary (term, form), or the term itself."""
+    forms = terms.select(F.col("term").alias("__term"), F.col("form").alias("__form"))
+    return df.join(forms, F.col(column) == F.col("__term"), "left").withColumn(name, F.coalesce("__form", column)).drop("__term", "__form")
+
+
 def map_value(c: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
     """Small fixed dictionary as a CASE chain, so it folds into the scan's projection."""
     out = None

@@ -190,6 +190,12 @@ def point_faq(points: DataFrame, headings: DataFrame, id_col: str = "ord", seed:
     return df.select(id_col, F.posexplode(items).alias("pos", "item")).select(id_col, (F.col("pos") + 1).alias("position"), "item.question", "item.answer")
 
 
+def unknown_weekday_notice(points: DataFrame, systems: DataFrame, label: str = "收運", id_col: str = "ord") -> DataFrame:
+    """Notice for points whose weekdays are unknown: names the city's own query system (city, name), else a general one."""
+    named = points.join(systems.select("city", F.col("name").alias("__system")), "city", "left")
+    return named.select(id_col, P.fill(F.lit(P.UNKNOWN_NOTICE), {"label": F.lit(label), "system": F.coalesce("__system", F.lit(P.GENERAL_SYSTEM))}).alias("notice"))
+
+
 # -- structured documents ----------------------------------------------------------
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schedlake.functions.dates import folk_month, lunar_day_label, weekday_label
+from schedlake.functions.text import map_value
+from schedlake.operators.quality import require_empty
 from schedlake.operators.skew import first_rows
 from schedlake.session import cut_lineage
 
@@ -104,6 +106,20 @@ def festivals(lunar: DataFrame) -> DataFrame:
     return fixed.unionByName(eve).unionByName(terms).withColumn("solar_year", F.year("solar_date"))
 
 
+def missing_terms(lunar: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """(lunar_year, festival) of the term festivals that the daily dimension lacks in the years asked for."""
+    years = lunar.sparkSession.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("lunar_year"))
+    wanted = years.withColumn("festival", F.explode(F.array(*map(F.lit, TERM_FESTIVALS))))
+    have = lunar.filter(F.col("solar_term").isin(TERM_FESTIVALS)).select("lunar_year", F.col("solar_term").alias("festival")).distinct()
+    return wanted.join(have, ["lunar_year", "festival"], "left_anti")
+
+
+def complete_festivals(lunar: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """Festivals of the years asked for; stops when a term festival is missing in one of them."""
+    require_empty(missing_terms(lunar, first_year, last_year), "solar terms missing")
+    return festivals(lunar).filter(F.col("lunar_year").between(first_year, last_year))
+
+
 def to_lunar(dates: DataFrame, d: str, lunar: DataFrame) -> DataFrame:
     """Lunar date of each distinct query date with the number of rows asking."""
     asked = dates.groupBy(d).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -224,24 +240,68 @@ def upcoming(asof: DataFrame, as_of: str, events: DataFrame, d: str, order: str,
     return wanted.join(placed, "__pos").drop("__pos").withColumn("rank", F.col("rank") + 1)
 
 
-def documents(occasions: DataFrame, dates: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """Entity documents: occasions sorted by lunar date, each with its dates in order.
+#: Schemas of the optional tables of ``documents``.
+NOTES = "deity_name string, lunar_month int, lunar_day int, occasion_type string, note string"
+SUBSTITUTIONS = "deity_name string, lunar_month int, lunar_day int, substitution string"
+SOURCES = ["source_1", "source_2", "source_3"]
+
+
+def documents(
+    occasions: DataFrame, dates: DataFrame, ord_col: str = "ord", notes: DataFrame | None = None, substitutions: DataFrame | None = None, hosts: dict[str, str] | None = None
+) -> DataFrame:
+    """Entity documents: occasions sorted by lunar date, each with its sources, note, substitution rule and dates in order.
 
     The first row of an occasion key stands for it, so an entity has at most one element per
-    (month, day, type). An honorific equal to the type says nothing and becomes NULL.
+    (month, day, type). An honorific equal to the type says nothing and becomes NULL. Source columns that the occasions
+    have become (url, name); the name is the host's in ``hosts``, else the host. The source of the substitution rule is
+    shown only where a date was moved from day 30.
     """
+    spark = occasions.sparkSession
     key = ["deity_name", *MD, "occasion_type"]
-    first = occasions.groupBy(*key).agg(F.min_by(F.struct("common_name", "honorific_source"), ord_col).alias("r")).select(*key, "r.*")
+    urls = [c for c in SOURCES if c in occasions.columns]
+    first = occasions.groupBy(*key).agg(F.min_by(F.struct("common_name", "honorific_source", *urls), ord_col).alias("r")).select(*key, "r.*")
     first = first.withColumn("honorific", F.nullif("honorific_source", "occasion_type"))
+    listed = F.filter(F.array(*[F.nullif(u, F.lit("")) for u in urls]).cast("array<string>"), lambda u: u.isNotNull())
+    host = lambda u: F.parse_url(u, F.lit("HOST"))
+    first = first.withColumn("sources", F.transform(listed, lambda u: F.struct(u.alias("url"), map_value(host(u), hosts or {"": ""}, host(u)).alias("name"))))
+    notes = notes if notes is not None else spark.createDataFrame([], NOTES)
+    substitutions = substitutions if substitutions is not None else spark.createDataFrame([], SUBSTITUTIONS)
+    first = first.join(notes, key, "left").join(substitutions, ["deity_name", *MD], "left")
     per_day = dates.groupBy(*MD).agg(
-        F.sort_array(F.collect_set(F.struct("solar_date", "solar_year", "adjusted", "adjust_note"))).alias("dates"),
+        F.sort_array(F.collect_set(F.struct("solar_date", "solar_year", "weekday", "adjusted", "adjust_note"))).alias("dates"),
         F.max_by("lunar_label", F.struct(~F.col("adjusted"), "solar_date")).alias("lunar_label"),
+        F.bool_or("adjusted").alias("moved"),
     )
     joined = first.join(per_day, MD, "left")
-    element = F.struct(*MD, folk_month(F.col("lunar_label")).alias("lunar_label"), "occasion_type", "honorific", "dates")
+    element = F.struct(
+        *MD, folk_month(F.col("lunar_label")).alias("lunar_label"), "occasion_type", "honorific", "sources", "note",
+        F.when(F.col("moved"), F.col("substitution")).alias("thirty_day_substitution"), "dates",
+    )
     return joined.groupBy("deity_name").agg(F.min("common_name").alias("common_name"), F.sort_array(F.collect_list(element)).alias("occasions"))
 
 
+def document_problems(docs: DataFrame, substitutions: DataFrame) -> DataFrame:
+    """(deity_name, lunar_month, lunar_day, problem): occasions without dates or label, a moved date without a source for the rule,
+    and rules for an occasion that does not exist."""
+    each = docs.select("deity_name", F.inline("occasions"))
+    moved = F.exists(F.coalesce("dates", F.array()), lambda d: d["adjusted"])
+    problem = (
+        F.when(F.coalesce(F.size("dates"), F.lit(0)) == 0, "no_dates")
+        .when(F.col("lunar_label").isNull(), "no_label")
+        .when(moved & F.col("thirty_day_substitution").isNull(), "substitution_without_source")
+    )
+    found = each.select("deity_name", *MD, problem.alias("problem")).filter("problem is not null")
+    key = ["deity_name", *MD]
+    stale = substitutions.select(*key).distinct().join(each.select(*key).distinct(), key, "left_anti").withColumn("problem", F.lit("stale_substitution"))
+    return found.unionByName(stale)
+
+
+def complete_documents(docs: DataFrame, substitutions: DataFrame) -> DataFrame:
+    """The documents, or a stop when one has a gap."""
+    require_empty(document_problems(docs, substitutions), "incomplete documents")
+    return docs
+
+
 def flatten_documents(docs: DataFrame) -> DataFrame:
     """Back to one row per entity, occasion and date."""
     return docs.select("deity_name", F.inline("occasions")).select("deity_name", *MD, "lunar_label", "occasion_type", F.inline("dates"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from schedlake.functions import phrases as P
-from schedlake.functions.text import address, path_url
+from schedlake.functions.text import address, map_terms, path_url
 from schedlake.operators import calendar as C
 from schedlake.operators import content as T
 from schedlake.operators import proximity as X
@@ -152,6 +152,21 @@ def faq_docs(v):
     return T.faq_docs(T.district_faq(district_stats(v), stats.DISTRICT), stats.DISTRICT)
 
 
+@query("unknown_notice", "v_points", sql="""
+SELECT ord, '本站僅取得此清運點的到點時間,未取得收運星期。完整班表請以' || CASE WHEN city IN ('ASIA', 'AFRICA') THEN city || ' lookup' ELSE '官方查詢系統' END || '為準。' AS notice FROM v_points""")
+def unknown_notice(v):
+    systems = v.table("region").filter("r_name in ('ASIA', 'AFRICA')").select(F.col("r_name").alias("city"), F.concat("r_name", F.lit(" lookup")).alias("name"))
+    return T.unknown_weekday_notice(v.points(), systems)
+
+
+@query("term_forms", "v_points", sql="""
+SELECT ord, district, CASE WHEN (SELECT n_nationkey FROM nation WHERE n_name = district) % 2 = 0 THEN 'N' || (SELECT n_nationkey FROM nation WHERE n_name = district) ELSE district END AS form FROM v_points""")
+def term_forms(v):
+    """District names in the other form of a dictionary that knows every second one."""
+    terms = v.table("nation").filter("n_nationkey % 2 = 0").selectExpr("n_name AS term", "concat('N', CAST(n_nationkey AS STRING)) AS form")
+    return map_terms(v.points().select("ord", "district"), "district", terms, "form")
+
+
 @query("sitemap_static", "v_calendar v_occasions", sql="WITH " + lw_sql("v_calendar").strip() + "," + block_sql("v_calendar") + """,
 n AS (SELECT *, rn0 - lag(rn1) OVER w - 1 AS gb, lead(rn0) OVER w - rn1 - 1 AS ga FROM b WINDOW w AS (PARTITION BY year ORDER BY start))
 SELECT 'https://example.org/calendar/' || year || '/' AS loc FROM (SELECT DISTINCT year FROM lw) UNION ALL SELECT 'https://example.org/calendar/' || year || '/' || strftime(start, '%m%d') || '/' FROM lw

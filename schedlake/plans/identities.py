@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from schedlake.operators import identity as I
@@ -10,6 +12,8 @@ from schedlake.operators import reconcile as R
 from schedlake.operators.normalize import nest_schedules
 from schedlake.bindings import KINDS
 from schedlake.plans.registry import query
+from schedlake.session import work_dir
+from schedlake.sources import sinks
 
 
 def identity_rows(v):
@@ -189,6 +193,22 @@ def publish_replace(v):
     return P.replace_partitions(current, fresh, "city_slug").groupBy("city_slug", "district_slug").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("version"))
 
 
+@query("publish_written", "v_points v_entries", sql="""
+WITH e AS (SELECT DISTINCT ord FROM v_entries),
+c AS (SELECT p.* FROM v_points p JOIN e USING (ord) WHERE point_name IS NOT NULL),
+t AS (SELECT city_slug, district_slug, 1 AS v FROM c WHERE city_slug NOT IN ('asia', 'europe') UNION ALL SELECT city_slug, district_slug, 2 FROM c WHERE city_slug IN ('asia', 'europe') AND ord % 5 <> 0)
+SELECT city_slug, district_slug, count(*) AS n, max(v) AS version FROM t GROUP BY 1, 2""")
+def publish_written(v):
+    """Writes all publishable points, replaces two cities by a second version, and reads the table back."""
+    path = f"{work_dir(v.spark)}/publish-{uuid.uuid4().hex}"
+    arrays = ["schedule", "recycling_schedule", "foodscraps_schedule"]
+    first = v.points_nested().withColumn("v", F.lit(1))
+    sinks.write_points(sinks.publishable(first, arrays), path)
+    second = first.filter("city_slug in ('asia', 'europe') and ord % 5 <> 0").withColumn("v", F.lit(2))
+    sinks.write_points(sinks.publishable(second, arrays), path)
+    return v.spark.read.parquet(path).groupBy("city_slug", "district_slug").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("version"))
+
+
 @query("sitemap_rows", "v_points", sql="""
 WITH p AS (SELECT *, split_part(point_id, '-', 3) AS rest, CASE WHEN length(fetched_at) = 10 THEN fetched_at || 'T00:00:00' ELSE strftime(CAST(fetched_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS seen FROM v_points)
 SELECT 'city' AS level, 'https://example.org/trash/' || city_slug || '/' AS loc, arg_max(fetched_at, seen || fetched_at) AS lastmod FROM p GROUP BY city_slug

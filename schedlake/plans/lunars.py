@@ -165,6 +165,40 @@ def nested_documents(v):
     return text_dates(out, "first_date", "last_date")
 
 
+@query("document_rows", "v_occasions v_lunar", sql=DATES_CTE + """,
+k AS (SELECT deity_name, lunar_month, lunar_day, occasion_type, nullif(arg_min(honorific_source, ord), occasion_type) AS honorific FROM v_occasions GROUP BY 1, 2, 3, 4)
+SELECT k.deity_name, k.lunar_month, k.lunar_day, k.occasion_type, honorific, 'https://example.org/' || lower(replace(k.deity_name, '#', '-')) AS url, 'Example' AS source_name,
+  CASE WHEN k.lunar_day = 15 THEN 'full moon' END AS note,
+  CASE WHEN k.lunar_day = 30 AND k.lunar_month % 2 = 0 AND (SELECT bool_or(adjusted) FROM dt d WHERE d.lunar_month = k.lunar_month AND d.lunar_day = k.lunar_day) THEN 'rule ' || k.lunar_month END AS substitution,
+  CAST(solar_date AS VARCHAR) AS solar_date, solar_year, '星期' || ['一', '二', '三', '四', '五', '六', '日'][isodow(solar_date)] AS weekday, adjusted,
+  CASE WHEN adjusted THEN solar_year || ' 年農曆' || k.lunar_month || '月僅 29 日,以' || k.lunar_month || '月廿九為準' ELSE '' END AS adjust_note
+FROM k JOIN dt USING (lunar_month, lunar_day)""")
+def document_rows(v):
+    """The whole documents, sources, notes, rules and dates included, as one row per date."""
+    occasions = v.occasions().withColumn("source_1", F.concat(F.lit("https://example.org/"), F.lower(F.replace("deity_name", F.lit("#"), F.lit("-")))))
+    key = occasions.select("deity_name", "lunar_month", "lunar_day", "occasion_type").distinct()
+    notes = key.filter("lunar_day = 15").withColumn("note", F.lit("full moon"))
+    rules = key.filter("lunar_day = 30 AND lunar_month % 2 = 0").select("deity_name", "lunar_month", "lunar_day").distinct().withColumn("substitution", F.concat(F.lit("rule "), "lunar_month"))
+    docs = L.documents(occasions, dates(v), notes=notes, substitutions=rules, hosts={"example.org": "Example"})
+    each = docs.select("deity_name", F.inline("occasions")).select(
+        "deity_name", "lunar_month", "lunar_day", "occasion_type", "honorific", F.col("sources")[0]["url"].alias("url"), F.col("sources")[0]["name"].alias("source_name"),
+        "note", F.col("thirty_day_substitution").alias("substitution"), F.inline("dates"),
+    )
+    return text_dates(each, "solar_date")
+
+
+@query("document_problems", "v_occasions v_lunar", sql=DATES_CTE + """,
+k AS (SELECT DISTINCT deity_name, lunar_month, lunar_day, occasion_type FROM v_occasions),
+d AS (SELECT lunar_month, lunar_day, bool_or(adjusted) AS moved FROM dt GROUP BY 1, 2)
+SELECT deity_name, k.lunar_month, k.lunar_day, CASE WHEN d.moved IS NULL THEN 'no_dates' ELSE 'substitution_without_source' END AS problem
+FROM k LEFT JOIN d ON d.lunar_month = k.lunar_month AND d.lunar_day = k.lunar_day WHERE d.moved IS NULL OR (d.moved AND k.lunar_month % 2 = 1)
+UNION ALL SELECT 'nobody', 1, 30, 'stale_substitution'""")
+def document_problems(v):
+    key = v.occasions().filter("lunar_day = 30 AND lunar_month % 2 = 0").select("deity_name", "lunar_month", "lunar_day").distinct()
+    rules = key.unionByName(v.spark.createDataFrame([("nobody", 1, 30)], "deity_name string, lunar_month int, lunar_day int")).withColumn("substitution", F.lit("rule"))
+    return L.document_problems(L.documents(v.occasions(), dates(v), substitutions=rules), rules)
+
+
 @query("label_rewrite", "v_lunar v_asof", sql="""
 WITH a AS (SELECT as_of, count(*) AS n FROM v_asof GROUP BY 1), l AS (SELECT lunar_month_label || lunar_day_label AS label, solar_term AS term, n FROM v_lunar JOIN a ON as_of = solar_date)
 SELECT label, CASE WHEN label LIKE '十二月%' THEN '臘月' || substr(label, 4) WHEN label LIKE '一月%' THEN '正月' || substr(label, 3) ELSE label END AS folk, term, sum(n)::BIGINT AS n FROM l GROUP BY ALL""")

@@ -111,3 +111,35 @@ def test_documents(spark, lunar):
     o = docs.first().occasions
     assert [(x.lunar_month, x.lunar_label, x.honorific, len(x.dates)) for x in o] == [(1, "正月初九", "誕降", 2), (7, "七月三十", None, 2)]
     assert L.flatten_documents(docs).count() == 4
+
+
+def test_documents_with_sources_and_rules(spark, lunar):
+    occ = spark.createDataFrame(
+        [(1, "x", "X", 7, 30, "聖誕", "聖誕", "https://a.org/1", None, "https://b.org/2"), (2, "y", "Y", 1, 9, "萬壽", "誕降", "", None, None)],
+        "ord bigint, deity_name string, common_name string, lunar_month int, lunar_day int, occasion_type string, honorific_source string, source_1 string, source_2 string, source_3 string",
+    )
+    dates = L.occasion_dates(occ, lunar, F.lit(2025), F.lit(2026)).withColumn("adjusted", F.col("lunar_day") == 30)
+    rules = spark.createDataFrame([("x", 7, 30, "rule")], L.SUBSTITUTIONS)
+    notes = spark.createDataFrame([("y", 1, 9, "萬壽", "remark")], L.NOTES)
+    docs = L.documents(occ, dates, notes=notes, substitutions=rules, hosts={"a.org": "A"})
+    got = {r.deity_name: r.occasions[0] for r in docs.collect()}
+    assert [tuple(s) for s in got["x"].sources] == [("https://a.org/1", "A"), ("https://b.org/2", "b.org")]
+    assert got["x"].thirty_day_substitution == "rule" and got["x"].note is None
+    assert got["y"].sources == [] and got["y"].note == "remark" and got["y"].thirty_day_substitution is None
+    assert L.complete_documents(docs, rules).count() == 2
+    bare = L.documents(occ, dates)
+    with pytest.raises(ValueError, match="substitution_without_source"):
+        L.complete_documents(bare, rules)
+    gone = L.documents(occ, dates.filter("lunar_day = 30"), substitutions=rules)
+    stale = spark.createDataFrame([("x", 7, 30, "rule"), ("z", 1, 30, "rule")], L.SUBSTITUTIONS)
+    assert {(r.deity_name, r.problem) for r in L.document_problems(gone, stale).collect()} == {("y", "no_dates"), ("z", "stale_substitution")}
+
+
+def test_missing_term_stops_the_festivals(spark, lunar):
+    years = [r.lunar_year for r in lunar.filter(F.col("solar_term") == "冬至").select("lunar_year").distinct().collect()]
+    have = lunar.filter(F.col("solar_term") == "清明").select("lunar_year").distinct().collect()
+    whole = sorted(set(years) & {r.lunar_year for r in have})
+    if whole:
+        assert L.complete_festivals(lunar, whole[0], whole[0]).count() > 0
+    with pytest.raises(ValueError, match="solar terms missing"):
+        L.complete_festivals(lunar.withColumn("solar_term", F.lit("")), 2025, 2025)

@@ -129,6 +129,27 @@ def test_text_sinks(spark, tmp_path):
     assert "<loc>https://x/?a=1&amp;b=2</loc><lastmod>2026-01-01</lastmod>" in text and "<url><loc>https://y</loc></url>" in text
 
 
+def test_remaining_writers(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "d", "1", "N1"), ("b", "d", "2", "N2")], "city_slug string, district_slug string, old_slug string, new_point_id string")
+    sinks.write_redirects(rows, str(tmp_path / "r"))
+    sinks.write_redirects(rows.filter("city_slug = 'a'").withColumn("new_point_id", F.lit("N9")), str(tmp_path / "r"))
+    assert {(r.city_slug, r.new_point_id) for r in spark.read.parquet(str(tmp_path / "r")).collect()} == {("a", "N9"), ("b", "N2")}
+    sinks.write_documents(spark.createDataFrame([("x", [1, 2])], "name string, days array<int>"), str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d")).first().days == [1, 2]
+    sinks.write_index(rows, rows.select("city_slug").distinct(), rows.select("district_slug").distinct(), str(tmp_path / "i"))
+    assert [spark.read.json(str(tmp_path / "i" / n)).count() for n in ("points", "cities", "districts")] == [2, 2, 1]
+    for _ in range(2):
+        sinks.write_report(spark.createDataFrame([("a", True)], "city_slug string, passed boolean"), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    report = spark.createDataFrame([("a", True), ("b", False)], "city_slug string, passed boolean")
+    fresh = tagged(points(spark, [("a", 1, 2), ("b", 2, 2)]))
+    arrays = ["schedule", "recycling_schedule", "foodscraps_schedule"]
+    sinks.publish_passing(fresh, report, str(tmp_path / "q"), "city_slug", arrays)
+    assert [r.city_slug for r in spark.read.parquet(str(tmp_path / "q")).collect()] == ["a"]
+    p = put(tmp_path / "seg.json", '{"start": "2025-07-25", "year_name": "乙巳", "month": "六", "leap": 1, "first_day": 1, "days": 29}\n')
+    assert readers.lunar_segments(spark, p).first().month_label == "閏六"
+
+
 def test_landing_reads_each_file_once(spark, tmp_path):
     src, sink, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
     put(src / "a.json", '{"k": 1}\n{"k": 2}\n')
