@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from schedlake.bindings import Views
 from schedlake.oracle_views import with_views
+from schedlake.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -18,6 +19,7 @@ def query(name: str, views: str = "", sql: str | None = None):
 
     def wrap(fn: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return fn(Views(spark, sf_dir))
 
         run.__name__, run.__doc__ = name, fn.__doc__

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,20 @@ def build_session(app: str = "schedlake", master: str | None = None, shuffle_par
         settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(CLUSTER_PARTITIONS)
     for key, value in {**settings, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per Spark context, from wherever the driver runs it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_schedlake_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='schedlake-zip-')}/schedlake", "zip", root_dir=root.parent, base_dir=root.name)
+    sc.addPyFile(archive)  # Spark's own file server hands it to the executors
+    sc._schedlake_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
