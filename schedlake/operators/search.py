@@ -2,7 +2,7 @@
 
 City and district names are found in a query by equality on its substrings of token length,
 not by testing every name against every query. The remaining words meet the points through
-an index of one- and two-character grams; each needle looks up its rarest gram only and is
+an index of one- to three-character grams; each needle looks up its rarest gram only and is
 then verified on the whole text.
 """
 
@@ -132,9 +132,8 @@ def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, ord_c
     dist_text = districts.select("district_idx", "city_idx", search_text(F.col("district")).alias("d_text"))
     texts = indexed.select("district_idx", search_text(F.concat("name", F.coalesce("village", F.lit("")))).alias("hay"), F.col(ord_col).alias("id"))
     texts = first_rows(texts, ["district_idx", "hay"], ["id"], limit).groupBy("district_idx", "hay").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    # one row per distinct text: written once, read by the gram count and both matching branches
-    texts = cut_lineage(texts.join(dist_text.select("district_idx", "d_text"), "district_idx").withColumn("full_hay", F.concat("hay", "d_text")).drop("d_text"))
-    gram_rows = texts.withColumn("gram", F.explode(F.concat(_grams(F.col("full_hay"), 1), _grams(F.col("full_hay"), 2))))
+    # one row per distinct text
+    texts = texts.join(dist_text.select("district_idx", "d_text"), "district_idx").withColumn("full_hay", F.concat("hay", "d_text")).drop("d_text")
 
     filtered = (F.size("cities") > 0) | (F.size("districts") > 0)
     cleaned = F.regexp_replace("rest", STRAY_EDGE, "")
@@ -147,8 +146,14 @@ def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, ord_c
     )
     needles = parsed.select("q", "cities", "districts", F.inline(stages))
     words = needles.filter("needle <> ''").select("needle").distinct()
-    own = words.withColumn("gram", F.explode(F.when(F.length("needle") == 1, F.array("needle")).otherwise(_grams(F.col("needle"), 2))))
-    frequency = gram_rows.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a needle is looked up by its rarest run of three characters (of all its characters where it is shorter)
+    n = F.length("needle")
+    runs = F.when(n == 1, _grams(F.col("needle"), 1)).when(n == 2, _grams(F.col("needle"), 2)).otherwise(_grams(F.col("needle"), 3))
+    own = cut_lineage(words.withColumn("gram", F.explode(runs)))
+    # only grams that some needle has; written once, read by the frequencies and by both matching steps
+    every = texts.withColumn("gram", F.explode(F.concat(*[_grams(F.col("full_hay"), size) for size in (1, 2, 3)])))
+    gram_rows = cut_lineage(every.join(own.select("gram").distinct(), "gram", "left_semi"))
+    frequency = gram_rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = own.join(frequency, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     keyed = cut_lineage(needles.join(rarest, "needle", "left"))
 
@@ -159,15 +164,16 @@ def address_search(queries: DataFrame, points: DataFrame, limit: int = 20, ord_c
     scoped = in_districts.unionByName(in_cities.drop("city_idx"))
     hay = F.when(only_cities, F.col("full_hay")).otherwise(F.col("hay"))
     answer = ["q", "stage", (F.instr("searched", F.col("needle")) - 1).alias("score"), "ids"]
-    placed = scoped.filter("needle <> ''").join(gram_rows, ["district_idx", "gram"]).withColumn("searched", hay)
-    open_hits = keyed.filter("stage = 3").join(gram_rows.drop("district_idx"), "gram").withColumn("searched", F.col("full_hay"))
-    found = placed.select(*answer).unionByName(open_hits.select(*answer)).filter("score >= 0")
-    hits = found.select("q", "stage", "score", F.explode("ids").alias("id"))
+    placed = scoped.filter("needle <> ''").join(gram_rows, ["district_idx", "gram"]).withColumn("searched", hay).select(*answer).filter("score >= 0")
     # nothing left to look for: the first points of the scope
     heads = first_rows(indexed.select("district_idx", F.col(ord_col).alias("id")), ["district_idx"], ["id"], limit).drop("rank")
-    plain = scoped.filter("needle = ''").join(heads, "district_idx").select("q", "stage", F.lit(0).alias("score"), "id")
+    plain = scoped.filter("needle = ''").join(heads, "district_idx").select("q", "stage", F.lit(0).alias("score"), F.array("id").alias("ids"))
+    found = cut_lineage(placed.unionByName(plain))
+    still_open = keyed.filter("stage = 3").join(found.select("q").distinct(), "q", "left_anti")
+    open_hits = still_open.join(gram_rows.drop("district_idx"), "gram").withColumn("searched", F.col("full_hay")).select(*answer).filter("score >= 0")
+    hits = found.unionByName(open_hits).select("q", "stage", "score", F.explode("ids").alias("id"))
 
-    best = first_rows(hits.unionByName(plain), ["q"], ["stage", "score", "id"], limit)
+    best = first_rows(hits, ["q"], ["stage", "score", "id"], limit)
     # the first stage of a query answers; worse stages can only stand behind it
     best = best.withColumn("first_stage", F.min("stage").over(Window.partitionBy("q"))).filter("stage = first_stage").drop("first_stage").join(parsed.select("q", (F.size("cities") > 0).alias("city_named")), "q")
     return best.select("q", "rank", F.col("id").alias(ord_col), "score", "stage", (F.col("city_named") & (F.col("stage") < 3)).alias("city_named"))
