@@ -27,12 +27,17 @@ def _split(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, pos, masked, n, lead): lines that are not blank, with fields masked and blanks evened out."""
-    each = docs.select("key", "doc_id", F.posexplode(_split(F.col("text"))).alias("pos", "line"))
-    even = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
-    masked = each.withColumn("masked", F.regexp_replace(even, "[^ ]*[0-9][^ ]*", FIELD)).filter("masked <> ''")
-    n = F.length("masked") - F.length(F.regexp_replace("masked", " ", "")) + 1
-    return masked.select("key", "doc_id", "pos", "masked", n.cast("int").alias("n"), F.substring_index("masked", " ", DEPTH).alias("lead"))
+    """(key, doc_id, pos, masked, n, lead): lines that are not blank, with fields masked and blanks evened out.
+
+    Both replacements run once over the whole text, below the generator; the first touches only blanks that are not
+    single already, the second looks at the beginnings of tokens only.
+    """
+    even = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    masked = F.regexp_replace(even, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", FIELD)
+    each = docs.select("key", "doc_id", F.posexplode(_split(masked)).alias("pos", "line"))
+    kept = each.select("key", "doc_id", "pos", F.trim("line").alias("masked")).filter("masked <> ''")
+    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
+    return kept.select("key", "doc_id", "pos", "masked", n.cast("int").alias("n"), F.substring_index("masked", " ", DEPTH).alias("lead"))
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -50,7 +55,8 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, pos): lines to drop."""
     leaf = F.xxhash64("n", "lead")
     light = lines(docs).select(leaf.alias("leaf"), "doc_id").distinct()
-    shared = light.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
+    # settled, so that the join below is between plain exchanges and AQE can split a leaf that very many lines share
+    shared = settle(light.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"))
     found = settle(lines(docs).withColumn("leaf", leaf).join(shared, "leaf", "left_semi").drop("leaf"))
     pattern = templates(found)
     kinds = found.groupBy("n", "lead", "masked").agg(F.lit(1).alias("one")).join(pattern, ["n", "lead"], "left")
@@ -59,6 +65,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     named = settle(kinds.select("n", "lead", "masked", F.when(agree >= F.col("n") * SIMILAR, F.concat(F.lit("T "), text)).otherwise(F.concat(F.lit("L "), "masked")).alias("template")))
     placed = found.join(named, ["n", "lead", "masked"]).select("key", "doc_id", "pos", "n", "lead", "template")
     often = placed.select("n", "lead", "template", "doc_id").distinct().groupBy("n", "lead", "template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    often = settle(often)
     return placed.join(often, ["n", "lead", "template"], "left_semi").select("key", "pos")
 
 
