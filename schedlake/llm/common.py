@@ -116,9 +116,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def spread_rank(df: DataFrame, keys: list[str], unique: str, name: str, bucket_rows: int = 1000) -> DataFrame:
     """Add a gapless 0-based rank per ``keys`` in an order that a hash of ``unique`` gives. Rows of a key are ranked in
-    hash buckets of about ``bucket_rows``; running sums over the buckets give each bucket's first rank."""
-    total = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("__buckets"))
-    placed = df.join(total, keys).withColumn("__bucket", F.pmod(F.xxhash64(unique, F.lit(77)), F.col("__buckets"))).drop("__buckets")
+    hash buckets, as many as the table has ``bucket_rows``; running sums over the buckets give each bucket's first rank.
+
+    The number of buckets is one for all keys: nothing deals the rows by key alone, which would put a frequent key into
+    one task and keep it there through the ranking. ``df`` is counted, so it should be a settled table.
+    """
+    buckets = max(1, -(-df.count() // bucket_rows))
+    placed = df.withColumn("__bucket", F.pmod(F.xxhash64(unique, F.lit(77)), F.lit(buckets)))
     earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = placed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(unique)) - 1

@@ -78,7 +78,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, hubs=equal_texts) -> DataFram
     total = rows.count()
     capacity = {k: total // shards + (k < total % shards) for k in range(shards)}
     state = propagate(settle(hubs(rows)), capacity)
-    placed = rows.drop("digest").join(state, "key", "left").withColumn("wish", F.coalesce("shard", F.lit(-1))).drop("shard")
+    placed = settle(rows.drop("digest").join(state, "key", "left").withColumn("wish", F.coalesce("shard", F.lit(-1))).drop("shard"))
     ranked = settle(spread_rank(placed, ["wish"], "key", "rank"))
     target = F.element_at(F.array(*[F.lit(n) for n in capacity.values()]), F.greatest(F.col("wish"), F.lit(0)) + 1)
     marked = ranked.withColumn("stays", (F.col("wish") >= 0) & (F.col("rank") < target))
@@ -88,7 +88,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, hubs=equal_texts) -> DataFram
         bounds.append((begin, kept.get(k, 0)))
         begin += n - kept.get(k, 0)
     stay = marked.filter("stays").select("doc_id", "size", "text_crc32", F.col("wish").alias("shard"), F.col("rank").alias("slot"))
-    pool = spread_rank(marked.filter("NOT stays").drop("rank").withColumn("one", F.lit(0)), ["one"], "key", "rank")
+    pool = spread_rank(settle(marked.filter("NOT stays").drop("rank").withColumn("one", F.lit(0))), ["one"], "key", "rank")
     firsts = F.array(*[F.lit(b) for b, _ in bounds])
     shard = F.size(F.filter(firsts, lambda b: b <= F.col("rank")))
     begin_of, stays_of = F.element_at(firsts, F.col("shard")), F.element_at(F.array(*[F.lit(n) for _, n in bounds]), F.col("shard"))
