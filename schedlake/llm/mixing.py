@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from schedlake.llm.common import WORD, documents, free_name, settle
@@ -55,47 +55,45 @@ def targets(by_source: DataFrame, weights: list[float], share: float, most: floa
     return leveled.withColumn("target", F.least(F.col("source_size") * F.lit(float(most)), F.col("weight") * F.col("level"))).drop("level")
 
 
-def _ln_factorial(n: Column) -> Column:
-    """Logarithm of n!: the exact factorial up to 20, Stirling's series beyond."""
-    x = F.greatest(n, F.lit(1)).cast("double")
-    series = x * F.ln(x) - x + F.ln(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(n <= 20, F.ln(F.factorial(F.least(F.greatest(n, F.lit(0)), F.lit(20)).cast("int")))).otherwise(series)
+def _ln_factorial(n: str) -> str:
+    """SQL for the logarithm of n!: the exact factorial up to 20, Stirling's series beyond."""
+    x = f"double(greatest({n}, 1))"
+    return (
+        f"if({n} <= 20, ln(factorial(int(least(greatest({n}, 0), 20)))),"
+        f" {x} * ln({x}) - {x} + ln({x} * {2 * math.pi!r}D) / 2 + 1 / (12 * {x}) - 1 / (360 * {x} * {x} * {x}))"
+    )
 
 
-def hypergeometric(total: Column, of_kind: Column, drawn: Column, u: Column) -> Column:
-    """How many of ``drawn`` blocks, taken out of ``total`` without replacement, are among ``of_kind``.
+def hypergeometric(total: str, of_kind: str, drawn: str, u: str) -> str:
+    """SQL for how many of ``drawn`` blocks, taken out of ``total`` without replacement, are among ``of_kind``.
 
     Inverts the distribution for a uniform ``u``, walking outwards from the most likely count; the walk covers more than
-    twelve standard deviations on both sides.
+    twelve standard deviations on both sides. The arguments are SQL expressions without side effects.
     """
-    low = F.greatest(F.lit(0), drawn + of_kind - total).cast("long")
-    high = F.least(drawn, of_kind).cast("long")
-    likely = F.floor((drawn.cast("double") + 1) * (of_kind + 1) / (total + 2)).cast("long")
-    mode = F.least(F.greatest(likely, low), high)
-    rest = total - of_kind - drawn
-
-    def choose(n: Column, k: Column) -> Column:
-        return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
-
-    at_mode = F.exp(choose(of_kind, mode) + choose(total - of_kind, drawn - mode) - choose(total, drawn))
-    share = of_kind.cast("double") / F.greatest(total, F.lit(1))
-    steps = F.least(high - low, F.ceil(12 * F.sqrt(drawn * share * (1 - share)) + 12)).cast("int")
-    start = F.struct(
-        (u - at_mode).alias("u"), mode.alias("up"), mode.alias("down"), at_mode.alias("p_up"), at_mode.alias("p_down"),
-        F.when(u < at_mode, mode).alias("x"),
-    )
-
-    def step(s: Column, _: Column) -> Column:
-        up, down = s["up"], s["down"]
-        p_up = F.when(up < high, s["p_up"] * (of_kind - up) * (drawn - up) / ((up + 1) * (rest + up + 1).cast("double"))).otherwise(F.lit(0.0))
-        p_down = F.when(down > low, s["p_down"] * down * (rest + down) / ((of_kind - down + 1) * (drawn - down + 1).cast("double"))).otherwise(F.lit(0.0))
-        found = F.when(s["u"] < p_up, up + 1).when(s["u"] < p_up + p_down, down - 1)
-        return F.struct(
-            (s["u"] - p_up - p_down).alias("u"), F.least(up + 1, high).alias("up"), F.greatest(down - 1, low).alias("down"),
-            p_up.alias("p_up"), p_down.alias("p_down"), F.coalesce(s["x"], found).alias("x"),
-        )
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, step, lambda s: F.coalesce(s["x"], mode))
+    def choose(n: str, k: str) -> str:
+        return f"({_ln_factorial(n)} - {_ln_factorial(k)} - {_ln_factorial(f'({n} - {k})')})"
+
+    # the numbers of this draw, as fields of p; each step reads them from its own state
+    low, high = f"bigint(greatest(0, {drawn} + {of_kind} - {total}))", f"bigint(least({drawn}, {of_kind}))"
+    mode = f"least(greatest(bigint(floor((double({drawn}) + 1) * ({of_kind} + 1) / ({total} + 2))), {low}), {high})"
+    share = f"(double({of_kind}) / greatest({total}, 1))"
+    spread = f"bigint(ceil(12 * sqrt(double({drawn}) * {share} * (1 - {share})) + 12))"
+    p_mode = f"exp({choose('p.k', 'p.m')} + {choose('(p.t - p.k)', '(p.n - p.m)')} - {choose('p.t', 'p.n')})"
+    numbers = f"named_struct('t', bigint({total}), 'k', bigint({of_kind}), 'n', bigint({drawn}), 'u', double({u}), 'lo', {low}, 'hi', {high}, 'm', {mode})"
+    start = (
+        f"transform(array({numbers}), p -> named_struct('t', p.t, 'k', p.k, 'n', p.n, 'lo', p.lo, 'hi', p.hi, 'm', p.m, 'up', p.m, 'down', p.m,"
+        f" 'p_up', {p_mode}, 'p_down', {p_mode}, 'u', p.u - {p_mode}, 'x', if(p.u < {p_mode}, p.m, bigint(null))))[0]"
+    )
+    p_up = "if(s.up < s.hi, s.p_up * (s.k - s.up) * (s.n - s.up) / ((s.up + 1) * double(s.t - s.k - s.n + s.up + 1)), 0D)"
+    p_down = "if(s.down > s.lo, s.p_down * s.down * (s.t - s.k - s.n + s.down) / ((s.k - s.down + 1) * double(s.n - s.down + 1)), 0D)"
+    step = (
+        "named_struct('t', s.t, 'k', s.k, 'n', s.n, 'lo', s.lo, 'hi', s.hi, 'm', s.m, 'up', least(s.up + 1, s.hi), 'down', greatest(s.down - 1, s.lo),"
+        f" 'p_up', {p_up}, 'p_down', {p_down}, 'u', s.u - {p_up} - {p_down},"
+        f" 'x', coalesce(s.x, if(s.u < {p_up}, s.up + 1, if(s.u < {p_up} + {p_down}, s.down - 1, bigint(null)))))"
+    )
+    steps = f"sequence(1, int(greatest(1, least({high} - {low}, {spread}))))"
+    return f"aggregate({steps}, {start}, (s, i) -> {step}, s -> coalesce(s.x, s.m))"
 
 
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -107,19 +105,14 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         F.lit(0).alias("node"), F.transform("q", lambda x: x["source"]).alias("sources"), F.transform("q", lambda x: x["blocks"]).alias("blocks"),
     )
     for level in range(shards.bit_length() - 1):
-        total = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x)
-        odd = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node")), F.lit(2))
-        start = F.struct(
-            total.alias("left"), F.floor((total + odd) / 2).cast("long").alias("draw"), F.array().cast("array<bigint>").alias("taken"),
-        )
-
-        def source(s: Column, x: Column) -> Column:
-            hashed = F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), F.size(s["taken"]))
-            u = F.pmod(F.shiftrightunsigned(hashed, 11), F.lit(1 << 53)).cast("double") / float(1 << 53)
-            k = hypergeometric(s["left"], x, s["draw"], u)
-            return F.struct((s["left"] - x).alias("left"), (s["draw"] - k).alias("draw"), F.concat(s["taken"], F.array(k)).alias("taken"))
-
-        split = nodes.withColumn("half", F.aggregate("blocks", start, source, lambda s: s["taken"]))
+        total = "aggregate(blocks, 0L, (a, x) -> a + x)"
+        odd = f"pmod(xxhash64({seed}, {level}, node), 2)"
+        drawn = hypergeometric("d.left", "x", "d.draw", f"pmod(shiftrightunsigned(xxhash64({seed}, {level}, node, size(d.taken)), 11), {1 << 53}L) / {float(1 << 53)}D")
+        half = f"""aggregate(blocks,
+          named_struct('left', {total}, 'draw', bigint(floor(({total} + {odd}) / 2)), 'taken', cast(array() as array<bigint>)),
+          (d, x) -> transform(array({drawn}), c -> named_struct('left', d.left - x, 'draw', d.draw - c, 'taken', concat(d.taken, array(c))))[0],
+          d -> d.taken)"""
+        split = nodes.withColumn("half", F.expr(half))
         # written out between levels: each level's expression refers to the one before many times
         nodes = settle(split.select(
             F.explode(F.array(
@@ -136,12 +129,10 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 def positions(sized: DataFrame, seed: int) -> DataFrame:
     """Add ``begin``: words of the source before the document in the permuted order."""
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = sized.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BUCKET_ROWS)).alias("buckets"))
+    # as many buckets for every source as the table has BUCKET_ROWS: nothing deals the rows by source alone
+    buckets = max(1, -(-sized.count() // BUCKET_ROWS))
     share = F.conv(F.substring("mark", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    placed = (
-        sized.withColumn("mark", mark).join(rows.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("bucket", F.floor(share * F.col("buckets")).cast("long")).drop("__source", "buckets")
-    )
+    placed = sized.withColumn("mark", mark).withColumn("bucket", F.floor(share * buckets).cast("long"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
