@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from schedlake.llm.bpe import op10_byte_bpe
-from schedlake.llm.embedding_dedup import op6_embedding_dedup
+from schedlake.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from schedlake.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from schedlake.llm.language_id import op9_language_id
 from schedlake.llm.line_dedup import OP7_SQL, op7_line_dedup
@@ -11,7 +11,7 @@ from schedlake.llm.mixing import OP1_SQL, op1_mixing
 from schedlake.llm.quality import op5_quality_classifier
 from schedlake.llm.sharding import op4_sharding
 from schedlake.llm.simhash_dedup import op8_simhash_dedup
-from schedlake.llm.substring_dedup import op2_substring_dedup
+from schedlake.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
     f.__name__: f
@@ -22,4 +22,6 @@ QUERIES = {
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-CHECKS: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op7_line_dedup": OP7_SQL}
+CHECKS: dict[str, str] = {
+    "op1_mixing": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL,
+}
