@@ -124,13 +124,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(text):
             continue
         snippet = words.substring_hashes(start, start + n + WINDOW - 1) ^ _mix((place - start).astype(np.uint64))
-        ids = part.column("doc_id").take(pa.array(text))
+        # a snippet that a document repeats is one row; places that follow each other without a gap are one range
+        order = np.lexsort((start, snippet, text))
+        text, run, snippet, start, n = (x[order] for x in (text, run, snippet, start, n))
+        first = start - words.first[text]
+        row = np.concatenate([[True], (text[1:] != text[:-1]) | (snippet[1:] != snippet[:-1])])
+        piece = np.flatnonzero(row | np.concatenate([[True], first[1:] != first[:-1] + n[:-1]]))
+        ends = np.append(piece[1:], len(first)) - 1
+        ranges = pa.StructArray.from_arrays([pa.array(first[piece].astype(np.int32)), pa.array((first[ends] + n[ends]).astype(np.int32))], ["first", "last"])
+        rows = np.flatnonzero(row)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(piece, rows), len(piece)).astype(np.int32)), ranges)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(run), pa.array(snippet.view(np.int64)), pa.array((start - words.first[text]) << 8 | n)], ["doc_id", "run", "snippet", "place"])
+            [part.column("doc_id").take(pa.array(text[rows])), pa.array(run[rows]), pa.array(snippet[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)), lists],
+            ["doc_id", "run", "snippet", "n", "ranges"])
 
 
 def _snippets(wide: DataFrame) -> DataFrame:
-    """Words of the asked snippets: from (doc_id, text, asked array<struct<run, snippet, place, crowded>>).
+    """Words of the asked snippets: from (doc_id, text, asked array<struct<run, snippet, first, n, crowded>>).
 
     A crowded run sends one row per suffix with the hash of its whole window, any other a single row with its words.
     """
@@ -143,7 +153,7 @@ def _snippets(wide: DataFrame) -> DataFrame:
             for i, (doc, asked) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("asked").to_pylist())):
                 base = int(words.first[i])
                 for a in asked:
-                    start, n = base + (a["place"] >> 8), a["place"] & 255
+                    start, n = base + a["first"], a["n"]
                     if a["crowded"]:
                         crowded.append((a["run"], a["snippet"], doc, start, n))
                     else:
@@ -214,12 +224,14 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last): ranges of suffixes of each document whose window also starts in a smaller document."""
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    found = settle(numbered.mapInArrow(_runs, "doc_id bigint, run bigint, snippet bigint, place bigint"))
-    shared = found.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("run")
+    found = settle(numbered.mapInArrow(_runs, "doc_id bigint, run bigint, snippet bigint, n int, ranges array<struct<first: int, last: int>>"))
+    # counted tables are settled before they are joined, so that both sides of each join are plain exchanges and AQE can
+    # split the partitions of a run that very many documents hold
+    shared = settle(found.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("run"))
     held = settle(found.join(shared, "run", "left_semi"))
-    classes = settle(held.groupBy("run", "snippet").agg(F.min(F.struct("doc_id", "place")).alias("low")).select("run", "snippet", "low.doc_id", "low.place"))
-    mixed = classes.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    asked = classes.join(mixed, "run").select("doc_id", F.struct("run", "snippet", "place", (F.col("kinds") > GROUP).alias("crowded")).alias("a"))
+    classes = settle(held.groupBy("run", "snippet").agg(F.min(F.struct("doc_id", F.col("ranges")[0]["first"].alias("first"), "n")).alias("low")).select("run", "snippet", "low.*"))
+    mixed = settle(classes.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    asked = classes.join(mixed, "run").select("doc_id", F.struct("run", "snippet", "first", "n", (F.col("kinds") > GROUP).alias("crowded")).alias("a"))
     wide = numbered.join(asked.groupBy("doc_id").agg(F.collect_list("a").alias("asked")), "doc_id")
     sent = settle(_snippets(wide))
     grouped = sent.filter("words IS NOT NULL").select("run", "snippet", "doc_id", "n", "words").repartition("run").sortWithinPartitions("run")
@@ -229,10 +241,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_window = long_prefix.join(lowest, ["run", "window"]).filter("lowest < doc_id").select("run", "snippet", F.col("n").alias("low"), (F.col("n") + 1).alias("high"))
     in_class = settle(in_trees.unionByName(by_window))
     members = held.join(classes.select("run", "snippet", F.col("doc_id").alias("lowest")), ["run", "snippet"])
-    start, n = F.shiftright("place", 8), F.col("place").bitwiseAND(F.lit(255))
-    later = members.filter("doc_id > lowest").select("doc_id", start.alias("first"), (start + n).alias("last"))
-    own = members.filter("doc_id = lowest").join(in_class, ["run", "snippet"]).select("doc_id", (start + F.col("low")).alias("first"), (start + F.col("high")).alias("last"))
-    return later.unionByName(own)
+    later = members.filter("doc_id > lowest").select("doc_id", F.inline("ranges"))
+    # the smallest document of a class: each place of the snippet in it, and the suffixes marked there
+    places = F.explode(F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"] - 1, F.col("n")))))
+    own = classes.withColumnRenamed("first", "any_place").drop("n").join(in_class, ["run", "snippet"]).join(held, ["run", "snippet", "doc_id"]).select("doc_id", "low", "high", places.alias("at"))
+    return later.unionByName(own.select("doc_id", (F.col("at") + F.col("low")).alias("first"), (F.col("at") + F.col("high")).alias("last")))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,3 +274,23 @@ def removed_words(docs: DataFrame) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_words(documents(spark, sf_dir))
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents)
+), h AS (
+  SELECT doc_id, i, word, CASE WHEN i + 49 <= n THEN sha256(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS win
+  FROM w
+), m AS (
+  SELECT win, min(doc_id) AS low FROM h WHERE win IS NOT NULL GROUP BY 1
+), g AS (
+  SELECT h.doc_id, i, word, coalesce(bool_or(low < h.doc_id) OVER (PARTITION BY h.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), FALSE) AS gone
+  FROM h LEFT JOIN m ON h.win = m.win
+), r AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
