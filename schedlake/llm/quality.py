@@ -24,12 +24,13 @@ from schedlake.llm.common import documents, settle, text_bytes, text_slices
 
 #: Labelled rows that the weights are fitted on, and pairs drawn from them. Both stay on the driver.
 SAMPLE, PAIRS = 20_000, 100_000
+#: Added to the length in shares, so that one capital or stop in a text of a word or two is not a large share.
+FEW_BYTES, FEW_WORDS = 20, 3
 #: Scores from here on are predicted as label 1.
 CUT = 0.3
-#: The byte classes whose share of a text is a feature.
+#: The byte classes whose share of a text is a feature. Digits are none: numbers do not make a text bad.
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "digit": b"0123456789",
     "blank": b" ",
     "line": b"\n",
     "other_space": b"\t\r\x0b\x0c",
@@ -38,7 +39,8 @@ CLASSES = {
     "quote": b"\"'`",
     "bracket": b"()[]{}<>",
     "bar": b"|",
-    "symbol": b"#$%&*+=@^~_\\/",
+    "symbol": b"#$%&*@^~",
+    "code": b"+=_/\\",
     "dash": b"-",
     "control": bytes([*range(9), *range(14, 32), 127]),
     "high": bytes(range(128, 256)),
@@ -51,7 +53,7 @@ _BY_BYTE = np.array([[b in set(members) for members in CLASSES.values()] for b i
 def features(text: bytes) -> list[float]:
     if not text:
         return [0.0] * len(FEATURES)
-    shares = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _BY_BYTE / len(text)
+    shares = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _BY_BYTE / (len(text) + FEW_BYTES)
     words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
     n = max(1, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -60,11 +62,11 @@ def features(text: bytes) -> list[float]:
         *shares.tolist(),
         float(lengths.mean()) / 10 if len(words) else 0.0,
         len(set(words)) / n,
-        sum(map(eq, words, words[1:])) / n,
-        sum(map(eq, words, words[2:])) / n,
-        float((lengths == 1).sum()) / n,
-        float((lengths > 24).sum()) / n,
-        1 - alnum / n,
+        sum(map(eq, words, words[1:])) / (n + FEW_WORDS),
+        sum(map(eq, words, words[2:])) / (n + FEW_WORDS),
+        float((lengths == 1).sum()) / (n + FEW_WORDS),
+        float((lengths > 24).sum()) / (n + FEW_WORDS),
+        (n - alnum) / (n + FEW_WORDS),
         1 - len(set(lines)) / max(1, len(lines)),
         float(np.log1p(len(words))) / 10,
     ]
@@ -87,13 +89,20 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def usual_range(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest usual value of each feature: beyond them a very short or odd text counts like the last usual one."""
+    if not len(x):
+        return np.zeros(x.shape[1]), np.ones(x.shape[1])
+    return np.quantile(x, 0.01, axis=0), np.quantile(x, 0.99, axis=0)
+
+
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and offset of the scaled score: sigmoid(x @ weights + offset) is CUT at the quantile."""
     better, worse = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(better) or not len(worse):
         return np.zeros(x.shape[1]), 0.0
     mean, spread = x.mean(0), x.std(0) + 1e-6
-    z = np.clip((x - mean) / spread, -8, 8)
+    z = (x - mean) / spread
     rng = np.random.default_rng(seed)
     d = z[rng.choice(better, pairs)] - z[rng.choice(worse, pairs)]
     w = np.zeros(x.shape[1])
@@ -126,8 +135,11 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
     # at most ``sample`` rows of two numbers are broadcast
     rows = all_x.join(F.broadcast(chosen), "doc_id").select("x", "y", "doc_id").toPandas().sort_values(["doc_id", "y"], kind="stable")
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
-    weights, offset = fit(x, rows["y"].to_numpy())
-    total = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(offset), lambda a, b: a + b)
+    low, high = usual_range(x)
+    weights, offset = fit(np.clip(x, low, high), rows["y"].to_numpy())
+    total = F.lit(offset)
+    for i, w in enumerate(weights):
+        total = total + F.greatest(F.least(F.col("x")[i], F.lit(float(high[i]))), F.lit(float(low[i]))) * float(w)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(total, F.lit(40.0)), F.lit(-40.0)))) if weights.any() else F.lit(0.5)
     return all_x.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
