@@ -182,7 +182,12 @@ def identify(docs: DataFrame, teach: DataFrame, per_language: int = PER_LANGUAGE
     """
     spark = docs.sparkSession
     known = teach.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.lit(9)).alias("mark"))
-    ranked = known.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))).filter(F.col("place") <= per_language)
+    # twice the share that is needed passes by its hash before anything is shuffled, so a frequent language is no large
+    # group; rarer languages pass whole. One number per language reaches the driver, as does one model later.
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 2.0 * per_language / n)]), F.col("lang")) if sizes else F.lit(0.0)
+    passed = known.filter(F.pmod("mark", F.lit(1 << 30)) < share * float(1 << 30))
+    ranked = passed.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark", "doc_id"))).filter(F.col("place") <= per_language)
     chosen = settle(ranked.select("doc_id", "lang", (F.col("place") % 10 == 0).alias("calibrates")))
     # per_language rows for each language are broadcast
     texts = settle(teach.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
