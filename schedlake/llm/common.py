@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schedlake.session import shared_dir
+from schedlake.session import cut_lineage
 
 #: Fixed value: a word is a run of characters other than blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,10 +24,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps neither recompute it nor depend on
-    an executor that may be lost, and Spark knows its size."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    an executor that may be lost, and Spark knows its size. ``session.clear_work`` removes the tables."""
+    return cut_lineage(df)
 
 
 def free_name(df: DataFrame, name: str) -> str:
