@@ -124,7 +124,7 @@ def write_archive(
     light = settle(numbered.filter(F.octet_length("payload") >= revisit_bytes).select("row", "key", digest.alias("digest")))
     first = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "row"))
     stored = light.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).filter("n > 1").select("digest", F.col("first.row").alias("first"))
-    revisits = _salted(light.select("row", "digest"), stored, "digest", F.col("row"), "inner").filter("row <> first").select("row", "first")
+    revisits = settle(_salted(light.select("row", "digest"), stored, "digest", F.col("row"), "inner").filter("row <> first").select("row", "first"))
     archive = path.rstrip("/").rsplit("/", 1)[-1]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
