@@ -46,18 +46,19 @@ def templates(found: DataFrame) -> DataFrame:
     total = kinds.groupBy("n", "lead").agg(F.count(F.lit(1)).alias("kinds"))
     tokens = kinds.select("n", "lead", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
     counted = tokens.groupBy("n", "lead", "at", "token").agg(F.count(F.lit(1)).alias("c"))
-    constant = counted.join(total, ["n", "lead"]).filter(F.col("c") * 2 > F.col("kinds")).groupBy("n", "lead").agg(
-        F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("by_place"))
-    return constant.select("n", "lead", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("by_place")[i]).alias("pattern"))
+    often = F.max(F.when(F.col("c") * 2 > F.col("kinds"), F.col("token"))).alias("token")  # at most one token is in over half
+    places = counted.join(total, ["n", "lead"]).groupBy("n", "lead", "at").agg(often)
+    whole = places.groupBy("n", "lead").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("places"))
+    return whole.select("n", "lead", F.col("places.token").alias("pattern"))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, pos): lines to drop."""
-    leaf = F.xxhash64("n", "lead")
-    light = lines(docs).select(leaf.alias("leaf"), "doc_id").distinct()
+    each = settle(lines(docs).withColumn("leaf", F.xxhash64("n", "lead")))  # the texts are parsed once
+    light = each.select("leaf", "doc_id").distinct()
     # settled, so that the join below is between plain exchanges and AQE can split a leaf that very many lines share
     shared = settle(light.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"))
-    found = settle(lines(docs).withColumn("leaf", leaf).join(shared, "leaf", "left_semi").drop("leaf"))
+    found = settle(each.join(shared, "leaf", "left_semi").drop("leaf"))
     pattern = templates(found)
     kinds = found.groupBy("n", "lead", "masked").agg(F.lit(1).alias("one")).join(pattern, ["n", "lead"], "left")
     agree = F.size(F.filter(F.zip_with(F.split("masked", " ", -1), "pattern", lambda a, b: a.eqNullSafe(b)), lambda x: x))
