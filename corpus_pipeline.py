@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlake.llm import bpe, edited_copies, exact_dedup, mixing, quality
-from schedlake.llm.common import free_name, kept_rows, settle
+from schedlake.llm import bpe, edited_copies, exact_dedup, mixing, quality, simhash_dedup
+from schedlake.llm.common import kept_rows, numbered, settle
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,19 +22,23 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
-    return kept_rows(docs, exact_dedup.exact_groups(docs).filter("kept"))
+    """Of texts equal but for the case of A-Z, the row with the largest doc_id stays; of rows that repeat it, one."""
+    rows, key = numbered(docs)
+    named = rows.select(F.struct("doc_id", F.col(key).alias("row")).alias("doc_id"), "text")
+    kept = exact_dedup.exact_groups(named).filter("kept").select(F.col("doc_id.row").alias(key))
+    return rows.join(kept, key, "left_semi").drop(key)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 0.8 of their 5-word shingles, the row with the smallest doc_id stays."""
-    key = free_name(docs, "row_key")
-    number = F.xxhash64("doc_id", "text")  # rows that share it are equal
-    keyed = docs.select(number.alias("key"), "doc_id", "text")
-    linked = settle(edited_copies.near_copies(keyed).withColumnRenamed("id", "key"))
+    """Of each group of texts that share 0.8 of their 5-word shingles, the row with the smallest doc_id stays; of rows that
+    repeat it, one. Operator 8 finds groups by 5-word fingerprints, which are compared on the shingles and completed."""
+    rows, key = numbered(docs)
+    keyed = rows.select(F.col(key).alias("key"), "doc_id", "text")
+    groups = simhash_dedup.near_groups(keyed.select(F.col("key").alias("doc_id"), "text"), width=edited_copies.WIDTH)
+    linked = settle(edited_copies.near_copies(keyed, groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("grp"))).withColumnRenamed("id", "key"))
     ranked = keyed.select("key", "doc_id").join(linked, "key").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
     gone = linked.join(ranked, "component").filter("key <> first.key").select(F.col("key").alias(key))
-    return docs.withColumn(key, number).join(gone, key, "left_anti").drop(key)
+    return rows.join(gone, key, "left_anti").drop(key)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", tokens),
 ]
 
-#: SQL cannot express the trained classifier, SimHash and BPE; the stages are tested against brute force.
+#: SQL cannot express the trained classifier, near copies and BPE; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

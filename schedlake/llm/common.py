@@ -42,6 +42,12 @@ def kept_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("doc_id").alias(other)), F.col("doc_id").eqNullSafe(F.col(other)), "left_semi")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, settled, with a column that numbers the rows, and that column's name."""
+    key = free_name(docs, "row_key")
+    return settle(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one slice stay below ``limit`` bytes (a longer text comes alone)."""
     for batch in batches:

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+from schedlake.llm import edited_copies
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FIELDS = "doc_id long, text string"
@@ -55,3 +56,24 @@ def test_near_stage_on_table(spark, sf_dir):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = corpus_pipeline.near(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
     assert sorted(x.doc_id for x in got.collect()) == brute_kept(rows)
+
+
+def test_groups_that_only_blocks_can_join(spark, monkeypatch):
+    """One bucket-sharing crowd in which few pairs link: neither neighbours nor single rows of groups decide it."""
+    monkeypatch.setattr(edited_copies, "BLOCK", 16)
+    monkeypatch.setattr(edited_copies, "PART", 20)
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+    crowd = []
+    for _ in range(70):  # edits at places spread over the text: about 0.7 alike
+        words = list(base)
+        for at in range(r.randint(0, 3), 120, 32):
+            words[at] = f"e{r.randint(0, 10**9)}"
+        crowd.append(words)
+    bridges = [edited(r, crowd[i], 1) for i in range(0, 70, 9)] + [crowd[3][:60] + crowd[40][60:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(crowd + bridges)]
+    r.shuffle(rows)
+    want = brute_kept(rows)
+    assert 5 < len(want) < len(rows) - 5
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, FIELDS).repartition(3), "")
+    assert sorted(x.doc_id for x in got.collect()) == want

@@ -1,8 +1,9 @@
 """The pipeline's stages, each against brute force on its own input."""
 
 from llm_rows import hard, nothing  # noqa: F401
+from test_edited_copies import brute_kept
 from test_others import brute_digest, reference  # noqa: F401
-from test_text_dedup import brute_exact, brute_near
+from test_text_dedup import brute_exact
 
 import corpus_pipeline
 from schedlake.llm import quality
@@ -34,7 +35,7 @@ def test_stages(spark, tmp_path, reference):  # noqa: F811
     assert {r.doc_id for r in after} == {i for i, _, _, stays, _ in brute_exact([(r.doc_id, r.text) for r in before]) if stays}
 
     before, after = kept["simhash_dedup"]
-    assert {r.doc_id for r in after} == {i for i, _, low in brute_near([(r.doc_id, r.text) for r in before]) if i == low}
+    assert sorted(r.doc_id for r in after) == brute_kept([(r.doc_id, r.text) for r in before])
 
     before, after = kept["mixing"]
     ids = [r.doc_id for r in after]
@@ -59,3 +60,14 @@ def test_stages_take_hard_rows_and_nothing(spark, hard, nothing):  # noqa: F811
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             assert out.count() <= 2 * docs.count()
+
+
+def test_repeated_ids_and_rows(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "c"), (3, "c"), (None, "c"), (4, "C"), (4, "d e f g h i"), (4, "d e f g h i"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.exact(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, "b"), (2, "a"), (4, "C"), (4, "d e f g h i")]
+    kept = corpus_pipeline.near(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept) == [(0, ""), (1, "a"), (1, "b"), (3, "c"), (4, "d e f g h i")]
+    taken = corpus_pipeline.mixed(spark, docs, SF).collect()
+    assert {(r.doc_id, r.text) for r in taken} <= set(rows)
