@@ -1,9 +1,12 @@
 """Nearest points inside a district.
 
-No step pairs all points of a district. Equal coordinates are collapsed first. A multi-level
-grid, as deep as the densest spot needs, then gives every site the finest cell that already
-holds k+1 candidates; the k-th distance inside it bounds the search circle, and only cells
-that the circle touches are joined. The result is exact.
+No step pairs all points of a district. Equal coordinates are collapsed first. The sites are put into a pyramid of cells, and
+only cells that hold too many sites are divided, so dense spots get a deep grid and lone sites a shallow one. Every cell knows how
+many points it holds and the box around them, which bounds the distance to any of its points from both sides.
+
+The search is best first, from the sites of one leaf cell together: it starts with the cells around their smallest ancestor that
+holds enough points, keeps the cells that can still hold one of the k nearest given the counts and bounds of the others, and
+divides these level by level until all are leaves. Only points of leaves that remain for a site are compared with it. The result is exact.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ BLOCK = ["city_slug", "district_slug"]
 #: Side of the coarsest cell in degrees (the whole accepted range); each level divides the side by 4. At the last level a
 #: cell is smaller than the step between double-precision coordinates.
 ROOT_SIDE, FINEST = 8.0, 25
-#: Sites a cell may hold per neighbour asked for before it is divided.
-CELL_SITES = 8
+#: Sites a cell may hold per neighbour asked for before it is divided; levels looked at in one pass.
+CELL_SITES, STEP = 8, 4
+#: What rounding may add to a bound, as a share and in kilometres.
+SLACK = 1e-8
 
 
 def distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -36,60 +41,131 @@ def _cell(coord: Column, origin: float, level: Column) -> Column:
     return F.floor((coord - origin) / _side(level)).cast("long")
 
 
-def _at_levels(df: DataFrame, levels: int) -> DataFrame:
-    out = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+def _at_levels(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    out = df.withColumn("level", F.explode(F.sequence(first, last)))
     return out.withColumn("cy", _cell(F.col("lat"), LAT_RANGE[0], F.col("level"))).withColumn("cx", _cell(F.col("lng"), LNG_RANGE[0], F.col("level")))
 
 
-def _needed_levels(sites: DataFrame, scope: list[str], full: int) -> int:
-    """Levels down to the first on which no cell holds more than ``full`` sites: dense spots get as deep a grid as they need.
+def _above(coord: str, levels: Column) -> Column:
+    """Number of the cell that holds a cell, ``levels`` levels up; exact, as sides are powers of two."""
+    return F.call_function("shiftright", F.col(coord), (levels * 2).cast("int"))
+
+
+def leaf_levels(sites: DataFrame, scope: list[str], full: int) -> DataFrame:
+    """Sites (scope, lat, lng, ..) with ``leaf``, the first level on which their cell holds at most ``full`` sites.
 
-    One number per level reaches the driver. FINEST is where a cell is smaller than the distance between neighbouring
-    double-precision coordinates, so distinct sites always part before it.
+    STEP levels are looked at in one pass, and only sites whose cells are still too full come into the next one.
     """
-    per_cell = _at_levels(sites, FINEST).groupBy(*scope, "level", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
-    fullest = per_cell.groupBy("level").agg(F.max("n").alias("n")).collect()
-    open_levels = [r["level"] for r in fullest if r["n"] > full]
-    return min(FINEST, max(open_levels, default=-1) + 2)
+    site, cell = [*scope, "lat", "lng"], [*scope, "level", "cy", "cx"]
+    done, left = None, sites
+    for first in range(0, FINEST + 1, STEP):
+        last = min(first + STEP - 1, FINEST)
+        leveled = _at_levels(left.select(*site), F.lit(first), F.lit(last))
+        fits = leveled.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") <= full) | (F.col("level") == FINEST)).drop("n")
+        found = leveled.join(fits, cell).groupBy(*site).agg(F.min("level").alias("leaf"))
+        placed = cut_lineage(left.join(found, site, "left"))
+        here, left = placed.filter("leaf IS NOT NULL"), placed.filter("leaf IS NULL").drop("leaf")
+        done = here if done is None else done.unionByName(here)
+        if last == FINEST or left.isEmpty():
+            break
+    return done
+
+
+def _box_bounds(a: str, b: str) -> tuple[Column, Column]:
+    """Lower and upper bound of the distance between any points of two boxes (structs of south, north, west, east)."""
+    box = lambda name, side: F.col(f"{name}.{side}")
+    gap = lambda lo, hi: F.greatest(F.lit(0.0), box(a, lo) - box(b, hi), box(b, lo) - box(a, hi))
+    span = lambda lo, hi: F.greatest(box(a, hi) - box(b, lo), box(b, hi) - box(a, lo))
+    # latitudes are north of the equator, so a box is widest at its southern edge
+    narrow, wide = (F.cos(F.radians(box(a, side))) * F.cos(F.radians(box(b, side))) for side in ("north", "south"))
+    half = lambda degrees: F.pow(F.sin(F.radians(degrees) / 2), 2)
+    km = lambda dy, dx, shrink: F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(half(dy) + shrink * half(dx))))
+    low = km(gap("south", "north"), gap("west", "east"), narrow)
+    high = km(span("south", "north"), span("west", "east"), wide)
+    return low * (1 - SLACK) - SLACK, high * (1 + SLACK) + SLACK
+
+
+def _within_reach(pairs: DataFrame, who: list[str], k: int) -> DataFrame:
+    """Pairs whose cell can hold one of the k nearest: not farther than the k-th point must be, by the counts and upper bounds.
+
+    ``pairs``: the columns ``who``, low, high, n. Adds the bound as ``reach`` (null while fewer than k points are known).
+    """
+    nearest = Window.partitionBy(*who).orderBy("high").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = pairs.withColumn("known", F.sum("n").over(nearest))
+    bound = F.min(F.when(F.col("known") >= k, F.col("high"))).over(Window.partitionBy(*who))
+    return enough.withColumn("reach", bound).filter(F.col("reach").isNull() | (F.col("low") <= F.col("reach"))).drop("known")
+
+
+def cells_in_reach(sites: DataFrame, scope: list[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """(site, level, cy, cx, reach): the leaf cells that can hold one of the ``k`` nearest points of each site, and a distance
+    that the k-th is not beyond; and the sites with their leaf. ``sites``: scope, lat, lng, n (points to count there, at most k)."""
+    site, cell = [*scope, "lat", "lng"], [*scope, "level", "cy", "cx"]
+    placed = _at_levels(leaf_levels(sites, scope, CELL_SITES * k), F.col("leaf"), F.col("leaf"))
+    box = F.struct(F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east")).alias("box")
+    cornered = placed.select(*cell, "n", F.col("lat").alias("south"), F.col("lat").alias("north"), F.col("lng").alias("west"), F.col("lng").alias("east"))
+    leaves = cut_lineage(cornered.groupBy(*cell).agg(F.sum("n").alias("n"), box))
+
+    # every cell above a leaf, from the leaves alone
+    up = leaves.withColumn("top", F.explode(F.sequence(F.lit(0), F.col("level"))))
+    rise = F.col("level") - F.col("top")
+    raised = up.select(*scope, F.col("top").alias("level"), _above("cy", rise).alias("cy"), _above("cx", rise).alias("cx"), "n", "box.*", (rise == 0).alias("leaf"))
+    nodes = cut_lineage(raised.groupBy(*cell).agg(F.sum("n").alias("n"), box, F.bool_or("leaf").alias("leaf")))
+
+    # the smallest ancestor with k points, and the cells of its level that a circle around the leaf touches
+    mine = [F.col(c).alias(f"q_{c}") for c in ("level", "cy", "cx")]
+    who = [*scope, "q_level", "q_cy", "q_cx"]
+    rich = nodes.filter(F.col("n") >= k).select(*cell, F.col("box").alias("around"))
+    ancestors = up.select(*scope, *mine, F.col("box").alias("q_box"), F.col("top").alias("level"), _above("cy", rise).alias("cy"), _above("cx", rise).alias("cx"))
+    start = ancestors.join(rich, cell).groupBy(*who).agg(F.max_by(F.struct("q_box", "around", "level"), "level").alias("s")).select(*who, "s.*")
+    poor = leaves.select(*scope, *mine, F.col("box").alias("q_box")).join(start, who, "left_anti").withColumn("around", F.lit(None).cast(nodes.schema["box"].dataType)).withColumn("level", F.lit(0))
+    start = start.unionByName(poor, allowMissingColumns=True)
+    radius = _box_bounds("q_box", "around")[1]
+    dy = F.degrees(F.col("r") / EARTH_KM)
+    dx = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.least(F.col("r") / EARTH_KM, F.lit(1.5))) / F.cos(F.radians(F.col("q_box.north") + dy)))))
+    edge = lambda side, delta, origin: F.when(F.col("level") == 0, F.lit(0)).otherwise(_cell(F.col(f"q_box.{side}") + delta, origin, F.col("level")))
+    ringed = start.withColumn("r", radius).select(
+        *who, "q_box", F.col("level").alias("own"), F.col("r").alias("reach"),
+        edge("south", -dy, LAT_RANGE[0]).alias("y0"), edge("north", dy, LAT_RANGE[0]).alias("y1"), edge("west", -dx, LNG_RANGE[0]).alias("x0"), edge("east", dx, LNG_RANGE[0]).alias("x1"),
+    )
+    # a touched cell that was never divided so far is covered by a leaf above it
+    covering = ringed.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    rise = F.col("own") - F.col("level")
+    covering = covering.withColumn("cy", F.explode(F.sequence(_above("y0", rise), _above("y1", rise)))).withColumn("cx", F.explode(F.sequence(_above("x0", rise), _above("x1", rise))))
+    low, high = _box_bounds("q_box", "box")
+    kept = [*who, "q_box", "level", "cy", "cx", "leaf", "reach"]
+
+    def narrowed(pairs: DataFrame) -> DataFrame:
+        bounded = pairs.withColumn("low", low).withColumn("high", high).filter(F.col("reach").isNull() | (F.col("low") <= F.col("reach")))
+        return cut_lineage(_within_reach(bounded.drop("reach"), who, k).select(*kept))
+
+    met = narrowed(covering.join(nodes, cell).filter((F.col("level") == F.col("own")) | F.col("leaf")))
+    below = nodes.filter("level > 0").select(*scope, (F.col("level") - 1).alias("level"), _above("cy", F.lit(1)).alias("cy"), _above("cx", F.lit(1)).alias("cx"), F.struct("level", "cy", "cx", "n", "box", "leaf").alias("to"))
+    step = below.unionByName(nodes.filter("leaf").select(*cell, F.struct("level", "cy", "cx", "n", "box", "leaf").alias("to")))
+    for _ in range(FINEST):
+        if met.filter("NOT leaf").isEmpty():
+            break
+        met = narrowed(met.select(*who, "q_box", *cell[len(scope):], "reach").join(step, cell).select(*who, "q_box", "reach", "to.*"))
+
+    # the same bounds once more for each site of a leaf
+    at = placed.select(*site, *[F.col(c).alias(f"q_{c}") for c in ("level", "cy", "cx")])
+    here = F.struct(F.col("lat").alias("south"), F.col("lat").alias("north"), F.col("lng").alias("west"), F.col("lng").alias("east"))
+    each = met.select(*who, "level", "cy", "cx").join(leaves, cell).join(at, who).withColumn("q_box", here)
+    bounded = each.withColumn("low", low).withColumn("high", high)
+    return _within_reach(bounded, site, k).select(*site, "level", "cy", "cx", "reach"), placed
 
 
 def nearest_sites(points: DataFrame, k: int, id_col: str = "ord", scope: list[str] = BLOCK) -> DataFrame:
     """Per site (scope, lat, lng) with valid coordinates: its nearest ``k`` points, those of the site itself included, as an array."""
     site = [*scope, "lat", "lng"]
     geo = points.filter(valid_geo(F.col("lat"), F.col("lng"))).select(*site, id_col)
-    # candidates and placed sites are read by several joins below, so each is written once
+    # read by the search and by the comparison, so written once
     candidates = cut_lineage(first_rows(geo, site, [id_col], k).drop("rank"))
-    sites = candidates.select(*site).distinct()
-    levels = _needed_levels(sites, scope, CELL_SITES * k)
+    sites = candidates.groupBy(*site).agg(F.count(F.lit(1)).alias("n"))
+    reached, placed = cells_in_reach(sites, scope, k)
     cell = [*scope, "level", "cy", "cx"]
-
-    # finest level whose cell around the site holds k candidates; level 0 covers everything
-    leveled = _at_levels(candidates, levels)
-    dense = leveled.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).drop("n")
-    finest = _at_levels(sites, levels).join(dense, cell).groupBy(*site).agg(F.max("level").alias("level"))
-    placed = sites.join(finest, site, "left").withColumn("sparse", F.col("level").isNull()).withColumn("level", F.coalesce("level", F.lit(0)))
-    placed = placed.withColumn("cy", _cell(F.col("lat"), LAT_RANGE[0], F.col("level"))).withColumn("cx", _cell(F.col("lng"), LNG_RANGE[0], F.col("level")))
-    placed = cut_lineage(placed)
-
-    near = leveled.select(*cell, F.col(id_col).alias("n_id"), F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"))
+    near = candidates.join(placed.select(*site, "level", "cy", "cx"), site).select(*cell, F.col(id_col).alias("n_id"), F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"))
     d = distance(F.col("lat"), F.col("lng"), F.col("n_lat"), F.col("n_lng"))
-
-    # radius: the k-th distance inside the own cell
-    inside = first_rows(placed.join(near, cell).withColumn("d", d), site, ["d", "n_id"], k)
-    radius = inside.groupBy(*site).agg(F.max("d").alias("r"))
-
-    # cells that the circle touches
-    r = F.col("r") * 1.000001 + 1e-6
-    dy = F.degrees(r / EARTH_KM)
-    dx = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(r / EARTH_KM) / F.cos(F.radians("lat")))))
-    span = lambda coord, delta, origin: F.sequence(
-        _cell(F.col(coord) - delta, origin, F.col("level")), _cell(F.col(coord) + delta, origin, F.col("level"))
-    )
-    reach = placed.drop("cy", "cx").join(radius, site)
-    rows = F.when(F.col("sparse"), F.array(F.lit(0).cast("long"))).otherwise(span("lat", dy, LAT_RANGE[0]))
-    cols = F.when(F.col("sparse"), F.array(F.lit(0).cast("long"))).otherwise(span("lng", dx, LNG_RANGE[0]))
-    touched = reach.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(cols))
-    found = touched.join(near, cell).withColumn("d", d).filter(F.col("sparse") | (F.col("d") <= F.col("r")))
+    found = reached.join(near, cell).withColumn("d", d).filter(F.col("reach").isNull() | (F.col("d") <= F.col("reach")))
     best = first_rows(found, site, ["d", "n_id"], k)
     return best.groupBy(*site).agg(F.sort_array(F.collect_list(F.struct("d", F.col("n_id").alias("id")))).alias("near"))
 
@@ -99,9 +175,10 @@ def knn_geo(points: DataFrame, k: int = 5, id_col: str = "ord") -> DataFrame:
     return _ranked(points, k, id_col, BLOCK)
 
 
-def _ranked(points: DataFrame, k: int, id_col: str, scope: list[str]) -> DataFrame:
+def _ranked(points: DataFrame, k: int, id_col: str, scope: list[str], asks: str = "true") -> DataFrame:
+    """Nearest points of the rows that ``asks``, among all rows of their scope."""
     lists = nearest_sites(points, k + 1, id_col, scope)
-    geo = points.filter(valid_geo(F.col("lat"), F.col("lng"))).select(*scope, "lat", "lng", id_col)
+    geo = points.filter(valid_geo(F.col("lat"), F.col("lng"))).filter(asks).select(*scope, "lat", "lng", id_col)
     joined = geo.join(lists, [*scope, "lat", "lng"], "inner")
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col(id_col)), 1, k)
     return joined.select(id_col, F.posexplode(others).alias("pos", "x")).select(
@@ -158,11 +235,13 @@ def knn_candidates(points: DataFrame, k: int = 5, enough: int = 15, id_col: str
     members = named.filter("v <> ''").groupBy(*BLOCK, "v").agg(F.count(F.lit(1)).alias("members"))
     # read by both scopes and by the points without coordinates
     scoped = cut_lineage(named.join(members, [*BLOCK, "v"], "left").withColumn("wide", F.coalesce(F.col("members") <= enough, F.lit(True))).drop("members"))
-    near_village = _ranked(scoped.filter("NOT wide"), k, id_col, [*BLOCK, "v"])
     blocks = scoped.filter("wide").select(*BLOCK).distinct()
-    near_block = _ranked(scoped.join(blocks, BLOCK, "left_semi"), k, id_col, BLOCK).join(scoped.filter("wide").select(id_col), id_col, "left_semi")
+    # one search over both scopes: villages by their name, blocks by a name that no village has
+    whole = scoped.join(blocks, BLOCK, "left_semi").withColumn("asks", F.col("wide")).withColumn("v", F.lit(""))
+    both = scoped.filter("NOT wide").withColumn("asks", F.lit(True)).unionByName(whole)
+    near = _ranked(both, k, id_col, [*BLOCK, "v"], "asks")
     others = knn_fallback(points, k, id_col).select(id_col, "rank", "neighbour")
-    found = near_village.unionByName(near_block).select(id_col, "rank", "neighbour").unionByName(others)
+    found = near.select(id_col, "rank", "neighbour").unionByName(others)
     return found.join(scoped.select(id_col, "wide"), id_col).select(id_col, "rank", "neighbour", "wide")
 
 

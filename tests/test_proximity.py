@@ -101,3 +101,25 @@ def test_heading(spark):
     points = [(1, "c", "d", "v", 24.0, 121.0), (2, "c", "d", "v", None, None), (3, "c", "d", "w", None, None), (4, "c", "e", "x", None, None), (5, "c", "e", None, None, None)]
     got = {r["ord"]: r.heading for r in X.neighbour_heading(spark.createDataFrame(points, SCHEMA)).collect()}
     assert got == {1: "鄰近清運點", 2: "同行政區的清運點", 3: "同行政區的清運點", 4: "同行政區的清運點", 5: "同行政區的清運點"}
+
+
+def compared(spark, n):
+    """Rows that the comparison of ``n`` points in a dense spot and 20 lone ones far away reads, without collapsing any."""
+    rnd = random.Random(n)
+    rows = [("c", "d", 24.0 + rnd.random() * 1e-3, 121.0 + rnd.random() * 1e-3, 1) for _ in range(n)]
+    rows += [("c", "d", 22.0 + i * 0.07, 120.0 + (i * i % 17) * 0.1, 1) for i in range(20)]
+    sites = spark.createDataFrame(rows, "city_slug string, district_slug string, lat double, lng double, n int")
+    reached, placed = X.cells_in_reach(sites, X.BLOCK, 6)
+    sizes = placed.groupBy("city_slug", "district_slug", "level", "cy", "cx").count()
+    met = reached.join(sizes, ["city_slug", "district_slug", "level", "cy", "cx"]).groupBy((reached.lat < 23.9).alias("lone")).sum("count")
+    return {r.lone: r["sum(count)"] for r in met.collect()}
+
+
+def test_comparisons_grow_with_the_points(spark):
+    """Cells divide by 16, so how full they are repeats every 16 times as many points: the rows per point stay the same then, and
+    are bounded in between. A lone site meets the near edge of the spot, not the spot."""
+    sizes = [1000, 4000, 16000]
+    met = [compared(spark, n) for n in sizes]
+    assert all(m[False] < 300 * n for n, m in zip(sizes, met))
+    assert met[2][False] < 16 * 1.6 * met[0][False]
+    assert all(m[True] < 20 * 0.2 * n for n, m in zip(sizes, met)) and met[2][True] < 8 * met[0][True], met
