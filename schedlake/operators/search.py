@@ -1,7 +1,7 @@
 """Address search for a table of queries.
 
-City and district names are found in a query by equality on its substrings of token length,
-not by testing every name against every query. The remaining words meet the points through
+City and district names are found by walking a trie of the names over the text, not by testing every name
+against every query. The remaining words meet the points through
 an index of one- to three-character grams; each needle looks up its rarest gram only and is
 then verified on the whole text.
 """
@@ -25,7 +25,7 @@ STRAY_EDGE = "^[台市區縣鄉鎮]+|[台市區縣鄉鎮]+$"
 def dictionaries(points: DataFrame, ord_col: str = "ord") -> tuple[DataFrame, DataFrame]:
     """(cities, districts) with dense ids in first-seen order. Both have one row per place, hundreds at most, so a plain ranking is fine."""
     slug, _ = parse_id(F.col("point_id"))
-    firsts = (
+    firsts = cut_lineage(
         points.withColumn("slug", slug)
         .filter("slug is not null")
         .groupBy("city_slug", F.col("slug").alias("district_slug"))
@@ -51,14 +51,31 @@ def _core(full: Column, suffix: str) -> Column:
     return F.when((F.length(full) > 2) & full.rlike(suffix), F.left(full, F.length(full) - 1)).otherwise(full)
 
 
-def _pieces(df: DataFrame, text: str, tokens: DataFrame) -> DataFrame:
-    """Distinct substrings of token length with their first position."""
-    longest = tokens.agg(F.max(F.length("tok"))).scalar()
+def name_hits(df: DataFrame, text: str, tokens: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` whose ``tok`` (two characters or more) occurs in ``text``, each with its first position ``at``.
+
+    The tokens form a trie that is walked from every position of a text at once, its depth doubling: where two characters begin a
+    token four are looked up, then eight, and so on. A position leaves the walk where no token begins like it, so the
+    rows grow with the length of the texts and with what begins there, not with the longest token.
+    """
+    names = tokens.select("tok", F.length("tok").alias("size")).filter("size >= 2").distinct()
+    longest = names.agg(F.max("size")).first()[0] or 2
     n = F.length(text)
-    starts = df.withColumn("at", F.explode(F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))))
-    sized = starts.withColumn("size", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(n - F.col("at") + 1, longest)))))
-    piece = F.substr(F.col(text), F.col("at"), F.col("size"))
-    return sized.filter(F.length(piece) >= 2).groupBy(*df.columns, piece.alias("tok")).agg(F.min("at").alias("at"))
+    starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    walk = df.withColumn("at", F.explode(starts)).withColumn("ends", F.array().cast("array<int>"))
+    depth = 2
+    while depth <= longest:
+        # one row per node of this depth: the lengths of the tokens below it that end before the next depth
+        ended = F.collect_set(F.when(F.col("size") < 2 * depth, F.col("size"))).alias("ended")
+        nodes = names.filter(F.col("size") >= depth).groupBy(F.left("tok", F.lit(depth)).alias("head")).agg(ended)
+        reached = F.length(text) - F.col("at") + 1 >= depth
+        here = F.when(reached if depth == 2 else reached & F.col("open"), F.substr(F.col(text), F.col("at"), F.lit(depth)))
+        walk = walk.withColumn("head", here).join(nodes, "head", "inner" if depth == 2 else "left")
+        walk = walk.select(*df.columns, "at", F.concat("ends", F.coalesce("ended", F.array().cast("array<int>"))).alias("ends"), F.col("ended").isNotNull().alias("open"))
+        depth *= 2
+    found = walk.withColumn("size", F.explode("ends")).filter(n - F.col("at") + 1 >= F.col("size"))
+    first = found.groupBy(*df.columns, F.substr(F.col(text), F.col("at"), F.col("size")).alias("tok")).agg(F.min("at").alias("at"))
+    return first.join(tokens, "tok")
 
 
 def _cut(text: Column, token: Column) -> Column:
@@ -82,7 +99,7 @@ def parse_queries(queries: DataFrame, cities: DataFrame, districts: DataFrame) -
         city.filter("core <> full").select("city_idx", F.col("core").alias("tok"), F.lit("core").alias("form"))
     )
     after = lambda text: F.substr(F.col(text), F.col("at") + F.length("tok"))
-    hits = _pieces(qs, "q", city_tokens).join(city_tokens, "tok").filter((F.col("form") == "full") | ~after("q").rlike(ROAD_START))
+    hits = name_hits(qs, "q", city_tokens).filter((F.col("form") == "full") | ~after("q").rlike(ROAD_START))
     form = lambda f, c: F.when(F.col("form") == f, c)
     named = hits.groupBy("q").agg(
         *[F.collect_set(form(f, F.col("city_idx"))).alias(f"{f}_set") for f in ("full", "core")],
@@ -101,7 +118,7 @@ def parse_queries(queries: DataFrame, cities: DataFrame, districts: DataFrame) -
     scope = (F.size("cities") == 0) | F.array_contains("cities", F.col("city_idx"))
     is_full = F.col("tok") == F.col("full")
     usable = is_full | ((F.length(after("rest")) >= 2) & ~after("rest").rlike(ROAD_START))
-    found = _pieces(by_city, "rest", names).join(names, "tok").filter(scope & usable)
+    found = name_hits(by_city, "rest", names).filter(scope & usable)
     # the longest token wins, then the first district; a district's full name is longer than its short form
     best = found.groupBy("q").agg(F.min_by("tok", F.struct(-F.length("tok"), "district_idx")).alias("tok"))
     same = best.join(names, "tok").join(by_city.select("q", "cities"), "q").filter(scope).groupBy("q", "tok").agg(F.collect_set("district_idx").alias("districts"))

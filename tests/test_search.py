@@ -1,5 +1,7 @@
 """Address search on the six-point index."""
 
+import random
+
 import pytest
 
 from schedlake.operators import search as S
@@ -69,3 +71,27 @@ def test_index(spark, points):
         ("kaohsiung", "sanmin"), ("taichung", "sanmin"), ("taichung", "zhongqu"), ("taichung", "daan"), ("xinbei", "xizhi")
     ]
     assert rows.count() == 6
+
+
+def test_name_hits_of_many_names(spark):
+    """100,000 names, some very long, some beginning alike, against a plain search; rows follow the texts, not the longest name."""
+    rnd = random.Random(2)
+    letters = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉"
+    names = {"".join(rnd.choice(letters) for _ in range(rnd.choice([1, 2, 3, 3, 4, 5, 6, 9, 40]))) for _ in range(100_000)}
+    names |= {"甲乙丙丁" + "戊" * i for i in range(30)}
+    listed = sorted(names)
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(60)]
+    texts += [t[:9] + rnd.choice(listed) + t[9:] for t in texts] + ["甲乙丙丁" + "戊" * 20 + "甲乙丙丁戊", "甲", "", "甲乙" * 30]
+    texts = sorted(set(texts))
+    df = spark.createDataFrame([(t,) for t in texts], "q string")
+    tokens = spark.createDataFrame([(x,) for x in listed], "tok string")
+    got = {(r.q, r.tok): r["at"] for r in S.name_hits(df, "q", tokens).collect()}
+    want = {}
+    for t in texts:
+        for i in range(len(t)):
+            for j in range(i + 2, len(t) + 1):
+                if t[i:j] in names:
+                    want.setdefault((t, t[i:j]), i + 1)
+    assert got == want and any(len(tok) == 40 for _, tok in want)
+    none = S.name_hits(df, "q", tokens.filter("false"))
+    assert sorted(none.columns) == ["at", "q", "tok"] and none.count() == 0
