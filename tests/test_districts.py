@@ -1,9 +1,14 @@
 """District statistics on small fixtures."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from schedlake.operators import content as T
+from schedlake.operators import maintained as M
 from schedlake.operators import stats as S
+from schedlake.session import cut_lineage
 
 POINT = "ord int, city_slug string, district_slug string, village string"
 ENTRY = "ord int, kind string, weekday int, arrive string, depart string"
@@ -102,3 +107,31 @@ def test_children_and_siblings_of_a_huge_parent(spark):
     asked = spark.createDataFrame([("p", "c00007"), ("q", "x")], "p string, c string")
     got = [r.sibling for r in S.siblings(asked, df, "p", "c").collect()]
     assert len(got) == 10_000 and "c00007" not in got
+
+
+def test_statistics_kept_by_changes(spark):
+    """Random replacements, earliest and latest arrivals and whole districts included, against a rescan after each."""
+    rnd = random.Random(6)
+    point = "ord bigint, city_slug string, district_slug string, village string"
+    entry = "ord bigint, kind string, weekday int, arrive string, depart string"
+
+    def draw(i):
+        place = (i, "c", f"d{rnd.randrange(4)}", rnd.choice([None, "", "v1", "v2", "v3"]))
+        kinds = rnd.choice([[], ["garbage"], ["garbage", "garbage", "recycling"], ["foodscraps"]])
+        return place, [(i, k, rnd.choice([None, *range(1, 8)]), f"{rnd.randrange(24):02d}:{rnd.randrange(60):02d}", None) for k in kinds]
+
+    frames = lambda rows: (spark.createDataFrame([p for p, _ in rows], point), spark.createDataFrame([e for _, es in rows for e in es], entry))
+    key = lambda r: (r.city_slug, r.district_slug)
+    held = {i: draw(i) for i in range(60)}
+    state = cut_lineage(M.measures(*frames(held.values())))
+    for turn in range(3):
+        gone = [i for i in held if held[i][0][2] == "d3" or rnd.random() < 0.3] if turn == 1 else rnd.sample(sorted(held), 15)
+        old = [held.pop(i) for i in gone]
+        new = {1000 * (turn + 1) + k: draw(1000 * (turn + 1) + k) for k in range(12)}
+        held |= new
+        state = cut_lineage(M.changed(state, M.measures(*frames(new.values())), M.measures(*frames(old))))
+        want = S.district_stats(*frames(held.values()))
+        got = M.statistics(state).select(want.columns)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    with pytest.raises(Exception, match="more points removed"):
+        M.changed(state, None, M.measures(*frames(held.values())).withColumn("n", F.col("n") + 1)).collect()

@@ -252,3 +252,42 @@ def test_reconcile_rules(spark):
     assert rows[9] == rows[10] == ("matched", "N9")
     s = R.reconcile_stats(got).first()
     assert (s.old_total, s.matched_unique, s.ambiguous_skipped, s.ambiguous_groups, s.unmatched_no_key) == (10, 5, 3, 2, 2)
+
+
+def test_publish_stored_survives_stops(spark, tmp_path, monkeypatch):
+    """Stopped before the run counts: nothing changes. Stopped after: the next publish finishes it. Data and baseline agree always."""
+    path, arrays = str(tmp_path / "points"), ["schedule", "recycling_schedule", "foodscraps_schedule"]
+    read = lambda: sorted((r.city_slug, r.point_id, r.v) for r in spark.read.parquet(path).collect())
+    base = lambda: {r.city_slug: (r["count"], r.updated_at) for r in sinks.stored_baseline(spark, path, "city_slug").collect()}
+    new = lambda rows: tagged(points(spark, rows))
+    put = lambda rows, at: sinks.publish_stored(new(rows), path, "city_slug", arrays, at)
+    assert base() == {} and sinks.recover(spark, path, "city_slug") == []
+    put([("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("b", 3, 1), ("b", 4, 1)], "t1")
+    first = read()
+    assert base() == {"a": (3, "t1"), "b": (2, "t1")}
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    note, write = sinks._note, sinks.write_points
+    monkeypatch.setattr(sinks, "_note", stop)
+    with pytest.raises(RuntimeError):
+        put([("a", 7, 2), ("a", 8, 2), ("a", 9, 2)], "t2")
+    monkeypatch.setattr(sinks, "_note", note)
+    assert read() == first and base() == {"a": (3, "t1"), "b": (2, "t1")}
+
+    monkeypatch.setattr(sinks, "write_points", stop)
+    with pytest.raises(RuntimeError):
+        put([("a", 5, 3), ("a", 6, 3), ("a", 9, 3)], "t3")
+    monkeypatch.setattr(sinks, "write_points", write)
+    assert read() == first and base()["a"] == (3, "t3")
+    # the gate of the next publish sees the baseline of the stopped run, whose rows it puts in place first
+    with pytest.raises(ValueError, match="b"):
+        put([("b", i, 4) for i in range(9)], "t4")
+    assert read() == [("a", f"X-D-{i}", 3) for i in (5, 6, 9)] + [("b", "X-D-3", 1), ("b", "X-D-4", 1)]
+    put([("b", 3, 5), ("b", 8, 5)], "t5")
+    assert base() == {"a": (3, "t3"), "b": (2, "t5")} and [r for r in read() if r[0] == "b"] == [("b", "X-D-3", 5), ("b", "X-D-8", 5)]
+    sinks.drop_finished(spark, path)
+    assert base() == {"a": (3, "t3"), "b": (2, "t5")} and sinks.recover(spark, path, "city_slug") == []
+    put([("a", 1, 6), ("a", 2, 6), ("a", 3, 6)], "t6")
+    assert base()["a"] == (3, "t6")
