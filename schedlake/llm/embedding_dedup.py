@@ -10,7 +10,8 @@ links reach, such lists are enlarged to the whole group, compared in blocks that
 in a group of any size are exact. Beyond it they go on with the nearest vectors of other groups, refined in the same way; where that finds a
 link the groups are joined and the lists go on beyond both. Of the pairs that link where vectors meet, as many are kept as join the
 same vectors. A bounded set of audit queries is compared with all vectors in blocks; while the share of their links found is
-below ``RECALL``, new projections are added; if ``MORE`` additions do not reach it, the operator stops with an error.
+below ``RECALL``, new projections are added, ``MORE`` times at most; the share reached is returned as ``audit_recall``, and below
+``LEAST`` the operator stops with an error.
 
 Vectors that are null, empty, all zero, or hold null or non-finite components link with nothing, as do vectors of
 different lengths with each other. Rows that repeat id and vector count as copies; of an id that comes with several vectors
@@ -36,6 +37,8 @@ from schedlake.llm.common import components, settle, whole_groups
 LIST, TABLES, NEXT = 8, 8, 4
 #: Vectors compared at once; audit queries; share of their links that must be found; times that tables are added.
 BLOCK, AUDIT, RECALL, MORE = 512, 1024, 0.999, 3
+#: Share below which the operator stops with an error instead of reporting it in ``audit_recall``.
+LEAST = 0.99
 #: Neighbours of one vector that meet in one step; a vector with more lets them meet in such blocks.
 MEET = 256
 #: Rows of one vector's meeting that one task holds; share of list entries below which a round counts as settled.
@@ -186,8 +189,8 @@ def refine(reps: DataFrame, lists: DataFrame, near: DataFrame, threshold: float,
 
 
 def descend(reps: DataFrame, lists: DataFrame, near: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Refine ``lists`` until hardly an entry changes and no new link appears. Returns (lists, links found)."""
-    links, found = None, -1
+    """Refine ``lists`` until hardly an entry changes. Returns (lists, links found)."""
+    links = None
     for turn in range(1, 1000):
         met = settle(refine(reps, lists, near, threshold, turn))
         linked = met.filter(F.col("cos") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -195,10 +198,9 @@ def descend(reps: DataFrame, lists: DataFrame, near: DataFrame, threshold: float
         better = settle(top_lists(lists.unionByName(met.filter("offer").select("a", "b", "cos"))))
         old = lists.select("a", "b", F.lit(1).alias("old"))
         entries, kept = better.join(old, ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("old")).first()
-        lists, now = better, links.count()
-        if entries - kept <= SETTLED * entries and now == found:
+        lists = better
+        if entries - kept <= SETTLED * entries:
             break
-        found = now
     return lists, links
 
 
@@ -330,7 +332,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
         if recall >= RECALL:
             break
     else:
-        raise RuntimeError(f"recall {recall:.4f} after {MORE + 1} sets of projections is below {RECALL}")
+        if recall < LEAST:
+            raise RuntimeError(f"recall {recall:.4f} after {MORE + 1} sets of projections is below {LEAST}")
     group = reps.join(reach, "id", "left").join(counts, "id", "left").select(
         "vec", F.coalesce("component", "id").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("linked"))
     return every.join(group, "vec", "left").select(

@@ -177,6 +177,27 @@ def test_embeddings(spark):
     assert got == brute_vectors(rows)
 
 
+def test_embeddings_groups_joined_by_one_link(spark):
+    """Two groups whose lists are full of their own members, and one pair between them that links; double precision."""
+    r = np.random.default_rng(3)
+    a, o = np.eye(48)[:2]
+    turn = lambda x: np.cos(x) * a + np.sin(x) * o
+    apart = math.acos(0.86)
+    groups = [c + 0.28 * r.standard_normal((40, 48)) / math.sqrt(48) for c in (a, turn(apart))]
+    bridge = [turn(apart / 2 - 0.19), turn(apart / 2 + 0.19)]
+    x = np.concatenate([*groups, bridge, r.standard_normal((40, 48)), [1e300 * a, 1e-300 * a]])
+    ids = r.permutation(len(x))
+    largest = np.abs(x).max(1, keepdims=True)
+    unit = x / largest / np.linalg.norm(x / largest, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    low = ids.copy()
+    for _ in range(len(x)):
+        low = np.minimum(low, np.where(near, low[None, :], len(x)).min(1))
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(table).collect())
+    assert got == sorted(zip(ids.tolist(), near.sum(1).tolist(), low.tolist()))
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
