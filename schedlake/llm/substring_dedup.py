@@ -17,7 +17,8 @@ run travel together in one snippet of text. Steps:
 Marked suffixes are windows to remove; the words they cover go. Windows are judged on the input.
 
 Null and empty texts and texts shorter than a window lose nothing. Rows with a null id are neither judged nor removed from.
-Rows that repeat an id belong to one document, so they do not mark each other. Only id and text are read.
+Rows that repeat an id belong to one document, so they do not mark each other; each loses the words that its own text shares
+with a smaller id, told apart by a hash of the text. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -135,8 +136,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero(row)
         lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(piece, rows), len(piece)).astype(np.int32)), ranges)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(pa.array(text[rows])), pa.array(run[rows]), pa.array(snippet[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)), lists],
-            ["doc_id", "run", "snippet", "n", "ranges"])
+            [part.column("doc_id").take(pa.array(text[rows])), part.column("mark").take(pa.array(text[rows])), pa.array(run[rows]), pa.array(snippet[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)), lists],
+            ["doc_id", "mark", "run", "snippet", "n", "ranges"])
 
 
 def _snippets(wide: DataFrame) -> DataFrame:
@@ -222,17 +223,18 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last): ranges of suffixes of each document whose window also starts in a smaller document."""
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    found = settle(numbered.mapInArrow(_runs, "doc_id bigint, run bigint, snippet bigint, n int, ranges array<struct<first: int, last: int>>"))
+    """(doc_id, mark, first, last): ranges of suffixes of each text whose window also starts in a smaller document. ``mark`` is
+    the XXH64 of the text; it tells rows that repeat an id apart."""
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).filter(F.col("doc_id").isNotNull())
+    found = settle(numbered.mapInArrow(_runs, "doc_id bigint, mark bigint, run bigint, snippet bigint, n int, ranges array<struct<first: int, last: int>>"))
     # counted tables are settled before they are joined, so that both sides of each join are plain exchanges and AQE can
     # split the partitions of a run that very many documents hold
     shared = settle(found.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("run"))
     held = settle(found.join(shared, "run", "left_semi"))
-    classes = settle(held.groupBy("run", "snippet").agg(F.min(F.struct("doc_id", F.col("ranges")[0]["first"].alias("first"), "n")).alias("low")).select("run", "snippet", "low.*"))
+    classes = settle(held.groupBy("run", "snippet").agg(F.min(F.struct("doc_id", "mark", F.col("ranges")[0]["first"].alias("first"), "n")).alias("low")).select("run", "snippet", "low.*"))
     mixed = settle(classes.groupBy("run").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-    asked = classes.join(mixed, "run").select("doc_id", F.struct("run", "snippet", "first", "n", (F.col("kinds") > GROUP).alias("crowded")).alias("a"))
-    wide = numbered.join(asked.groupBy("doc_id").agg(F.collect_list("a").alias("asked")), "doc_id")
+    asked = classes.join(mixed, "run").select("doc_id", "mark", F.struct("run", "snippet", "first", "n", (F.col("kinds") > GROUP).alias("crowded")).alias("a"))
+    wide = numbered.join(asked.groupBy("doc_id", "mark").agg(F.collect_list("a").alias("asked")), ["doc_id", "mark"])
     sent = settle(_snippets(wide))
     grouped = sent.filter("words IS NOT NULL").select("run", "snippet", "doc_id", "n", "words").repartition("run").sortWithinPartitions("run")
     in_trees = grouped.mapInArrow(_trees, "run bigint, snippet bigint, low int, high int")
@@ -241,11 +243,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_window = long_prefix.join(lowest, ["run", "window"]).filter("lowest < doc_id").select("run", "snippet", F.col("n").alias("low"), (F.col("n") + 1).alias("high"))
     in_class = settle(in_trees.unionByName(by_window))
     members = held.join(classes.select("run", "snippet", F.col("doc_id").alias("lowest")), ["run", "snippet"])
-    later = members.filter("doc_id > lowest").select("doc_id", F.inline("ranges"))
-    # the smallest document of a class: each place of the snippet in it, and the suffixes marked there
+    later = members.filter("doc_id > lowest").select("doc_id", "mark", F.inline("ranges"))
+    # the smallest document of a class: each place of the snippet in its texts, and the suffixes marked there
     places = F.explode(F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"] - 1, F.col("n")))))
-    own = classes.withColumnRenamed("first", "any_place").drop("n").join(in_class, ["run", "snippet"]).join(held, ["run", "snippet", "doc_id"]).select("doc_id", "low", "high", places.alias("at"))
-    return later.unionByName(own.select("doc_id", (F.col("at") + F.col("low")).alias("first"), (F.col("at") + F.col("high")).alias("last")))
+    own = classes.select("run", "snippet", "doc_id").join(in_class, ["run", "snippet"]).join(held, ["run", "snippet", "doc_id"]).select("doc_id", "mark", "low", "high", places.alias("at"))
+    return later.unionByName(own.select("doc_id", "mark", (F.col("at") + F.col("low")).alias("first"), (F.col("at") + F.col("high")).alias("last")))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +268,10 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_words(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256."""
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = repeated_spans(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
+    own = spans.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "spans")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).join(own, (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", "text", "spans")
     return texts.mapInArrow(_kept, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 

@@ -198,6 +198,17 @@ def test_substrings_empty_repeated_and_null_ids(spark, nothing):
     assert got == [("5", 0), ("5", 0), ("7", 70), ("None", 0)]
 
 
+def test_substrings_of_different_texts_with_one_id(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    shared, other = ([r.choice(words) for _ in range(90)] for _ in range(2))
+    short, tail = ([r.choice(words) for _ in range(n)] for n in (20, 70))
+    texts = [(0, shared), (1, shared), (1, short), (1, tail + shared), (1, other), (2, other + tail), (2, short), (2, shared[:60] + tail), (2, shared[:60] + tail), (0, tail)]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, substring_dedup.removed_words(docs).collect())) == brute_removed(rows)
+
+
 # -- lines ---------------------------------------------------------------------
 
 
