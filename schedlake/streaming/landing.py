@@ -61,6 +61,39 @@ def publish_stream(points: DataFrame, path: str, checkpoint: str, by: str = "cit
     return last["n"]
 
 
+def land_changes(spark: SparkSession, source: str, schema: StructType | str, sink: str, checkpoint: str, key: str, compare: list[str], version: str = "version") -> int:
+    """Process the snapshot versions that the checkpoint has not seen, then stop. Returns the number of changes written to ``sink``.
+
+    ``source`` holds one Parquet folder ``<version>=N`` per snapshot, N without gaps, each complete before the run that meets it.
+    The sink gets (key, version, status): ``added`` (every key of the first version), ``removed``, or ``changed`` where a
+    column of ``compare`` differs from the version before; kept keys are not written. Keys are unique in a version; rows
+    without a key are left out. Files that join a version already judged are late and ignored; an empty version is judged with the next.
+
+    Each version is joined with the version before it, which is the same stream moved on by one. The state store holds that
+    version's keys and digests between runs, so earlier files are never read again; the watermark is the last version, and
+    keys it leaves without a partner were added or removed. State lies on the executors' disks, not in their heaps. The number of
+    shuffle partitions of the first run stays that of the checkpoint.
+    """
+    digest = F.md5(F.to_json(F.struct(*compare), {"ignoreNullFields": "false"})) if compare else F.lit("")
+
+    def side(name: str, later: int) -> DataFrame:
+        rows = spark.readStream.schema(schema).parquet(source).filter(F.col(key).isNotNull())
+        moment = F.timestamp_seconds(F.col(version).cast("long") + later)
+        return rows.select(F.col(key).alias(f"{name}_key"), moment.alias(f"{name}_at"), digest.alias(f"{name}_digest")).withWatermark(f"{name}_at", "0 seconds")
+
+    both = side("new", 0).join(side("old", 1), F.expr("new_key = old_key AND new_at = old_at"), "full_outer")
+    status = F.when(F.col("old_key").isNull(), "added").when(F.col("new_key").isNull(), "removed").when(F.col("new_digest") != F.col("old_digest"), "changed")
+    changes = both.select(
+        F.coalesce("new_key", "old_key").alias(key), F.unix_seconds(F.coalesce("new_at", "old_at")).alias(version), status.alias("status"),
+    ).filter("status IS NOT NULL")
+    setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return sum(_landed(changes, sink, checkpoint))
+    finally:
+        spark.conf.set(setting, before)
+
+
 def landing_dirs(spark: SparkSession) -> tuple[str, str]:
     """Fresh (sink, checkpoint) folders below the shared folder."""
     base = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from schedlake.operators import publish as P
 from schedlake.operators import reconcile as R
 from schedlake.operators.normalize import ENTRIES
 from schedlake.sources import readers, sinks
-from schedlake.streaming.landing import land_files, publish_stream
+from schedlake.streaming.landing import land_changes, land_files, publish_stream
 
 
 def put(path, obj, encoding="utf-8"):
@@ -291,3 +292,65 @@ def test_publish_stored_survives_stops(spark, tmp_path, monkeypatch):
     assert base() == {"a": (3, "t3"), "b": (2, "t5")} and sinks.recover(spark, path, "city_slug") == []
     put([("a", 1, 6), ("a", 2, 6), ("a", 3, 6)], "t6")
     assert base()["a"] == (3, "t6")
+
+
+VERSIONS = "id string, a string, b string, version long"
+
+
+def changes_between(snapshots):
+    """Plain comparison of each version with the one before."""
+    out, before = set(), {}
+    for number, rows in enumerate(snapshots, start=1):
+        now = {r[0]: r[1:] for r in rows if r[0] is not None}
+        out |= {(k, number, "added") for k in now if k not in before} | {(k, number, "removed") for k in before if k not in now}
+        out |= {(k, number, "changed") for k in now if k in before and now[k] != before[k]}
+        before = now
+    return out
+
+
+def write_versions(spark, source, snapshots, first=1):
+    for number, rows in enumerate(snapshots, start=first):
+        spark.createDataFrame(rows, "id string, a string, b string").repartition(3).write.parquet(f"{source}/version={number}")
+
+
+def landed_changes(spark, sink):
+    rows = [tuple(r) for r in spark.read.schema("id string, version long, status string").parquet(sink).select("id", "version", "status").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_change_stream_over_several_runs(spark, tmp_path):
+    rng = random.Random(4)
+    snapshots = [[(f"k{i}", rng.choice("xy"), rng.choice(["u", None])) for i in range(60) if rng.random() < 0.7] + [(None, "x", "u")] * 2 for _ in range(6)]
+    snapshots[2] = []  # everything goes and comes back
+    snapshots[4] = [(k, b, a) for k, a, b in snapshots[3]]  # values change places, nulls included
+    source, sink, check = (str(tmp_path / x) for x in ("source", "sink", "check"))
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    done = 0
+    for upto in (1, 2, 5, 6):
+        write_versions(spark, source, snapshots[done:upto], done + 1)
+        land_changes(spark, source, VERSIONS, sink, check, "id", ["a", "b"])
+        done = upto
+        want = {c for c in changes_between(snapshots[:upto])}
+        assert landed_changes(spark, sink) == want
+    assert land_changes(spark, source, VERSIONS, sink, check, "id", ["a", "b"]) == 0
+    assert landed_changes(spark, sink) == want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
+def test_change_stream_does_not_read_old_versions_and_survives_a_lost_commit(spark, tmp_path):
+    snapshots = [[("a", "x", None), ("b", "x", None)], [("b", "y", None), ("c", "x", None)], [("c", "x", None)]]
+    source, sink, check = (str(tmp_path / x) for x in ("source", "sink", "check"))
+    write_versions(spark, source, snapshots[:2])
+    land_changes(spark, source, VERSIONS, sink, check, "id", ["a", "b"])
+    for old in (tmp_path / "source").glob("version=*/*.parquet"):
+        old.write_bytes(b"no longer readable")
+    write_versions(spark, source, snapshots[2:], 3)
+    land_changes(spark, source, VERSIONS, sink, check, "id", ["a", "b"])
+    assert landed_changes(spark, sink) == changes_between(snapshots)
+    # a job lost after its last batch was written and before it was recorded repeats the batch
+    last = max(int(x.name) for x in (tmp_path / "check" / "commits").iterdir() if x.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    land_changes(spark, source, VERSIONS, sink, check, "id", ["a", "b"])
+    assert landed_changes(spark, sink) == changes_between(snapshots)
