@@ -11,6 +11,13 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from schedlake.session import shared_dir
 from schedlake.sources.sinks import write_points
 
+#: State of joined streams lies in RocksDB, one store for each shuffle partition instead of four, and a batch saves what it changed.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
+
 
 def _landed(stream: DataFrame, folder: str, checkpoint: str) -> list[int]:
     """Write every new micro-batch to its own ``batch=<id>`` folder and wait for the end. Rows of each batch.
@@ -86,12 +93,14 @@ def land_changes(spark: SparkSession, source: str, schema: StructType | str, sin
     changes = both.select(
         F.coalesce("new_key", "old_key").alias(key), F.unix_seconds(F.coalesce("new_at", "old_at")).alias(version), status.alias("status"),
     ).filter("status IS NOT NULL")
-    setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
     try:
+        for name, value in STATE_SETTINGS.items():
+            spark.conf.set(name, value)
         return sum(_landed(changes, sink, checkpoint))
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def landing_dirs(spark: SparkSession) -> tuple[str, str]:
