@@ -55,6 +55,7 @@ def stop_files(spark: SparkSession, directory: str, zone: str = "Asia/Taipei") -
     """Stops of all ``{gid}__{route}__{type}.json`` files with the keys of the file name and its local modification midnight.
 
     Other names are skipped, an empty ``result`` gives no rows.
+    A filter on a key of the file name reaches the file listing, so files of other keys are not opened.
     """
     docs = spark.read.schema(f"errCode string, msg string, result array<{STOP}>").option("pathGlobFilter", "*__*__*.json").json(directory, multiLine=True)
     name = F.col("_metadata.file_name")

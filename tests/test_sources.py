@@ -354,3 +354,30 @@ def test_change_stream_does_not_read_old_versions_and_survives_a_lost_commit(spa
         (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
     land_changes(spark, source, VERSIONS, sink, check, "id", ["a", "b"])
     assert landed_changes(spark, sink) == changes_between(snapshots)
+
+
+def opened_files(df):
+    """Files that the scans of a finished query were given."""
+
+    def leaves(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return leaves(node.executedPlan())
+        below = node.children()
+        return [x for i in range(below.size()) for x in leaves(below.apply(i))] if below.size() else [node]
+
+    df.collect()
+    counts = [x.metrics().get("numFiles") for x in leaves(df._jdf.queryExecution().executedPlan())]
+    return sum(c.get().value() for c in counts if c.isDefined())
+
+
+def test_stop_files_of_other_keys_are_not_opened(spark, tmp_path):
+    for gid in "ABCD":
+        for route in (1, 2, 3):
+            content = {"errCode": "", "msg": "", "result": [{"gid": gid, "poi_id": route, "poi_name": "p"}]}
+            (tmp_path / f"{gid}__{route}__{'lagi' if route < 3 else 'recycle'}.json").write_text(json.dumps(content))
+    every = readers.stop_files(spark, str(tmp_path))
+    assert opened_files(every) == 12
+    assert opened_files(every.filter("file_gid = 'B'")) == 3
+    assert opened_files(every.filter("file_gid IN ('A', 'C') AND route_id = '2'")) == 2
+    assert opened_files(every.filter("car_type = 'recycle'")) == 4
+    assert [(r.file_gid, r.poi_id) for r in every.filter("file_gid = 'D' AND car_type = 'recycle'").collect()] == [("D", 3)]
