@@ -1,31 +1,43 @@
 """Operator 7: line dedup with a log-template tree, with DataFrame functions only.
 
 Lines are parsed as log messages are, by a tree of fixed depth: first the number of tokens, then the leading ``DEPTH``
-tokens, where tokens with a digit count as a field. In a leaf, a position is constant if more than half of the leaf's
-different lines have the same token there, and a field otherwise. Lines that agree with the constants in at least
-``SIMILAR`` of all positions belong to the leaf's template, other lines stand for themselves. A template, or such a line,
-that occurs in ``MIN_DOCS`` or more documents is dropped wherever it occurs.
-
-Only leaves that occur in enough documents move any text. Counts are partial sums, so a very frequent line or leaf sends one
-row per task. Blank lines are kept and belong to no leaf. Null texts count as empty (one blank line). Rows that repeat an
-id are one document for the counts; a null id is a document too. Only id and text are read.
+tokens, where tokens with a digit count as a field. Below, the other tokens are cut into stretches, each a level of the tree: a
+node has a branch for every text of the next stretch and one branch for a field, and a path takes at most two field branches,
+which together cover at most ``FIELDS`` percent of the line (``cuts``). A leaf is a template: tokens and up to two
+stretches of variable fields. A line belongs to every template on whose path it lies, so lines of several templates share the upper
+nodes without hiding each other. A template that occurs in ``MIN_DOCS`` or more documents is recurring, and every line that
+belongs to a recurring template is dropped. More rows never make a dropped line stay.
+
+Branches grow level by level, two stretches at a time, and only nodes that occur in enough documents grow on, which loses
+nothing, as a template never occurs in more documents than the nodes above it. Only lines below such nodes move any text. A
+different line is represented by ``MIN_DOCS`` of its documents at most, which decides the same as all of them would. Counts are partial
+sums, so a very frequent line or node sends one row per task and document. Blank lines are kept and belong to no node. Null
+texts count as empty (one blank line). Rows that repeat an id are one document for the counts; a null id is a document too. Only
+id and text are read. A very long line has no more stretches than a short one (at most ten).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from schedlake.llm.common import documents, settle
 
-DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 3
+DEPTH, FIELDS, MIN_DOCS = 3, 30, 3
 FIELD = "<*>"
+#: Most stretches that ``cuts`` gives: 13 tokens, three of them fields, the ten after the lead in stretches of one.
+STRETCHES = 10
 
 
 def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _name(*parts: Column) -> Column:
+    """A 128-bit name of the values."""
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit(2), *parts).alias("y"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(key, doc_id, pos, masked, n, lead): lines that are not blank, with fields masked and blanks evened out.
 
@@ -40,34 +52,58 @@ def lines(docs: DataFrame) -> DataFrame:
     return kept.select("key", "doc_id", "pos", "masked", n.cast("int").alias("n"), F.substring_index("masked", " ", DEPTH).alias("lead"))
 
 
-def templates(found: DataFrame) -> DataFrame:
-    """(n, lead, pattern): per leaf of (n, lead, masked), the constant token of each position, null for a field."""
-    kinds = found.select("n", "lead", "masked").distinct()
-    total = kinds.groupBy("n", "lead").agg(F.count(F.lit(1)).alias("kinds"))
-    tokens = kinds.select("n", "lead", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
-    counted = tokens.groupBy("n", "lead", "at", "token").agg(F.count(F.lit(1)).alias("c"))
-    often = F.max(F.when(F.col("c") * 2 > F.col("kinds"), F.col("token"))).alias("token")  # at most one token is in over half
-    places = counted.join(total, ["n", "lead"]).groupBy("n", "lead", "at").agg(often)
-    whole = places.groupBy("n", "lead").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("places"))
-    return whole.select("n", "lead", F.col("places.token").alias("pattern"))
+def cuts(n: Column) -> tuple[Column, Column]:
+    """(length of a stretch, most stretches that are fields) of a line of ``n`` tokens: two stretches, or one where only one
+    token may be a field, cover at most ``FIELDS`` percent of it."""
+    most = F.floor(n * FIELDS / 100).cast("int")
+    return F.greatest(F.lit(1), F.floor(most / 2).cast("int")), F.least(most, F.lit(2))
+
+
+def stretches(kinds: DataFrame) -> DataFrame:
+    """Add parts (a hash of each stretch after the lead) and fields (how many may be fields) to (masked, ..)."""
+    tokens = F.split("masked", " ", -1)
+    width, fields = cuts(F.col("n"))
+    number = F.ceil((F.col("n") - DEPTH) / width).cast("int")
+    # the array around the tokens makes them a value of the lambda, split once a line
+    parts = F.transform(F.array(tokens), lambda t: F.transform(
+        F.sequence(F.lit(0), number - 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i * width + DEPTH + 1, width), " "))))[0]
+    counted = kinds.withColumn("n", F.size(tokens))
+    return counted.withColumn("parts", F.when(F.col("n") > DEPTH, parts).otherwise(F.array().cast("array<bigint>"))).withColumn("fields", fields).drop("n")
+
+
+def grown(nodes: DataFrame, level: int) -> DataFrame:
+    """Children of (kind, parts, fields, docs, node) at the stretch ``level``: its text, and a field where one is left."""
+    part, more = F.get("parts", F.lit(level)), F.size("parts") > level
+    as_text = F.struct(F.when(more, _name(F.lit("text"), "node", part)).otherwise(F.col("node")).alias("node"), F.col("fields").alias("fields"))
+    as_field = F.struct(_name(F.lit("field"), "node").alias("node"), (F.col("fields") - 1).alias("fields"))
+    children = F.when(more & (F.col("fields") > 0), F.array(as_text, as_field)).otherwise(F.array(as_text))
+    return nodes.withColumn("child", F.explode(children)).select("kind", "parts", "docs", "child.node", "child.fields")
+
+
+def recurring_kinds(found: DataFrame, min_docs: int) -> DataFrame:
+    """(kind): names of the different lines of (masked, lead, doc_id) that belong to a recurring template."""
+    few = Window.partitionBy("masked", "lead").orderBy("doc_id")
+    first = found.select("masked", "lead", "doc_id").distinct().withColumn("at", F.row_number().over(few)).filter(F.col("at") <= min_docs)
+    kinds = first.groupBy("masked", "lead").agg(F.collect_list(F.struct("doc_id")).alias("docs"))  # a struct, as a list drops nulls
+    cut = stretches(kinds)
+    nodes = settle(cut.select(_name(F.col("masked")).alias("kind"), "parts", "docs", _name(F.size(F.split("masked", " ", -1)), F.col("lead")).alias("node"), "fields"))
+    for level in range(0, STRETCHES, 2):
+        children = grown(grown(nodes, level), level + 1)
+        each = children.select("node", F.explode("docs").alias("doc")).distinct()
+        often = settle(each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("node"))
+        nodes = settle(children.join(often, "node", "left_semi"))
+    return nodes.select("kind").distinct()
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, pos): lines to drop."""
-    each = settle(lines(docs).withColumn("leaf", F.xxhash64("n", "lead")))  # the texts are parsed once
+    each = settle(lines(docs).withColumn("leaf", F.xxhash64("n", "lead")).drop("n"))  # the texts are parsed once
     light = each.select("leaf", "doc_id").distinct()
-    # settled, so that the join below is between plain exchanges and AQE can split a leaf that very many lines share
+    # settled, so that the join below is between plain exchanges and AQE can split a node that very many lines share
     shared = settle(light.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"))
     found = settle(each.join(shared, "leaf", "left_semi").drop("leaf"))
-    pattern = templates(found)
-    kinds = found.groupBy("n", "lead", "masked").agg(F.lit(1).alias("one")).join(pattern, ["n", "lead"], "left")
-    agree = F.size(F.filter(F.zip_with(F.split("masked", " ", -1), "pattern", lambda a, b: a.eqNullSafe(b)), lambda x: x))
-    text = F.concat_ws(" ", F.transform("pattern", lambda t: F.coalesce(t, F.lit(FIELD))))
-    named = settle(kinds.select("n", "lead", "masked", F.when(agree >= F.col("n") * SIMILAR, F.concat(F.lit("T "), text)).otherwise(F.concat(F.lit("L "), "masked")).alias("template")))
-    placed = found.join(named, ["n", "lead", "masked"]).select("key", "doc_id", "pos", "n", "lead", "template")
-    often = placed.select("n", "lead", "template", "doc_id").distinct().groupBy("n", "lead", "template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
-    often = settle(often)
-    return placed.join(often, ["n", "lead", "template"], "left_semi").select("key", "pos")
+    kinds = settle(recurring_kinds(found, min_docs))
+    return found.select("key", "pos", _name(F.col("masked")).alias("kind")).join(kinds, "kind", "left_semi").select("key", "pos")
 
 
 def without_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -101,25 +137,22 @@ WITH d AS (
   SELECT doc_id, pos, regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM e
 ), t AS (
   SELECT *, string_split(masked, ' ') AS tokens, len(string_split(masked, ' ')) AS n, array_to_string(string_split(masked, ' ')[1:3], ' ') AS lead FROM l WHERE masked <> ''
-), s AS (
-  SELECT t.* FROM t JOIN (SELECT n, lead FROM t GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 3) USING (n, lead)
 ), k AS (
-  SELECT DISTINCT n, lead, masked, tokens FROM s
-), x AS (
-  SELECT n, lead, place, tokens[place] AS token FROM (SELECT *, unnest(range(1, n + 1)) AS place FROM k)
-), c AS (
-  SELECT n, lead, place, token FROM (SELECT n, lead, place, token, count(*) AS c FROM x GROUP BY ALL)
-  JOIN (SELECT n, lead, count(*) AS kinds FROM k GROUP BY ALL) USING (n, lead) WHERE c * 2 > kinds
-), a AS (
-  SELECT n, lead, masked, count(*) AS agree FROM (SELECT n, lead, masked, tokens, unnest(range(1, n + 1)) AS place FROM k) y
-  JOIN c USING (n, lead, place) WHERE y.tokens[place] = c.token GROUP BY ALL
-), g AS (
-  SELECT s.doc_id, s.pos, s.n, s.lead, CASE WHEN coalesce(a.agree, 0) >= s.n * 0.7 THEN '' ELSE 'L ' || s.masked END AS template
-  FROM s LEFT JOIN a USING (n, lead, masked)
+  SELECT DISTINCT masked, tokens, n, lead, n * 30 // 100 AS most, greatest(1, (n * 30 // 100) // 2) AS w FROM t
+), p AS (
+  -- every choice of at most two stretches as fields, written out as the text of its template; the lead is never one
+  SELECT k.*, i, j FROM k, range(-1, 10) a(i), range(-1, 10) b(j)
+  WHERE (j = -1 OR i < j) AND (j > -1 OR i = -1) AND (j = -1 OR 3 + j * w < n)
+    AND (CASE WHEN j = -1 THEN 0 WHEN i = -1 THEN 1 ELSE 2 END) <= most
+), q AS (
+  SELECT masked, n || ':' || array_to_string(list_transform(tokens, lambda x, place:
+    CASE WHEN place > 3 AND ((place - 4) // w = i OR (place - 4) // w = j) THEN chr(10) ELSE x END), ' ') AS template FROM p
+), m AS (
+  SELECT masked, template FROM q WHERE template IN (SELECT template FROM q JOIN (SELECT DISTINCT masked, doc_id FROM t) USING (masked) GROUP BY template HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '-')) >= 3)
 ), r AS (
-  SELECT n, lead, template FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
+  SELECT DISTINCT masked FROM m
 ), gone AS (
-  SELECT g.doc_id, g.pos FROM g JOIN r USING (n, lead, template)
+  SELECT t.doc_id, t.pos FROM t JOIN r USING (masked)
 )
 SELECT e.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped,
   sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (WHERE gone.pos IS NULL), '')) AS kept_sha256

@@ -1,6 +1,7 @@
 """Exact, SimHash, substring and line dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -236,6 +237,81 @@ def test_lines_on_hard_rows(hard, nothing):
     assert log.n_dropped == 6
 
 
+def brute_lines(rows, depth=3, fields=30, min_docs=3):
+    """Dropped (row, line) by writing out every template of every line."""
+    members, of = {}, {}
+    for at, (doc, text) in enumerate(rows):
+        for pos, line in enumerate((text or "").split("\n")):
+            tokens = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
+            n = len(tokens)
+            if not n:
+                continue
+            most = n * fields // 100
+            width = max(1, most // 2)
+            stretches = range(depth, n, width)
+            for k in range(min(most, 2) + 1):
+                for chosen in itertools.combinations(stretches, k):
+                    gone = {i for c in chosen for i in range(c, min(c + width, n))}
+                    template = tuple(None if i in gone else x for i, x in enumerate(tokens))
+                    members.setdefault(template, set()).add(doc)
+                    of.setdefault((at, pos), []).append(template)
+    return {place for place, found in of.items() if any(len(members[t]) >= min_docs for t in found)}
+
+
+def check_lines(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = brute_lines(rows)
+    want = []
+    for at, (doc, text) in enumerate(rows):
+        parts = (text or "").split("\n")
+        kept = [x for pos, x in enumerate(parts) if (at, pos) not in gone]
+        want.append((str(doc), len(parts), len(parts) - len(kept), "\n".join(kept)))
+    got = [(str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.without_recurring(docs).collect()]
+    assert sorted(got) == sorted(want)
+    return gone
+
+
+NAMES = "ann bob cid dan eve fay gus hal ida joe".split()
+
+
+def test_two_templates_in_a_leaf(spark):
+    first = [(i, f"this is a note from {x} about the weekly build report") for i, x in enumerate(NAMES)]
+    second = [(20 + i, f"this is a page that {x} wrote on last monday evening") for i, x in enumerate(NAMES)]
+    assert len(check_lines(spark, first)) == 10
+    assert len(check_lines(spark, first + second)) == 20
+
+
+def test_template_under_a_third_of_a_leaf(spark):
+    r = random.Random(3)
+    words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    rows = [(i, f"this is a note from {x} about the weekly build {r.choice(words)}") for i, x in enumerate(NAMES)]
+    rows += [(100 + i, "own\nthis is a " + " ".join(r.choice(words) for _ in range(8))) for i in range(60)]
+    gone = check_lines(spark, rows)
+    assert {(i, 0) for i in range(10)} <= gone
+    assert {(10 + i, 0) for i in range(60)} <= gone and len(gone) < 80  # "own" goes, lines that only begin alike stay
+
+
+def test_lines_of_every_length(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(40):
+        out = []
+        for n in range(1, 30):
+            line = [f"w{'abcdefghij'[j % 10]}" for j in range(n)]
+            for _ in range(r.randint(0, 4)):
+                line[r.randrange(n)] = r.choice(NAMES)
+            out.append(r.choice([" ", "\t", "  "]).join(line))
+        rows.append((None if i == 7 else i // 2, "\n".join(out)))
+    assert 0 < len(check_lines(spark, rows)) < 40 * 29
+    check_lines(spark, [*rows, (None, None), (90, "")])
+
+
+def test_very_long_lines(spark):
+    line = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(8000)]
+    rows = [(i, " ".join([*line[: 5000 + i], x, *line[5001 + i :]])) for i, x in enumerate(NAMES[:4])]
+    assert len(check_lines(spark, rows)) == 4
+
+
 def test_no_python_in_native_plan(spark):
     plan = line_dedup.op7_line_dedup(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
