@@ -4,7 +4,7 @@ The documents of a source are put into a random but repeatable order (MD5 of see
 read again from its start where the target exceeds the source, and cut into blocks of ``block_words``. A source's quota is
 the number of blocks that cover its target. A multivariate-hypergeometric splitting tree deals the quotas out: every
 node splits its blocks into halves of equal number, drawing how many come from which source without replacement, until a
-leaf is one output shard. Shard k then owns, per source, the blocks after those of shards 0 .. k-1: disjoint, and random as
+leaf is one output shard; the draws invert an MD5 of seed and node. Shard k then owns, per source, the blocks after those of shards 0 .. k-1: disjoint, and random as
 the stream is. Rows of a shard are shuffled locally by a hash. Counts per source are exact whatever the draws.
 
 Order positions come from two levels, hash buckets of about ``BUCKET_ROWS`` rows and running sums over the buckets, so
@@ -22,17 +22,17 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schedlake.llm.common import WORD, documents, free_name, settle
+from schedlake.llm.common import WORD, documents, free_name, numbered, settle
 
 BUCKET_ROWS = 1000
 BLOCK_WORDS = 256
 SHARDS = 8
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, mark): words of each text and the hash that places it within its source."""
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size) and the columns ``keep``: words of each text."""
     return docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"),
+        *keep, "doc_id", F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
 
@@ -96,6 +96,11 @@ def hypergeometric(total: str, of_kind: str, drawn: str, u: str) -> str:
     return f"aggregate({steps}, {start}, (s, i) -> {step}, s -> coalesce(s.x, s.m))"
 
 
+def uniform(parts: str) -> str:
+    """SQL for a number from 0 up to 1 that the MD5 of the values gives, the same in every engine."""
+    return f"(double(conv(substring(md5(concat_ws(':', {parts})), 1, 13), 16, 10)) / {float(1 << 52)}D)"
+
+
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """Deal (source, blocks) out to ``shards`` (a power of two): (source, first array<long>), where first[k] is the first
     block of shard k and first[shards] the number of blocks."""
@@ -106,8 +111,8 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     )
     for level in range(shards.bit_length() - 1):
         total = "aggregate(blocks, 0L, (a, x) -> a + x)"
-        odd = f"pmod(xxhash64({seed}, {level}, node), 2)"
-        drawn = hypergeometric("d.left", "x", "d.draw", f"pmod(shiftrightunsigned(xxhash64({seed}, {level}, node, size(d.taken)), 11), {1 << 53}L) / {float(1 << 53)}D")
+        odd = f"floor(2 * {uniform(f'{seed}, {level}, node')})"
+        drawn = hypergeometric("d.left", "x", "d.draw", uniform(f"{seed}, {level}, node, size(d.taken)"))
         half = f"""aggregate(blocks,
           named_struct('left', {total}, 'draw', bigint(floor(({total} + {odd}) / 2)), 'taken', cast(array() as array<bigint>)),
           (d, x) -> transform(array({drawn}), c -> named_struct('left', d.left - x, 'draw', d.draw - c, 'taken', concat(d.taken, array(c))))[0],
@@ -144,14 +149,14 @@ def positions(sized: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.0, most: float = 2.0, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(documents with size, source_size, target and begin; draws).
+def mix(docs: DataFrame, weights: list[float], share: float = 1.0, most: float = 2.0, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 42, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents with size, source_size, target, begin and the columns ``keep``; draws).
 
     ``draws`` has a row per drawn part of a document: doc_id, source, shard, block, word_from, word_to (of the document's
     words) and slot_key, the order within the shard. A document on the edge between blocks is drawn in parts; one drawn
     twice has two rows with the same words.
     """
-    sized = settle(sizes(docs))
+    sized = settle(sizes(docs, keep))
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = settle(targets(by_source, weights, share, most).withColumn("goal", F.floor(F.col("target") + 0.5).cast("long")))
     quotas = goals.filter("goal > 0").select("source", F.ceil(F.col("goal") / block_words).cast("long").alias("blocks"))
@@ -172,26 +177,33 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, most: float =
     return placed.drop("first", "goal"), draws
 
 
-def mixed_sizes(docs: DataFrame, weights: list[float], share: float, most: float, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (drawn words, repeats counted)."""
-    placed, draws = mix(docs, weights, share, most, seed=seed)
-    taken = draws.groupBy("doc_id", "source", "begin").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+def mixed_sizes(docs: DataFrame, weights: list[float], share: float, most: float, shards: int = SHARDS, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (drawn words, repeats counted) and shard_words, the
+    drawn words by output shard, joined by commas (``0,0,..`` for a document that is not drawn)."""
+    placed, draws = mix(docs, weights, share, most, shards=shards, seed=seed)
+    words = F.col("word_to") - F.col("word_from")
+    here = [F.coalesce(F.sum(F.when(F.col("shard") == k, words)), F.lit(0)) for k in range(shards)]
+    taken = draws.groupBy("doc_id", "source", "begin").agg(F.sum(words).alias("taken"), F.concat_ws(",", *[x.cast("string") for x in here]).alias("shard_words"))
     # (source, begin) is unique among documents with words; it stands for the row where ids repeat or are null
-    keys = taken.select(F.col("source").alias("__source"), F.col("begin").alias("__begin"), "taken")
+    keys = taken.select(F.col("source").alias("__source"), F.col("begin").alias("__begin"), "taken", "shard_words")
     joined = placed.join(keys, F.col("source").eqNullSafe(F.col("__source")) & (F.col("begin") == F.col("__begin")) & (F.col("size") > 0), "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return joined.select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("shard_words", F.lit(",".join("0" * shards))).alias("shard_words"),
+    )
 
 
 def mixed_documents(docs: DataFrame, weights: list[float], share: float, most: float, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, whole and once per lap in which at least half of their words are drawn."""
-    placed, draws = mix(docs, weights, share, most, seed=seed)
-    laps = draws.groupBy("doc_id", "source", "begin").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    times = laps.join(placed.select(F.col("source").alias("__source"), F.col("begin").alias("__begin"), "size").filter("size > 0"),
+    """The rows of ``docs`` that the mix takes, whole and once per lap in which at least half of their words are drawn.
+    Rows are numbered, so those that repeat an id are told apart."""
+    rows, key = numbered(docs)
+    placed, draws = mix(rows, weights, share, most, seed=seed, keep=(key,))
+    laps = draws.groupBy("source", "begin").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    times = laps.join(placed.select(F.col("source").alias("__source"), F.col("begin").alias("__begin"), "size", key).filter("size > 0"),
                       F.col("source").eqNullSafe(F.col("__source")) & (F.col("begin") == F.col("__begin")))
-    copies = times.withColumn("times", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).groupBy("doc_id").agg(F.max("times").alias("__times"))
-    other, number, lap = (free_name(docs, x) for x in ("other_id", "times", "lap"))
-    wanted = copies.filter("__times > 0").select(F.col("doc_id").alias(other), F.col("__times").alias(number))
-    repeated = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(other))).withColumn(lap, F.explode(F.sequence(F.lit(1), F.col(number))))
+    number, lap = (free_name(docs, x) for x in ("times", "lap"))
+    wanted = times.select(key, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(number)).filter(F.col(number) > 0)
+    repeated = rows.join(wanted, key).withColumn(lap, F.explode(F.sequence(F.lit(1), F.col(number))))
     return repeated.select(*docs.columns)
 
 
@@ -200,7 +212,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH s AS (
+WITH RECURSIVE s AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS mark
   FROM documents
 ), g AS (
@@ -211,12 +223,42 @@ WITH s AS (
   FROM g WINDOW b AS (ORDER BY n * 2 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT source, n, least(n * 2, w * max(level) OVER ()) AS target FROM l
+), z AS (
+  SELECT source, ceil(floor(target + 0.5) / 256)::BIGINT AS blocks, row_number() OVER (ORDER BY source NULLS LAST) AS idx FROM t WHERE floor(target + 0.5) > 0
+), tree (level, node, blocks, half, place) AS (
+  -- a step draws one source of a node without replacement; the last one makes the two children
+  SELECT 0, 0::BIGINT, list(blocks ORDER BY idx), []::BIGINT[], 1 FROM z
+  UNION ALL
+  SELECT CASE WHEN place <= len(blocks) THEN level ELSE level + 1 END, CASE WHEN place <= len(blocks) THEN node ELSE node * 2 + side END,
+    CASE WHEN place <= len(blocks) THEN blocks WHEN side = 0 THEN half ELSE list_transform(range(1, len(blocks) + 1), lambda i: blocks[i] - half[i]) END,
+    CASE WHEN place <= len(blocks) THEN list_append(half, (walk[list_filter(range(1, len(walk) + 1), lambda i: list_sum(list_transform(walk[1:i], lambda y: y.p)) > u)[1]]).k) ELSE [] END,
+    CASE WHEN place <= len(blocks) THEN place + 1 ELSE 1 END
+  FROM (
+    -- the possible counts from the likeliest one outwards, with their probabilities
+    SELECT *, list_sort(list_transform(range(greatest(0, d + c - a), least(c, d) + 1), lambda k: {
+      'turn': CASE WHEN k > m THEN 2 * (k - m) - 1 ELSE 2 * (m - k) END,
+      'k': k, 'p': exp(lgamma(c + 1) - lgamma(k + 1) - lgamma(c - k + 1) + lgamma(a - c + 1) - lgamma(d - k + 1) - lgamma(a - c - d + k + 1) - lgamma(a + 1) + lgamma(d + 1) + lgamma(a - d + 1))})) AS walk
+    FROM (
+      SELECT *, least(greatest(floor((d + 1.0) * (c + 1) / (a + 2))::BIGINT, greatest(0, d + c - a)), least(c, d)) AS m
+      FROM (
+        SELECT level, node, blocks, half, place, side, coalesce(blocks[place], 0) AS c, list_sum(blocks)::BIGINT - coalesce(list_sum(blocks[1:place - 1]), 0)::BIGINT AS a,
+          floor((list_sum(blocks) + floor(2 * (('0x' || substr(md5('42:' || level || ':' || node), 1, 13))::BIGINT / 4503599627370496.0))) / 2)::BIGINT - coalesce(list_sum(half), 0)::BIGINT AS d,
+          ('0x' || substr(md5('42:' || level || ':' || node || ':' || (place - 1)), 1, 13))::BIGINT / 4503599627370496.0 AS u
+        FROM tree, (VALUES (0), (1)) v(side) WHERE level < 3 AND (place > len(blocks) OR side = 0)
+      )
+    )
+  )
+), first AS (
+  SELECT source, node, tree.blocks[idx] AS dealt, sum(tree.blocks[idx]) OVER (PARTITION BY idx ORDER BY node) * 256 AS stop FROM tree, z WHERE tree.level = 3
 ), p AS (
-  SELECT s.doc_id, s.size, t.n, t.target, floor(t.target + 0.5) AS goal,
+  SELECT s.doc_id, s.size, s.source, t.n, t.target, floor(t.target + 0.5) AS goal, row_number() OVER () AS r,
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+), h AS (
+  SELECT r, string_agg((greatest(0, least(begin + size, goal, stop) - greatest(begin, stop - dealt * 256)) + greatest(0, least(begin + n + size, goal, stop) - greatest(begin + n, stop - dealt * 256)))::BIGINT::VARCHAR, ',' ORDER BY node) AS shard_words
+  FROM p JOIN first ON p.source IS NOT DISTINCT FROM first.source GROUP BY r
 )
 SELECT doc_id, size, n::BIGINT AS source_size, target,
-  (greatest(0, least(size, goal - begin)) + greatest(0, least(size, goal - begin - n)))::BIGINT AS taken
-FROM p
+  (greatest(0, least(size, goal - begin)) + greatest(0, least(size, goal - begin - n)))::BIGINT AS taken, coalesce(shard_words, '0,0,0,0,0,0,0,0') AS shard_words
+FROM p LEFT JOIN h USING (r)
 """

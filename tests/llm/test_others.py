@@ -5,7 +5,9 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -46,6 +48,29 @@ def test_mixing_reruns_agree(hard):
     assert once == again
 
 
+def test_mixing_follows_the_tree(spark, hard, monkeypatch):
+    """Words by shard equal those of the SQL check's own tree, on rows with nulls, repeats and a very long text."""
+    docs, rows = hard
+    got = sorted(tuple(map(str, r)) for r in mixing.mixed_sizes(docs, [3, 1, 2], 1.5, 2).select("doc_id", "taken", "shard_words").collect())
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[3] for r in rows]}))
+    want = con.execute(f"SELECT doc_id, taken, shard_words FROM ({mixing.OP1_SQL})").fetchall()
+    assert got == sorted(tuple(map(str, r)) for r in want)
+    shards = [sum(int(r[2].split(",")[k]) for r in got) for k in range(8)]
+    assert all(sum(map(int, r[2].split(","))) == int(r[1]) for r in got) and max(shards) - min(shards) <= 256 * 5
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, n, seed: tree(quotas, n, seed + 1))
+    other = mixing.mixed_sizes(docs, [3, 1, 2], 1.5, 2).select("doc_id", "taken", "shard_words").collect()
+    assert sorted(tuple(map(str, r)) for r in other) != got
+
+
+def test_mixed_documents_of_repeated_ids(spark):
+    rows = [(1, "a b c d", "s"), (1, "e", "s"), (1, None, "s"), (1, "e", "s"), (None, "f g", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed_documents(docs, [1], 2.0, 2).collect()
+    assert sorted(r.text for r in got) == sorted(["a b c d", "e", "e", "f g"] * 2)
+
+
 def test_splitting_tree(spark):
     rows = [("a", 400), ("b", 37), (None, 5), ("c", 0), ("d", 1)]
     quotas = spark.createDataFrame(rows, "source string, blocks long")
