@@ -39,7 +39,7 @@ def _name(*parts: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, pos, masked, n, lead): lines that are not blank, with fields masked and blanks evened out.
+    """(key, doc_id, pos, masked): lines that are not blank, with fields masked and blanks evened out.
 
     Both replacements run once over the whole text, below the generator; the first touches only blanks that are not
     single already, the second looks at the beginnings of tokens only.
@@ -47,9 +47,13 @@ def lines(docs: DataFrame) -> DataFrame:
     even = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
     masked = F.regexp_replace(even, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", FIELD)
     each = docs.select("key", "doc_id", F.posexplode(_split(masked)).alias("pos", "line"))
-    kept = each.select("key", "doc_id", "pos", F.trim("line").alias("masked")).filter("masked <> ''")
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    return kept.select("key", "doc_id", "pos", "masked", n.cast("int").alias("n"), F.substring_index("masked", " ", DEPTH).alias("lead"))
+    return each.select("key", "doc_id", "pos", F.trim("line").alias("masked")).filter("masked <> ''")
+
+
+def upper_node() -> Column:
+    """Name of the node that the number of tokens and the lead of ``masked`` reach."""
+    blanks = F.length("masked") - F.length(F.replace("masked", F.lit(" ")))
+    return _name(blanks, F.substring_index("masked", " ", DEPTH))
 
 
 def cuts(n: Column) -> tuple[Column, Column]:
@@ -67,8 +71,7 @@ def stretches(kinds: DataFrame) -> DataFrame:
     # the array around the tokens makes them a value of the lambda, split once a line
     parts = F.transform(F.array(tokens), lambda t: F.transform(
         F.sequence(F.lit(0), number - 1), lambda i: F.xxhash64(F.array_join(F.slice(t, i * width + DEPTH + 1, width), " "))))[0]
-    counted = kinds.withColumn("n", F.size(tokens))
-    return counted.withColumn("parts", F.when(F.col("n") > DEPTH, parts).otherwise(F.array().cast("array<bigint>"))).withColumn("fields", fields).drop("n")
+    return kinds.withColumn("n", F.size(tokens)).withColumn("parts", F.when(F.col("n") > DEPTH, parts).otherwise(F.array().cast("array<bigint>"))).withColumn("fields", fields).drop("n")
 
 
 def grown(nodes: DataFrame, level: int) -> DataFrame:
@@ -81,12 +84,12 @@ def grown(nodes: DataFrame, level: int) -> DataFrame:
 
 
 def recurring_kinds(found: DataFrame, min_docs: int) -> DataFrame:
-    """(kind): names of the different lines of (masked, lead, doc_id) that belong to a recurring template."""
-    few = Window.partitionBy("masked", "lead").orderBy("doc_id")
-    first = found.select("masked", "lead", "doc_id").distinct().withColumn("at", F.row_number().over(few)).filter(F.col("at") <= min_docs)
-    kinds = first.groupBy("masked", "lead").agg(F.collect_list(F.struct("doc_id")).alias("docs"))  # a struct, as a list drops nulls
+    """(kind): names of the different lines of (masked, doc_id) that belong to a recurring template."""
+    few = Window.partitionBy("masked").orderBy("doc_id")
+    first = found.select("masked", "doc_id").distinct().withColumn("at", F.row_number().over(few)).filter(F.col("at") <= min_docs)
+    kinds = first.groupBy("masked").agg(F.collect_list(F.struct("doc_id")).alias("docs"))  # a struct, as a list drops nulls
     cut = stretches(kinds)
-    nodes = settle(cut.select(_name(F.col("masked")).alias("kind"), "parts", "docs", _name(F.size(F.split("masked", " ", -1)), F.col("lead")).alias("node"), "fields"))
+    nodes = settle(cut.select(_name(F.col("masked")).alias("kind"), "parts", "docs", upper_node().alias("node"), "fields"))
     for level in range(0, STRETCHES, 2):
         children = grown(grown(nodes, level), level + 1)
         each = children.select("node", F.explode("docs").alias("doc")).distinct()
@@ -97,11 +100,11 @@ def recurring_kinds(found: DataFrame, min_docs: int) -> DataFrame:
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, pos): lines to drop."""
-    each = settle(lines(docs).withColumn("leaf", F.xxhash64("n", "lead")).drop("n"))  # the texts are parsed once
-    light = each.select("leaf", "doc_id").distinct()
+    each = settle(lines(docs))  # the texts are parsed once
+    light = each.select(upper_node().alias("node"), "doc_id").distinct()
     # settled, so that the join below is between plain exchanges and AQE can split a node that very many lines share
-    shared = settle(light.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"))
-    found = settle(each.join(shared, "leaf", "left_semi").drop("leaf"))
+    shared = settle(light.groupBy("node").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("node"))
+    found = settle(each.withColumn("node", upper_node()).join(shared, "node", "left_semi").drop("node"))
     kinds = settle(recurring_kinds(found, min_docs))
     return found.select("key", "pos", _name(F.col("masked")).alias("kind")).join(kinds, "kind", "left_semi").select("key", "pos")
 
