@@ -36,12 +36,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def kept_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; a null id equals a null id."""
-    other = free_name(docs, "other_id")
-    return docs.join(ids.select(F.col("doc_id").alias(other)), F.col("doc_id").eqNullSafe(F.col(other)), "left_semi")
-
-
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs``, settled, with a column that numbers the rows, and that column's name."""
     key = free_name(docs, "row_key")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schedlake.llm.common import documents, settle, text_bytes, text_slices
 
@@ -75,13 +76,14 @@ def features(text: bytes) -> list[float]:
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         rows = [features(b) for b in text_bytes(part)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+        names = [c for c in part.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(rows, pa.list_(pa.float64()))], [*names, "x"])
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, x array<double>) with the values of FEATURES."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_run, f"doc_id {kind}, x array<double>")
+def document_features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, x array<double>) with the values of FEATURES, behind the columns ``keep``."""
+    read = docs.select(*keep, "doc_id", "text")
+    return read.mapInArrow(_run, T.StructType([*read.drop("text").schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -127,13 +129,13 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> tupl
     return w * slope, float(level - cut * slope)
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted."""
-    all_x = settle(document_features(docs))
+def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: the columns ``keep``, doc_id, held_out, score, predicted."""
+    all_x = settle(document_features(docs, keep))
     teach = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out())
     chosen = teach.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    # at most ``sample`` rows of two numbers are broadcast
-    rows = all_x.join(F.broadcast(chosen), "doc_id").select("x", "y", "doc_id").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    # at most ``sample`` rows of two numbers are broadcast; of rows that repeat a labelled id, one teaches
+    rows = all_x.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "y"], kind="stable")
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     low, high = usual_range(x)
     weights, offset = fit(np.clip(x, low, high), rows["y"].to_numpy())
@@ -141,7 +143,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
     for i, w in enumerate(weights):
         total = total + F.greatest(F.least(F.col("x")[i], F.lit(float(high[i]))), F.lit(float(low[i]))) * float(w)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(total, F.lit(40.0)), F.lit(-40.0)))) if weights.any() else F.lit(0.5)
-    return all_x.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return all_x.select(*keep, "doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from test_edited_copies import brute_kept
 from test_others import brute_digest, reference  # noqa: F401
 from test_text_dedup import brute_exact
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from schedlake.llm import quality
 
@@ -65,6 +67,12 @@ def test_stages_take_hard_rows_and_nothing(spark, hard, nothing):  # noqa: F811
 def test_repeated_ids_and_rows(spark):
     rows = [(1, "a"), (1, "b"), (2, "a"), (3, "c"), (3, "c"), (None, "c"), (4, "C"), (4, "d e f g h i"), (4, "d e f g h i"), (None, None), (None, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    long = whole.orderBy("doc_id").limit(1).select(F.lit(1).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    asked = docs.unionByName(long)
+    scored = quality.scored(asked.withColumn("own", F.col("text")), spark.read.parquet(f"{SF}/labels.parquet"), keep=("own",)).collect()
+    want = sorted((str(r.doc_id), r.own or "") for r in scored if r.predicted)
+    assert sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.good(spark, asked, SF).collect()) == want
     kept = corpus_pipeline.exact(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (1, "b"), (2, "a"), (4, "C"), (4, "d e f g h i")]
     kept = corpus_pipeline.near(spark, docs, SF).collect()
