@@ -18,6 +18,8 @@ id and text are read. A very long line has no more stretches than a short one (a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +52,9 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.select("key", "doc_id", "pos", F.trim("line").alias("masked")).filter("masked <> ''")
 
 
-def upper_node() -> Column:
-    """Name of the node that the number of tokens and the lead of ``masked`` reach."""
-    blanks = F.length("masked") - F.length(F.replace("masked", F.lit(" ")))
-    return _name(blanks, F.substring_index("masked", " ", DEPTH))
+def upper() -> list[Column]:
+    """What the upper tree reads of ``masked``: the number of tokens (less one) and the lead."""
+    return [F.length("masked") - F.length(F.replace("masked", F.lit(" "))), F.substring_index("masked", " ", DEPTH)]
 
 
 def cuts(n: Column) -> tuple[Column, Column]:
@@ -74,13 +75,13 @@ def stretches(kinds: DataFrame) -> DataFrame:
     return kinds.withColumn("n", F.size(tokens)).withColumn("parts", F.when(F.col("n") > DEPTH, parts).otherwise(F.array().cast("array<bigint>"))).withColumn("fields", fields).drop("n")
 
 
-def grown(nodes: DataFrame, level: int) -> DataFrame:
-    """Children of (kind, parts, fields, docs, node) at the stretch ``level``: its text, and a field where one is left."""
-    part, more = F.get("parts", F.lit(level)), F.size("parts") > level
-    as_text = F.struct(F.when(more, _name(F.lit("text"), "node", part)).otherwise(F.col("node")).alias("node"), F.col("fields").alias("fields"))
+def grown(nodes: DataFrame) -> DataFrame:
+    """Children of (kind, parts, fields, docs, node) at the next stretch: its text, and a field where one is left."""
+    more = F.size("parts") > 0
+    as_text = F.struct(F.when(more, _name(F.lit("text"), "node", F.get("parts", F.lit(0)))).otherwise(F.col("node")).alias("node"), F.col("fields").alias("fields"))
     as_field = F.struct(_name(F.lit("field"), "node").alias("node"), (F.col("fields") - 1).alias("fields"))
     children = F.when(more & (F.col("fields") > 0), F.array(as_text, as_field)).otherwise(F.array(as_text))
-    return nodes.withColumn("child", F.explode(children)).select("kind", "parts", "docs", "child.node", "child.fields")
+    return nodes.withColumn("child", F.explode(children)).select("kind", F.slice("parts", 2, STRETCHES).alias("parts"), "docs", "child.node", "child.fields")
 
 
 def recurring_kinds(found: DataFrame, min_docs: int) -> DataFrame:
@@ -89,22 +90,26 @@ def recurring_kinds(found: DataFrame, min_docs: int) -> DataFrame:
     first = found.select("masked", "doc_id").distinct().withColumn("at", F.row_number().over(few)).filter(F.col("at") <= min_docs)
     kinds = first.groupBy("masked").agg(F.collect_list(F.struct("doc_id")).alias("docs"))  # a struct, as a list drops nulls
     cut = stretches(kinds)
-    nodes = settle(cut.select(_name(F.col("masked")).alias("kind"), "parts", "docs", upper_node().alias("node"), "fields"))
-    for level in range(0, STRETCHES, 2):
-        children = grown(grown(nodes, level), level + 1)
+    nodes = settle(cut.select(_name(F.col("masked")).alias("kind"), "parts", "docs", _name(*upper()).alias("node"), "fields"))
+    whole = []
+    for _ in range(0, STRETCHES, 2):
+        children = grown(grown(nodes))
         each = children.select("node", F.explode("docs").alias("doc")).distinct()
         often = settle(each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("node"))
-        nodes = settle(children.join(often, "node", "left_semi"))
-    return nodes.select("kind").distinct()
+        alive = settle(children.join(often, "node", "left_semi"))
+        whole.append(alive.filter(F.size("parts") == 0).select("kind"))
+        nodes = alive.filter(F.size("parts") > 0)
+    return reduce(DataFrame.unionByName, whole).distinct()
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, pos): lines to drop."""
-    each = settle(lines(docs))  # the texts are parsed once
-    light = each.select(upper_node().alias("node"), "doc_id").distinct()
+    each = settle(lines(docs).withColumn("upper", F.xxhash64(*upper())))  # the texts are parsed once
+    # 64 bits, as lines that share them by chance only go further down the tree
+    light = each.select("upper", "doc_id").distinct()
     # settled, so that the join below is between plain exchanges and AQE can split a node that very many lines share
-    shared = settle(light.groupBy("node").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("node"))
-    found = settle(each.withColumn("node", upper_node()).join(shared, "node", "left_semi").drop("node"))
+    shared = settle(light.groupBy("upper").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("upper"))
+    found = settle(each.join(shared, "upper", "left_semi").drop("upper"))
     kinds = settle(recurring_kinds(found, min_docs))
     return found.select("key", "pos", _name(F.col("masked")).alias("kind")).join(kinds, "kind", "left_semi").select("key", "pos")
 
