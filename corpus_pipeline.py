@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schedlake.llm import bpe, edited_copies, exact_dedup, mixing, quality, simhash_dedup
-from schedlake.llm.common import numbered, settle
+from schedlake.llm.common import free_name, numbered, row_name, settle
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as label 1 stay; rows of one id are judged each by its own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows, key = numbered(docs)
+    key = free_name(docs, "row_key")
+    rows = docs.withColumn(key, row_name("doc_id", "text"))
     return rows.join(quality.scored(rows, labels, keep=(key,)).filter("predicted = 1").select(key), key, "left_semi").drop(key)
 
 

@@ -36,6 +36,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_name(*columns: str):
+    """A 128-bit name of a row's values, never null: equal rows share it, in every scan, so no numbered copy is written."""
+    return F.struct(F.xxhash64(F.lit(1), *columns).alias("x"), F.xxhash64(F.lit(2), *columns).alias("y"))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs``, settled, with a column that numbers the rows, and that column's name."""
     key = free_name(docs, "row_key")

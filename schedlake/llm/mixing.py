@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schedlake.llm.common import WORD, documents, free_name, numbered, settle
+from schedlake.llm.common import WORD, documents, free_name, row_name, settle
 
 BUCKET_ROWS = 1000
 BLOCK_WORDS = 256
@@ -195,14 +195,16 @@ def mixed_sizes(docs: DataFrame, weights: list[float], share: float, most: float
 
 def mixed_documents(docs: DataFrame, weights: list[float], share: float, most: float, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that the mix takes, whole and once per lap in which at least half of their words are drawn.
-    Rows are numbered, so those that repeat an id are told apart."""
-    rows, key = numbered(docs)
+    Rows that repeat an id are told apart by text and source; rows equal in all three are taken alike, as often as the most drawn."""
+    key = free_name(docs, "row_key")
+    rows = docs.withColumn(key, row_name("doc_id", "text", "source"))
     placed, draws = mix(rows, weights, share, most, seed=seed, keep=(key,))
     laps = draws.groupBy("source", "begin").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
     times = laps.join(placed.select(F.col("source").alias("__source"), F.col("begin").alias("__begin"), "size", key).filter("size > 0"),
                       F.col("source").eqNullSafe(F.col("__source")) & (F.col("begin") == F.col("__begin")))
     number, lap = (free_name(docs, x) for x in ("times", "lap"))
-    wanted = times.select(key, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(number)).filter(F.col(number) > 0)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    wanted = times.groupBy(key).agg(F.max(copies).alias(number)).filter(F.col(number) > 0)
     repeated = rows.join(wanted, key).withColumn(lap, F.explode(F.sequence(F.lit(1), F.col(number))))
     return repeated.select(*docs.columns)
 
