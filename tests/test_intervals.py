@@ -49,6 +49,16 @@ def test_containing_against_all_pairs(spark, how):
     assert none.count() == (len(pts) if how == "left" else 0)
 
 
+def test_no_points_are_sent_through_the_driver(spark, monkeypatch):
+    """Spark takes points for as small as before they became a row per block length; neither side is broadcast when blocks are many."""
+    monkeypatch.setattr(I, "FEW_BLOCKS", 100)
+    rows = spark.range(400).select("id", (F.col("id") * 3).alias("a"), (F.col("id") * 3 + F.col("id") % 90).alias("b"))
+    met = I.containing(rows.select(F.col("id").alias("p"), F.col("a").alias("at")), "at", rows, "a", "b")
+    assert met.count() == sum(a * 3 <= p * 3 <= a * 3 + a % 90 for a in range(400) for p in range(400))
+    text = met._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def test_lookups_do_not_grow_with_the_length(spark):
     """Intervals of a minute and of a century: a point is looked up once per block length in use."""
     iv = spark.createDataFrame([(1, 0, 60 * 10**6), (2, 0, 100 * 365 * 86400 * 10**6)], "i long, a long, b long")
