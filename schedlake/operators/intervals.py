@@ -2,7 +2,8 @@
 
 Intervals of any length on a whole-number axis (seconds, microseconds, days) are cut into blocks whose length is a power of two and that
 start at a multiple of it: at most two of each length. A point lies in exactly one block of each length, so points and intervals
-meet by equality, whatever the intervals' lengths and however they overlap.
+meet by equality, whatever the intervals' lengths and however they overlap. Totals over the intervals that hold a point need no
+pairs: each block is totalled once, and a point adds up the totals of its blocks.
 
 Scans over one unpartitioned order (last value, running maximum, islands) run in two passes: the order is cut into ranges,
 each range is scanned by itself and summed up in one row, the few summaries are scanned, and what they carry is joined to the
@@ -20,6 +21,8 @@ from schedlake.session import cut_lineage
 LEVELS = 56
 #: Up to so many blocks of intervals are sent to all executors; more are joined by shuffling.
 FEW_BLOCKS = 10_000
+#: Totals over the intervals that contain a point: of the intervals of a block, and of the totals of several blocks.
+TOTALS = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
 #: Rows that one range of a scan holds, on average; beyond so many ranges they grow to the second size.
 RANGE_ROWS, MANY_RANGES, LARGE_RANGE_ROWS = 20_000, 2_000, 1_000_000
 
@@ -47,12 +50,20 @@ def dyadic_blocks(intervals: DataFrame, start: str, end: str) -> DataFrame:
     return intervals.select("*", F.inline(blocks))
 
 
-def containing(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, scope: list[str] = [], how: str = "inner") -> DataFrame:
+def containing(
+    points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, scope: list[str] = [], how: str = "inner",
+    totals: dict[str, tuple[str, Column]] | None = None,
+) -> DataFrame:
     """Every point with every interval that contains it (both ends included), in the same ``scope`` where one is given.
 
     Points are looked up once per block length that the intervals use, at most LEVELS + 1, however long the intervals are.
     With ``how`` left, points in no interval stay with nulls.
+
+    ``totals`` (name: a kind of TOTALS and a column of the intervals) asks for totals over the containing intervals in place of the
+    intervals: each point comes once. Blocks are totalled before points look them up, so the work grows with the rows, not with the pairs.
     """
+    if totals:
+        return _totalled(points, at, intervals, start, end, scope, how, totals)
     placed = cut_lineage(dyadic_blocks(intervals, start, end))
     asked = points if how == "inner" else cut_lineage(points.withColumn("__row", F.monotonically_increasing_id()))
     met = _met(asked, at, placed, scope)
@@ -76,6 +87,21 @@ def _met(points: DataFrame, at: str, placed: DataFrame, scope: list[str]) -> Dat
     return points.filter(F.col(at).isNotNull()).select("*", F.inline(ancestors)).join(blocks, [*scope, "block_level", "block"]).drop("block_level", "block")
 
 
+def _totalled(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, scope: list[str], how: str, totals: dict[str, tuple[str, Column]]) -> DataFrame:
+    first, again = ({n: TOTALS[kind][i] for n, (kind, _) in totals.items()} for i in (0, 1))
+    lo, hi = F.col(start).cast("long").alias("__lo"), F.col(end).cast("long").alias("__hi")
+    rows = intervals.select(*scope, lo, hi, *[c.alias(n) for n, (_, c) in totals.items()]).filter("__lo <= __hi")
+    # neighbours share blocks: side by side in one task, they leave it as few totals
+    blocks = dyadic_blocks(rows.repartitionByRange(*scope, "__lo"), "__lo", "__hi")
+    placed = cut_lineage(blocks.groupBy(*scope, "block_level", "block").agg(*[f(n).alias(n) for n, f in first.items()]))
+    asked = cut_lineage(points.withColumn("__at", F.col(at).cast("long")))
+    places = asked.select(*scope, "__at").distinct()
+    found = _met(places, "__at", placed, scope).groupBy(*scope, "__at").agg(*[f(n).alias(n) for n, f in again.items()])
+    met = asked.join(found, [*scope, "__at"], how)
+    out = [F.coalesce(n, F.lit(0)).alias(n) if kind == "count" else F.col(n) for n, (kind, _) in totals.items()]
+    return met.select(*points.columns, *out)
+
+
 def _ranged(table: DataFrame, order: list[str]) -> DataFrame:
     """Rows with ``__range``: ranges ascend with ``order``, and equal values may not be divided. Settled, so that both passes agree."""
     settled = cut_lineage(table)

@@ -42,9 +42,10 @@ def interval_containment(v):
     """How many of all events' spans hold each event's second, over one axis."""
     e = events(v)
     spans = e.select(F.col("event_id").alias("span_id"), F.col("at").alias("from_s"), F.col("until").alias("to_s"))
-    met = I.containing(e.select("event_id", "at"), "at", spans, "from_s", "to_s", how="left")
+    met = I.containing(e.select("event_id", "at"), "at", spans, "from_s", "to_s", how="left", totals={
+        "n": ("count", F.col("span_id")), "first_interval": ("min", F.col("span_id")), "longest": ("max", F.col("to_s") - F.col("from_s"))})
     return met.groupBy("event_id").agg(
-        F.count("span_id").alias("n"), F.min("span_id").alias("first_interval"), F.coalesce(F.max(F.col("to_s") - F.col("from_s")), F.lit(-1)).alias("longest"))
+        F.sum("n").alias("n"), F.min("first_interval").alias("first_interval"), F.coalesce(F.max("longest"), F.lit(-1)).alias("longest"))
 
 
 @query("interval_containment_by_key", sql=f"""

@@ -49,6 +49,45 @@ def test_containing_against_all_pairs(spark, how):
     assert none.count() == (len(pts) if how == "left" else 0)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_totals_against_all_pairs(spark, monkeypatch, how, few):
+    """Totals of the containing intervals, whether blocks are sent to all executors or shuffled; repeated and null keys included."""
+    monkeypatch.setattr(I, "FEW_BLOCKS", few)
+    r = random.Random(8)
+    iv = [(i, None if i % 50 == 9 else i % 3, a, b) for i, a, b in spans(7, 200, 1000)] + [(None, 1, -50, 50)]
+    pts = [(i, i % 4, r.randint(-1500, 4000)) for i in range(300)] + [(300, 1, None), (301, None, 7), (302, 0, 7), (302, 0, 7), (None, 1, 7)]
+    points = spark.createDataFrame(pts, "p long, k int, at long").repartition(3)
+    ivs = spark.createDataFrame(iv, "i long, k int, a long, b long")
+    want = []
+    for p, k, at in pts:
+        hits = [x for x in iv if None not in (x[1], x[2], x[3], k, at) and x[1] == k and x[2] <= at <= x[3]]
+        if hits or how == "left":
+            ids = [x[0] for x in hits if x[0] is not None]
+            want.append((p, k, at, len(ids), min(ids, default=None), max((x[3] - x[2] for x in hits), default=None)))
+    totals = {"n": ("count", F.col("i")), "low": ("min", F.col("i")), "longest": ("max", F.col("b") - F.col("a"))}
+    got = I.containing(points, "at", ivs, "a", "b", scope=["k"], how=how, totals=totals)
+    assert got.columns == ["p", "k", "at", "n", "low", "longest"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    none = I.containing(points, "at", ivs.filter("false"), "a", "b", scope=["k"], how=how, totals=totals)
+    assert [x.n for x in none.collect()] == [0] * (len(pts) if how == "left" else 0)
+
+
+def test_totals_make_no_pairs(spark, monkeypatch):
+    """3,000 points inside each of 3,000 intervals: nine million pairs, but no table or join holds more rows than points times lengths."""
+    import schedlake.plans.sequences  # noqa: F401
+    from schedlake.plans.registry import QUERIES
+
+    settled = []
+    monkeypatch.setattr(I, "cut_lineage", lambda df, f=I.cut_lineage: settled.append(f(df)) or settled[-1])
+    events = spark.range(3000).select(F.col("id").alias("event_id"), F.lit(1).alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"),
+                                      F.expr("timestamp_micros(1000000 * (id div 100))").alias("ts"))
+    monkeypatch.setattr(schedlake.plans.sequences, "events", lambda v: events.select("event_id", "user_id", F.col("event_id").alias("at"), F.lit(4000).cast("long").alias("until")))
+    rows = QUERIES["interval_containment"](spark, "").collect()
+    assert {r.event_id: (r.n, r.first_interval, r.longest) for r in rows} == {i: (i + 1, 0, 4000) for i in range(3000)}
+    assert all(t.count() <= 2 * 3000 for t in settled)
+
+
 def test_no_points_are_sent_through_the_driver(spark, monkeypatch):
     """Spark takes points for as small as before they became a row per block length; neither side is broadcast when blocks are many."""
     monkeypatch.setattr(I, "FEW_BLOCKS", 100)
