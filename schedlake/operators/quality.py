@@ -16,6 +16,9 @@ L1_MIN_COMPLETE = 0.95
 L2_MAX_COORD_RATE = 0.05
 L3_MAX_CHANGE = 0.30
 
+#: Rows of key and parent that one task tells apart, on average.
+PAIR_ROWS = 1_000_000
+
 #: Entries that still carry the audit tag.
 TAGGED = "array<struct<weekday:array<int>,arrive:string,depart:string,weekday_source:string>>"
 
@@ -144,9 +147,15 @@ def download_dates(rows: DataFrame, date_col: str) -> DataFrame:
     return rows.agg(F.count_distinct(date_col).alias("dates")).withColumn("mixed", F.col("dates") > 1)
 
 
-def multi_parent(rows: DataFrame, key: str, parent: str) -> DataFrame:
-    """Keys served by more than one parent."""
-    return rows.select(key, parent).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("parents")).filter("parents > 1")
+def multi_parent(rows: DataFrame, key: str, parent: str, expected: int | None = None) -> DataFrame:
+    """Keys served by more than one parent.
+
+    Pairs are dealt into tasks of PAIR_ROWS on average, so a task's hash tables stay as small however many pairs there are.
+    ``expected`` is about the number of rows, where the caller knows it; else they are counted, which is cheap on a settled table.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(rows.count() if expected is None else expected) // PAIR_ROWS))
+    pairs = rows.select(key, parent).repartition(parts, key, parent).distinct()
+    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("parents")).filter("parents > 1")
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -142,7 +142,7 @@ def download_dates(v):
 @query("multi_parent", "v_routes", sql="""
 SELECT poi_id, count(DISTINCT route_id) AS parents FROM v_routes GROUP BY 1 HAVING count(DISTINCT route_id) > 1""")
 def multi_parent(v):
-    return Q.multi_parent(v.routes(), "poi_id", "route_id")
+    return Q.multi_parent(v.routes(), "poi_id", "route_id", expected=v.table("lineitem").count())
 
 
 @query("dup_check", "v_foreign", sql="""

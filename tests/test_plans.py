@@ -84,3 +84,20 @@ def test_hot_point_is_reduced_before_the_shuffle(spark):
     profile = S.point_profile(entries, "ord", hours=True)
     assert re.search(r"HashAggregate.*\n.*Exchange.*\n.*HashAggregate", plan(profile)) or "partial_bit_or" in plan(profile)
     assert profile.filter("ord = 1").first().n_garbage >= 13333
+
+
+def test_pairs_per_task_are_bounded(spark, monkeypatch):
+    """Keys and parents are dealt into more tasks as they grow, and are not told apart in the tasks of the step before."""
+    from schedlake.operators import quality
+
+    monkeypatch.setattr(quality, "PAIR_ROWS", 40)
+    rows = [(None if i % 11 == 0 else i % 60, None if i % 13 == 0 else i % 7) for i in range(900)] * 2 + [(1000, 1)] * 3
+    df = spark.createDataFrame(rows, "k int, p int").distinct()
+    want = {}
+    for k, p in rows:
+        want.setdefault(k, set()).add(p)
+    for expected in (None, len(rows)):
+        got = quality.multi_parent(df, "k", "p", expected)
+        assert {r.k: r.parents for r in got.collect()} == {k: len(v) for k, v in want.items() if len(v) > 1}
+        parts = int(re.search(r"hashpartitioning\(k#\d+, p#\d+, (\d+)\), REPARTITION_BY_NUM", plan(got)).group(1))
+        assert parts >= len(set(rows)) / 40 and parts >= (expected or 0) / 40
